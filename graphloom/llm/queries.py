@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_store
+from . import mixing, packing, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_mixing": mixing.op2_mixing,
+        "op8_simhash": simhash.op8_simhash,
         "op9_token_store": token_store.op9_token_store,
     }
 
