@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash, token_store
+from . import langid, media, mixing, packing, simhash, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op2_mixing": mixing.op2_mixing,
+        "op4_language": langid.op4_language,
+        "op5_media": media.op5_media,
         "op8_simhash": simhash.op8_simhash,
         "op9_token_store": token_store.op9_token_store,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 

@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: Pieces that one Python worker keeps.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 2_000_000
 #: White space on which Python and the tokenizer's patterns might differ, or that the byte vocabulary attaches to neighbours.
 _ODD_BYTE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　\x02]|[ \n][ \n]|^[ \n]|[ \n]$")
 _ODD_WORD = re.compile(r"[\x1c-\x1f\x85]")
@@ -40,6 +40,15 @@ class PieceTokenizer:
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str], byte: bool) -> None:
+        """Keep the ids of new pieces; one mark after a letter or digit is a pre-token of its own, so it can be taken off."""
+        cache = self.cache
+        ends = {p: p[:-1] for p in new if len(p) > 2 and p[-1] in ",.;:!?" and p[-2].isalnum()}
+        plain = [p for p in dict.fromkeys([*(p for p in new if p not in ends), *ends.values(), *(["\x02" + m for m in ",.;:!?"] if byte else ",.;:!?")]) if p not in cache]
+        keys = [p[1:] if p[:1] == "\x02" else p if p == "\n" else " " + p for p in plain] if byte else plain
+        cache.update(zip(plain, self._direct(keys)))
+        cache.update((p, cache[stem] + cache["\x02" + p[-1] if byte else p[-1]]) for p, stem in ends.items())
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         odd, byte, cache = (_ODD_BYTE if self.kind == "byte" else _ODD_WORD), self.kind == "byte", self.cache
@@ -55,8 +64,7 @@ class PieceTokenizer:
                 got = list(map(cache.get, pieces))
                 if None in got:
                     new = [p for p in dict.fromkeys(pieces) if p not in cache]
-                    keys = [p[1:] if p[:1] == "\x02" else p if p == "\n" else " " + p for p in new] if byte else new
-                    cache.update(zip(new, self._direct(keys)))
+                    self._learn(new, byte)
                     got = list(map(cache.__getitem__, pieces))
                 raw = b"".join(got)
             out.append(np.frombuffer(raw, dtype=self.dtype))

@@ -1,0 +1,66 @@
+"""Language identification by held-out accuracy, gradients and edge cases."""
+
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from graphloom.llm import langid
+
+from .helpers import edge_documents, save_documents
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = langid.op4_language(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in held]) >= 0.97
+
+
+def test_edges(spark, tmp_path):
+    folder = save_documents(edge_documents(spark), tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    rows = langid.op4_language(spark, folder).collect()
+    assert len(rows) == len(docs)
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r.doc_id, r)
+    assert by_text[0].lang_pred == by_text[1].lang_pred == by_text[2].lang_pred == "und"
+    assert by_text[3].lang_pred == "en"
+
+
+def test_nothing_to_learn_from(spark, tmp_path):
+    df = edge_documents(spark, ["abc", None]).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in langid.op4_language(spark, save_documents(df, tmp_path)).collect()} == {"und"}
+
+
+def test_empty(spark, tmp_path):
+    assert langid.op4_language(spark, save_documents(edge_documents(spark).limit(0), tmp_path)).count() == 0
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 5)
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.when(F.col("id") < 250, "a").otherwise("b").alias("lang"))
+    counts = {r.lang: r["count"] for r in langid.sample(df, F.lit(True)).groupBy("lang").count().collect()}
+    assert max(counts.values()) <= 5 and set(counts) == {"a", "b"}
+
+
+def test_gradient_lowers_the_loss():
+    rng = np.random.default_rng(0)
+    x = rng.integers(97, 123, (32, langid.WINDOW)).astype(np.uint8)
+    y = np.arange(32) % 2
+    x[y == 1, ::3] = 120
+    net, moments = langid.ByteNetwork.new(["a", "b"]), {}
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(32), y]).mean()
+    before = loss()
+    for t in range(1, 40):
+        net.step(x, y, moments, t, 0.01)
+    assert loss() < 0.2 * before
+    assert (net.filters[langid.ByteNetwork.mask() == 0] == 0).all()
+
+
+def test_whole_texts_count():
+    net = langid.train(["aaa bbb aba bab " * 30] * 20 + ["xyz zyx yxz zzy " * 30] * 20, ["p"] * 20 + ["q"] * 20)
+    assert net.probabilities(langid.windows(b"xyz zyx yxz " * 40)).mean(axis=0).argmax() == 1
