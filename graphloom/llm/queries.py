@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, packing, simhash, token_store, toxicity
+from . import langid, media, mixing, packing, recompression, simhash, token_store, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
         "op2_mixing": mixing.op2_mixing,
+        "op3_recompression": recompression.op3_recompression,
         "op4_language": langid.op4_language,
         "op5_media": media.op5_media,
         "op8_simhash": simhash.op8_simhash,
