@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lookup_sketch, media, mixing, packing, recompression, simhash, token_store, toxicity
+from . import langid, lookup_sketch, media, mixing, packing, recompression, simhash, token_store, toxicity, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": langid.op4_language,
         "op5_media": media.op5_media,
         "op6_lookup_sketch": lookup_sketch.op6_lookup_sketch,
+        "op7_wrappers": wrappers.op7_wrappers,
         "op8_simhash": simhash.op8_simhash,
         "op9_token_store": token_store.op9_token_store,
         "op10_toxicity": toxicity.op10_toxicity,
