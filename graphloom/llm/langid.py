@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from .common import crc_mod, documents
 
@@ -162,28 +162,48 @@ def fit(docs: DataFrame, allowed=None, **columns) -> ByteNetwork | None:
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
+def _score(net: ByteNetwork | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    known = [j for j, t in enumerate(texts) if t and net is not None and _LETTER.search(t)]
+    if known:
+        laid = [windows(clean(texts[j])) for j in known]
+        starts = np.concatenate([[0], np.cumsum([len(w) for w in laid])[:-1]])
+        x = np.concatenate(laid)
+        weight = (x != 32).sum(axis=1).astype(np.float64) + 1e-6
+        p = np.add.reduceat(net.probabilities(x) * weight[:, None], starts, axis=0) / np.add.reduceat(weight, starts)[:, None]
+        for j, row in zip(known, p):
+            names[j], scores[j] = net.labels[int(row.argmax())], float(min(1.0, row.max()))
+    return names, scores
+
+
+def identify(docs: DataFrame, net: ByteNetwork | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__lang`` and ``__score``; rows never leave their tasks."""
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                texts = part.column(1).to_pylist()
-                names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                known = [j for j, t in enumerate(texts) if t and net is not None and _LETTER.search(t)]
-                if known:
-                    laid = [windows(clean(texts[j])) for j in known]
-                    ends = np.cumsum([len(w) for w in laid])
-                    x = np.concatenate(laid)
-                    weight = (x != 32).sum(axis=1).astype(np.float64) + 1e-6
-                    sums = np.add.reduceat(net.probabilities(x) * weight[:, None], np.concatenate([[0], ends[:-1]]), axis=0)
-                    p = sums / np.add.reduceat(weight, np.concatenate([[0], ends[:-1]]))[:, None]
-                    for j, row in zip(known, p):
-                        names[j], scores[j] = net.labels[int(row.argmax())], float(min(1.0, row.max()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+                names, scores = _score(net, part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names), pa.array(scores)], names=[*part.schema.names, "__lang", "__score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score of every row."""
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return identify(own, net).select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+#: A text whose likeliest language has less than this is no text in a learned language.
+LEAST_SCORE = 0.5
+
+
+def keep_identified(docs: DataFrame, net: ByteNetwork | None, least: float = LEAST_SCORE) -> DataFrame:
+    """Rows of ``docs`` in a learned language: ``und`` and what scores below ``least`` go."""
+    return identify(docs, net).where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,5 +300,26 @@ def removed_report(spanned: DataFrame, window: int = WINDOW) -> DataFrame:
     return spanned.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` (with doc_id, text and n_chars) without the words that repeat: a changed text is its kept words, joined by one space; one that loses all its words goes."""
+    names = docs.columns
+    spanned = removals(docs, window)
+    at_text, at_n, at_spans = names.index("text"), names.index("n_chars"), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, spans = b.column(at_text).to_pylist(), b.column(at_spans).to_pylist()
+            n_chars, stays = b.column(at_n).to_pylist(), [True] * b.num_rows
+            for k, own in enumerate(spans):
+                if own:
+                    texts[k] = b" ".join(kept_words(_words(texts[k]), own, window)).decode("utf-8", "surrogatepass")
+                    n_chars[k], stays[k] = len(texts[k]), bool(texts[k])
+            columns = list(b.columns[:at_spans])
+            columns[at_text], columns[at_n] = pa.array(texts, pa.string()), pa.array(n_chars, pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
+
+    return spanned.select(*names, "spans").mapInArrow(run, docs.schema)
+
+
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_report(removals(documents(spark, sf_dir).select("doc_id", "text")))

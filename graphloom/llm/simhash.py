@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import documents, materialize
 from .components import components
@@ -85,5 +85,98 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 3, id_col: s
     return own.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Bottom hashes of a text's shingle set (32 bits each) by which similarity is judged; exact for texts with no more shingles.
+SKETCH = 256
+#: Pieces (of some 16 words, cut by content) whose digests a text is looked up by.
+PIECES = 8
+#: Drawn holders of a key that its other texts meet, besides the least and the greatest.
+HOLDERS = 3
+
+
+def _profile(text: str | None, words: int) -> tuple[int, int, np.ndarray, list[int]]:
+    """SimHash, number of distinct shingles, their least hashes, and least piece digests."""
+    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not own:
+        return 0, 0, np.empty(0, dtype=np.int64), []
+    hash64 = xxhash.xxh64_intdigest
+    shingles = map(b" ".join, zip(*(own[k:] for k in range(words)))) if len(own) > words else [b" ".join(own)]
+    h = np.array([hash64(s, SEED) for s in shingles], dtype=np.uint64)
+    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    fp = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
+    least = np.unique(h >> np.uint64(32)).astype(np.int64)
+    # a piece ends after a shingle whose hash says so, eight words on at least
+    pieces, start = [], 0
+    for c in (np.flatnonzero(h % np.uint64(12) == 0) + 1).tolist():
+        if c - start >= 8:
+            pieces.append(hash64(b" ".join(own[start:c]), 5) >> 1)
+            start = c
+    pieces.append(hash64(b" ".join(own[start:]), 5) >> 1)
+    return fp, len(least), least[:SKETCH], sorted(set(pieces))[:PIECES]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
+    """(doc_id, h, first) of each distinct row: h is a hash of its text, first says whether it is its group's first.
+
+    Candidates come from the multi-index on SimHash fingerprints and, as two
+    texts at similarity 0.8 often differ in more bits than balls can reach,
+    from the digests of pieces cut by content: a text meets some holders of
+    its fingerprint and of each of its least piece digests, never all of them.  Each candidate is verified by the similarity of the shingle sets
+    (estimated from SKETCH least hashes where a set has more), and verified
+    links are joined to groups.  Texts without words are left alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1024):
+                part = b.slice(k, 1024)
+                fp, n, least, pieces = zip(*(_profile(t, words) for t in part.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array([x.astype(np.uint32).view(np.int32) for x in least], pa.list_(pa.int32())), pa.array(pieces, pa.list_(pa.int64()))], names=["doc_id", "h", "fp", "n", "least", "pieces"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, nx, ny = (b.column(k).to_pylist() for k in range(2, 6))
+            good = []
+            for p, q, n, m in zip(x, y, nx, ny):
+                p, q = (np.array(v, dtype=np.int32).view(np.uint32) for v in (p, q))
+                both = np.union1d(p, q)
+                if n > SKETCH or m > SKETCH:
+                    both = both[:SKETCH]
+                good.append(len(np.intersect1d(np.intersect1d(p, q, True), both, True)) >= similarity * len(both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    profiles = materialize(own.mapInArrow(run, "doc_id long, h long, fp long, n int, least array<int>, pieces array<long>").withColumn("uid", F.xxhash64("doc_id", "h")), "profiles")
+    # texts with one shingle set are one class; its first stands for it
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "uid")
+    alike = profiles.where("n > 0").groupBy(F.xxhash64("fp", "n", "least").alias("same"), "fp", "n").agg(F.min(order).alias("o"))
+    firsts = materialize(profiles.where("n > 0").select("uid", "fp", "n", "least", "pieces").join(alike.select(F.col("o.uid").alias("uid")), "uid").dropDuplicates(["uid"]), "first-profiles")
+    keys = firsts.select("uid", F.explode(F.concat(F.array("fp"), "pieces")).alias("key"))
+    draws = [F.min_by("uid", F.xxhash64("uid", "key", F.lit(k))) for k in range(HOLDERS)]
+    holders = keys.groupBy("key").agg(F.array_distinct(F.array(F.min("uid"), F.max("uid"), *draws)).alias("to")).where("size(to) > 1")
+    met = keys.join(holders, "key").select("uid", F.explode("to").alias("to")).where("uid <> to").select(F.greatest("uid", "to").alias("a"), F.least("uid", "to").alias("b"))
+    reps = firsts.groupBy("fp").agg(F.min("uid").alias("uid"))
+    near = linked(reps.select("fp"), distance)
+    near = near.join(reps.select(F.col("fp").alias("a"), F.col("uid").alias("ua")), "a").join(reps.select(F.col("fp").alias("b"), F.col("uid").alias("ub")), "b").select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b"))
+    side = lambda k: firsts.select(F.col("uid").alias(k), F.col("least").alias(f"least_{k}"), F.col("n").alias(f"n_{k}"))
+    pairs = met.union(near).distinct().join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= 0.7 * similarity * F.greatest("n_a", "n_b"))
+    links = pairs.select("a", "b", "least_a", "least_b", "n_a", "n_b").mapInArrow(verify, "a long, b long")
+    roots = components(links)
+    # the group of every row, by way of its class
+    classed = profiles.withColumn("same", F.xxhash64("fp", "n", "least")).select("doc_id", "h", "uid", "n", "same", "fp")
+    of = alike.select("same", "fp", "n", F.col("o.uid").alias("class")).join(roots, F.col("class") == F.col("node"), "left").select("same", "fp", "n", F.coalesce("root", "class").alias("root"))
+    grouped = classed.join(of, ["same", "fp", "n"], "left").withColumn("root", F.coalesce("root", "uid"))
+    least = grouped.groupBy("root").agg(F.min(order).alias("o"))
+    return grouped.join(least, "root").groupBy("doc_id", "h").agg(F.max(F.col("uid") == F.col("o.uid")).alias("first"))
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs`` (with doc_id and text) that are first of their near-duplicate group, each once; rows without words stay, each once."""
+    stays = near_duplicates(docs, **options).where("first").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = hashed.join(stays, (F.col("__text_hash") == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("__text_hash", "doc_id").orderBy("__text_hash"))
+    return kept.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
