@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,16 @@ def drop_shared(spark: SparkSession, df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, False)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark deletes them once the driver has collected what refers to them,
+    which a driver with little to do may put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,8 +20,11 @@ shuffled: (anchor, hash of all words, smallest document).
   windows' own hashes, and the smallest document of each decides.
 
 Copies thus end in one combined row per stretch however many there are, and a
-passage in a third of all rows costs that much before the shuffle only.  All
-hashes that decide have 128 bits.
+passage in a third of all rows costs that much before the shuffle only.  What
+decides has 128 bits: anchor and stretch, or a window's two hashes.
+
+Stretches, marks and windows are written to the shared folder, so that each is
+made once and what is shuffled for one step is dropped before the next.
 
 Nulls and edge cases: a null text has no words; texts shorter than a window
 keep all words; null ids count as larger than any other, and rows that share
@@ -39,13 +42,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents
+from .common import documents, drop_shared, materialize, release
 
 WINDOW = 50
 #: Rounds of pair naming; runs are named before the rounds listed.
-ROUNDS, RUNS_BEFORE = 6, (0, 3)
+ROUNDS, RUNS_BEFORE = 5, (0,)
 #: Levels (rounds done) at which a window looks for an anchor, in this order; words are the last resort.
-LEVELS = (6, 3, 0)
+LEVELS = (5, 3, 0)
 #: Words handled at once.
 BATCH_WORDS = 1 << 17
 _NULL_ID = (1 << 63) - 1
@@ -177,7 +180,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _stretches(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, first, last, anchor, h1, h2): windows first..last of a document share an anchor; the hashes are of all their words."""
+    """(doc, first, last, anchor, h1): windows first..last of a document share an anchor; the hash is of all their words."""
 
     def handle(held: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
         # documents lie one after the other, a symbol of its own between any two
@@ -204,12 +207,12 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
         doc = np.searchsorted(np.array(starts), first, "right") - 1
         with np.errstate(over="ignore"):
             h1, h2 = roll.of(first, last + window)
-            h2 = mix64(h2 + (place[first] - first).astype(np.uint64))
+            h1 = mix64(h1 + h2 * _A + (place[first] - first).astype(np.uint64))
         base = np.array(starts)[doc]
         ids = np.array([d for d, _ in held], dtype=np.int64)[doc]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (name[first], h1, h2))],
-            names=["doc", "first", "last", "anchor", "h1", "h2"],
+            [pa.array(ids), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (name[first], h1))],
+            names=["doc", "first", "last", "anchor", "h1"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +229,7 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
         if held:
             yield handle(held)
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, first int, last int, anchor long, h1 long, h2 long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, first int, last int, anchor long, h1 long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -234,12 +237,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
 
     ``docs`` has doc (long, not null) and text.
     """
-    found = _stretches(docs, window)
-    contexts = found.groupBy("anchor", "h1", "h2").agg(F.min("doc").alias("least"), (F.max("doc") > F.min("doc")).alias("shared"))
+    spark = docs.sparkSession
+    found = materialize(_stretches(docs, window), "stretches")
+    contexts = found.groupBy("anchor", "h1").agg(F.min("doc").alias("least"), (F.max("doc") > F.min("doc")).alias("shared"))
     several = contexts.groupBy("anchor").agg((F.count("*") > 1).alias("several"), F.max("shared").alias("any_shared"))
     # what is neither shared nor has a second context goes nowhere
-    useful = contexts.join(several.where("several OR any_shared"), "anchor").where("several OR shared").select("anchor", "h1", "h2", "least", "several")
-    marked = found.join(useful, ["anchor", "h1", "h2"]).where("least < doc OR several").select("doc", "first", "last", (F.col("least") < F.col("doc")).alias("whole"))
+    useful = contexts.join(several.where("several OR any_shared"), "anchor").where("several OR shared").select("anchor", "h1", "least", "several")
+    marked = found.join(useful, ["anchor", "h1"]).where("least < doc OR several").select("doc", "first", "last", (F.col("least") < F.col("doc")).alias("whole"))
+    marked = materialize(marked, "marked")
+    drop_shared(spark, found)
+    release(spark)
     return marked.where("whole").drop("whole"), marked.where("NOT whole").drop("whole")
 
 
@@ -278,10 +285,14 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> D
     keyed = docs.withColumn("doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)))
     texts = keyed.select("doc", F.col("text").cast("string").alias("text"))
     whole, single = repeated_spans(texts, window)
-    windows = _window_hashes(texts.join(_spans(single), "doc"), window)
+    windows = materialize(_window_hashes(texts.join(_spans(single), "doc"), window), "windows")
+    release(docs.sparkSession)
     least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
     late = windows.join(least, ["h1", "h2"]).where("least < doc").select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
-    return keyed.join(_spans(whole.union(late)), "doc", "left").drop("doc")
+    spans = materialize(_spans(whole.union(late)), "spans")
+    drop_shared(docs.sparkSession, windows)
+    release(docs.sparkSession)
+    return keyed.join(spans, "doc", "left").drop("doc")
 
 
 def removed_report(spanned: DataFrame, window: int = WINDOW) -> DataFrame:
