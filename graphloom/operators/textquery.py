@@ -15,7 +15,7 @@ from ..schema import QueryGenerationError, TextQueryTimeout, UnsafeQuery
 
 RETRIES, ROW_LIMIT = 2, 100
 #: Nodes that a read-only plan may have on top.
-_COMMANDS = re.compile(r"\b(Command|InsertInto|CreateTable|CreateView|Drop\w+|Delete\w*|Update\w*|MergeInto|Alter\w+|Truncate\w+|SetCommand|AddJar\w*|Load\w+|CacheTable|Refresh\w+)\b")
+_COMMANDS = re.compile(r"\b(\w*Command|InsertInto\w*|CreateTable\w*|CreateView\w*|Drop\w+|Delete\w+|Update\w+|MergeInto\w*|Alter\w+|Truncate\w+|AddJar\w*|Load\w+|CacheTable\w*|Refresh\w+)\b")
 _READS = re.compile(r"^\s*(?:--[^\n]*\n\s*)*(select|with|values|from)\b", re.I)
 
 
