@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schema import QueryGenerationError, TextQueryTimeout, UnsafeQuery
 
 RETRIES, ROW_LIMIT = 2, 100
-#: Nodes that a read-only plan may have on top.
-_COMMANDS = re.compile(r"\b(\w*Command|InsertInto\w*|CreateTable\w*|CreateView\w*|Drop\w+|Delete\w+|Update\w+|MergeInto\w*|Alter\w+|Truncate\w+|AddJar\w*|Load\w+|CacheTable\w*|Refresh\w+)\b")
+#: Nodes of parsed statements that do anything but read.
+_WRITES = re.compile(r"Command$|Statement$|^(Insert|Create|Replace|Drop|Delete|Update|Merge|Alter|Add|Rename|Set|Truncate|Load|Cache|Uncache|Refresh|Call|Analyze|Repair|Recover|Append|Overwrite)")
 _READS = re.compile(r"^\s*(?:--[^\n]*\n\s*)*(select|with|values|from)\b", re.I)
 
 
@@ -23,9 +23,13 @@ def check_read_only(spark: SparkSession, text: str) -> None:
     """Only one statement that reads. Decided on the parsed plan, so words inside literals do no harm."""
     if not _READS.match(text):
         raise UnsafeQuery("only queries that read are run")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)  # noqa: SLF001
-    if _COMMANDS.search(re.sub(r"'[^']*'|\[[^\]]*\]", "", plan.toString())):
-        raise UnsafeQuery("only queries that read are run")
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]  # noqa: SLF001
+    while todo:
+        node = todo.pop()
+        if _WRITES.search(node.getClass().getSimpleName()):
+            raise UnsafeQuery("only queries that read are run")
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
 
 
 def explain(spark: SparkSession, text: str) -> str:
