@@ -382,6 +382,6 @@ def e1_metrics(s, d):
 query("log_daily_summary", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type AS tool_name, count(*) AS n, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1, 2")(
     lambda s, d: query_log.daily(query_log.from_events(T.read(s, d, "events"))).withColumn("mean_ms", F.round("mean_ms", 6)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 )
-query("log_alerts", "WITH s AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, avg(value) AS score FROM events GROUP BY 1), low AS (SELECT day FROM s WHERE score < 60 * 0.8), i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM low) SELECT min(day) AS first, max(day) AS last, count(*) AS length FROM i GROUP BY island HAVING count(*) >= 3")(
-    lambda s, d: query_log.alerts(T.read(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("score")), 60.0)
+query("log_alerts", "WITH s AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, avg(value) AS score FROM events GROUP BY 1), low AS (SELECT day FROM s WHERE score < 64 * 0.8), i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS island FROM low) SELECT min(day) AS first, max(day) AS last, count(*) AS length FROM i GROUP BY island HAVING count(*) >= 3")(
+    lambda s, d: query_log.alerts(T.read(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("score")), 64.0)
 )
