@@ -122,7 +122,7 @@ class TokenStore:
     width: int
 
     def chunks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("digest binary, n int, data binary").parquet(f"{self.path}/chunks/kind=0")
+        return spark.read.schema("digest binary, n int, data binary, kind int").parquet(f"{self.path}/chunks").where("kind = 0").select("digest", "n", "data")
 
     def recipes(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("shard int, rank long, doc_id long, n_tokens long, digests binary, leaf string").parquet(f"{self.path}/recipes")
