@@ -63,11 +63,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Words whose hashes one worker keeps: the frequent ones, as others are quickly hashed again.
+CACHE_WORDS = 150_000
 _WORDS: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > CACHE_WORDS:
         _WORDS.clear()
     got = list(map(_WORDS.get, words))
     if None in got:

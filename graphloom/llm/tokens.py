@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: Pieces that one Python worker keeps.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_500_000
 #: White space on which Python and the tokenizer's patterns might differ, or that the byte vocabulary attaches to neighbours.
 _ODD_BYTE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　\x02]|[ \n][ \n]|^[ \n]|[ \n]$")
 _ODD_WORD = re.compile(r"[\x1c-\x1f\x85]")
