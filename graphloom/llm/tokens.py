@@ -15,24 +15,24 @@ from array import array
 
 import numpy as np
 
-#: Pieces that one Python worker keeps.
+#: Pieces that one Python worker keeps, unless told otherwise: some 170 bytes each.
 CACHE_PIECES = 1_500_000
 #: White space on which Python and the tokenizer's patterns might differ, or that the byte vocabulary attaches to neighbours.
 _ODD_BYTE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　\x02]|[ \n][ \n]|^[ \n]|[ \n]$")
 _ODD_WORD = re.compile(r"[\x1c-\x1f\x85]")
-_OPEN: dict[tuple[str, str], "PieceTokenizer"] = {}
+_OPEN: dict[tuple[str, str, int], "PieceTokenizer"] = {}
 
 
 class PieceTokenizer:
     """``kind`` is "byte" (byte-level pieces keep their leading space) or "word" (white space is dropped)."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = kind
+        self.kind, self.cache_pieces = kind, cache_pieces
         self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.cache: dict[str, bytes] = {}
@@ -52,8 +52,8 @@ class PieceTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         odd, byte, cache = (_ODD_BYTE if self.kind == "byte" else _ODD_WORD), self.kind == "byte", self.cache
-        if len(cache) > CACHE_PIECES:  # the first to come are the frequent ones
-            for k in list(cache)[CACHE_PIECES // 2 :]:
+        if len(cache) > self.cache_pieces:  # the first to come are the frequent ones
+            for k in list(cache)[self.cache_pieces // 2 :]:
                 del cache[k]
         out: list[np.ndarray] = []
         for text in texts:
@@ -71,8 +71,9 @@ class PieceTokenizer:
         return out
 
 
-def piece_tokenizer(path: str, kind: str) -> PieceTokenizer:
-    """One tokenizer for each Python worker, path and kind."""
-    if (path, kind) not in _OPEN:
-        _OPEN[path, kind] = PieceTokenizer(path, kind)
-    return _OPEN[path, kind]
+def piece_tokenizer(path: str, kind: str, cache_pieces: int = CACHE_PIECES) -> PieceTokenizer:
+    """One tokenizer for each Python worker, path, kind and size of its cache."""
+    key = path, kind, cache_pieces
+    if key not in _OPEN:
+        _OPEN[key] = PieceTokenizer(*key)
+    return _OPEN[key]
