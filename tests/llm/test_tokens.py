@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from graphloom.llm import packing, token_store
+from graphloom.llm.tokens import PieceTokenizer
 
 from .helpers import edge_documents, save_documents
 
@@ -129,3 +130,13 @@ def test_checksums_combine():
     a, b = b"abc" * 100, b"xyz" * 77
     part = token_store.shifted(np.array([zlib.crc32(a), zlib.crc32(b)]), np.array([len(b), 0]))
     assert int(part[0]) ^ int(part[1]) == zlib.crc32(a + b)
+
+
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_a_small_cache_changes_no_ids(name, kind):
+    path = public_tokenizers.path(name)
+    texts = [f"word{k % 37} other{k}, and some more; {k}!" for k in range(200)] * 2
+    small, own = PieceTokenizer(path, kind, cache_pieces=5), Tokenizer.from_file(path)
+    for text in texts:
+        assert small.encode([text])[0].tolist() == own.encode(text, add_special_tokens=False).ids
+    assert len(small.cache) < 50
