@@ -20,6 +20,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import documents, materialize
+from .common import documents, drop_shared, materialize, release
 from .components import components
 
 SEED = 42
@@ -85,86 +86,134 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 3, id_col: s
     return own.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bottom hashes of a text's shingle set (32 bits each) by which similarity is judged; exact for texts with no more shingles.
-SKETCH = 256
-#: Pieces (of some 16 words, cut by content) whose digests a text is looked up by.
-PIECES = 8
-#: Drawn holders of a key that its other texts meet, besides the least and the greatest.
-HOLDERS = 3
+#: Drawn holders of a key that its other texts meet in the first round, besides the least and the greatest.
+HOLDERS = 1
+#: Holders from which a shingle is common, and common shingles that are put last in every prefix; they change no result.
+COMMON, COMMON_KEPT = 16, 50_000
 
 
-def _profile(text: str | None, words: int) -> tuple[int, int, np.ndarray, list[int]]:
-    """SimHash, number of distinct shingles, their least hashes, and least piece digests."""
+def _profile(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
+    """SimHash, number of distinct shingles, and their hashes (32 bits each), ascending."""
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not own:
-        return 0, 0, np.empty(0, dtype=np.int64), []
+        return 0, 0, np.empty(0, dtype=np.int64)
     hash64 = xxhash.xxh64_intdigest
     shingles = map(b" ".join, zip(*(own[k:] for k in range(words)))) if len(own) > words else [b" ".join(own)]
     h = np.array([hash64(s, SEED) for s in shingles], dtype=np.uint64)
     ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     fp = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
     least = np.unique(h >> np.uint64(32)).astype(np.int64)
-    # a piece ends after a shingle whose hash says so, eight words on at least
-    pieces, start = [], 0
-    for c in (np.flatnonzero(h % np.uint64(12) == 0) + 1).tolist():
-        if c - start >= 8:
-            pieces.append(hash64(b" ".join(own[start:c]), 5) >> 1)
-            start = c
-    pieces.append(hash64(b" ".join(own[start:]), 5) >> 1)
-    return fp, len(least), least[:SKETCH], sorted(set(pieces))[:PIECES]
+    return fp, len(least), least
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
+def _prefix(least: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles of which two sets share one if they share ``similarity`` of the larger: the first in an order that puts common ones last.
+
+    ``common`` is ascending, and ``rank`` is the place of each in the order.
+    """
+    if len(common):
+        at = np.minimum(np.searchsorted(common, least), len(common) - 1)
+        late = common[at] == least
+        least = np.concatenate([least[~late], least[late][np.argsort(rank[at[late]], kind="stable")]])
+    return least[: len(least) - math.ceil(similarity * len(least) - 1e-9) + 1]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, first) of each distinct row: h is a hash of its text, first says whether it is its group's first.
 
-    Candidates come from the multi-index on SimHash fingerprints and, as two
-    texts at similarity 0.8 often differ in more bits than balls can reach,
-    from the digests of pieces cut by content: a text meets some holders of
-    its fingerprint and of each of its least piece digests, never all of them.  Each candidate is verified by the similarity of the shingle sets
-    (estimated from SKETCH least hashes where a set has more), and verified
-    links are joined to groups.  Texts without words are left alone.
+    Candidates come from a prefix filter, which misses no pair: sets that
+    are similar enough share one of the first shingles of each.  First each
+    text meets a few holders of each of its keys.  Then, in keys whose holders
+    are not yet in one group, every two holders of different groups meet, so
+    each pair is verified or joined by others, and large groups of copies are
+    not paired.  Each candidate is verified by the similarity of the whole
+    shingle sets, and verified links are joined to groups.  Texts without words are left alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
-                fp, n, least, pieces = zip(*(_profile(t, words) for t in part.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array([x.astype(np.uint32).view(np.int32) for x in least], pa.list_(pa.int32())), pa.array(pieces, pa.list_(pa.int64()))], names=["doc_id", "h", "fp", "n", "least", "pieces"])
+                fp, n, least = zip(*(_profile(t, words) for t in part.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array([x.astype(np.uint32).view(np.int32) for x in least], pa.list_(pa.int32()))], names=["doc_id", "h", "fp", "n", "least"])
+
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
+        values, ends = column.values.to_numpy().view(np.uint32), column.offsets.to_pylist()
+        return (values[x:y] for x, y in zip(ends, ends[1:]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y, nx, ny = (b.column(k).to_pylist() for k in range(2, 6))
             good = []
-            for p, q, n, m in zip(x, y, nx, ny):
-                p, q = (np.array(v, dtype=np.int32).view(np.uint32) for v in (p, q))
-                both = np.union1d(p, q)
-                if n > SKETCH or m > SKETCH:
-                    both = both[:SKETCH]
-                good.append(len(np.intersect1d(np.intersect1d(p, q, True), both, True)) >= similarity * len(both))
+            for p, q in zip(sets(b.column(2)), sets(b.column(3))):
+                shared = len(np.intersect1d(p, q, True))
+                good.append(shared >= similarity * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    profiles = materialize(own.mapInArrow(run, "doc_id long, h long, fp long, n int, least array<int>, pieces array<long>").withColumn("uid", F.xxhash64("doc_id", "h")), "profiles")
+    whole = materialize(own.mapInArrow(run, "doc_id long, h long, fp long, n int, least array<int>").withColumn("uid", F.xxhash64("doc_id", "h")).withColumn("same", F.xxhash64("fp", "n", "least")), "profiles")
+    profiles = materialize(whole.drop("least"), "profiles-only")
     # texts with one shingle set are one class; its first stands for it
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "uid")
-    alike = profiles.where("n > 0").groupBy(F.xxhash64("fp", "n", "least").alias("same"), "fp", "n").agg(F.min(order).alias("o"))
-    firsts = materialize(profiles.where("n > 0").select("uid", "fp", "n", "least", "pieces").join(alike.select(F.col("o.uid").alias("uid")), "uid").dropDuplicates(["uid"]), "first-profiles")
-    keys = firsts.select("uid", F.explode(F.concat(F.array("fp"), "pieces")).alias("key"))
-    draws = [F.min_by("uid", F.xxhash64("uid", "key", F.lit(k))) for k in range(HOLDERS)]
-    holders = keys.groupBy("key").agg(F.array_distinct(F.array(F.min("uid"), F.max("uid"), *draws)).alias("to")).where("size(to) > 1")
-    met = keys.join(holders, "key").select("uid", F.explode("to").alias("to")).where("uid <> to").select(F.greatest("uid", "to").alias("a"), F.least("uid", "to").alias("b"))
-    reps = firsts.groupBy("fp").agg(F.min("uid").alias("uid"))
-    near = linked(reps.select("fp"), distance)
-    near = near.join(reps.select(F.col("fp").alias("a"), F.col("uid").alias("ua")), "a").join(reps.select(F.col("fp").alias("b"), F.col("uid").alias("ub")), "b").select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b"))
+    alike = profiles.where("n > 0").groupBy("same", "fp", "n").agg(F.min(order).alias("o"))
+    firsts = materialize(whole.where("n > 0").select("uid", "n", "least").join(alike.select(F.col("o.uid").alias("uid")), "uid").dropDuplicates(["uid"]), "first-profiles")
+    drop_shared(docs.sparkSession, whole)
+    release(docs.sparkSession)
+    size, share = F.size("least"), F.lit(similarity)
+    counts = firsts.select(F.explode(F.slice("least", F.lit(1), (size - F.ceil(share * size - 1e-9) + 1).cast("int"))).alias("key")).groupBy("key").count()
+    often = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(COMMON_KEPT).collect()
+    often = sorted((r.key & 0xFFFFFFFF, -k) for k, r in enumerate(often))
+    common, rank = np.array([x for x, _ in often], dtype=np.uint32), np.array([x for _, x in often], dtype=np.int64)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            uids, sizes, found = [], [], []
+            for uid, least in zip(b.column(0).to_pylist(), sets(b.column(1))):
+                found.append(_prefix(least, common, rank, similarity))
+                uids.append(np.full(len(found[-1]), uid, dtype=np.int64))
+                sizes.append(np.full(len(found[-1]), len(least), dtype=np.int32))
+            if uids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int32)), *(pa.array(np.concatenate(x)) for x in (uids, sizes))], names=["key", "uid", "size"])
+
+    keys = firsts.select("uid", "least").mapInArrow(prefixes, "key int, uid long, size int")
+    repeated = keys.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("key")
+    keys = materialize(keys.join(repeated, "key"), "shared-keys")
+    release(docs.sparkSession)
+
+    def likely(met: DataFrame) -> DataFrame:
+        """Pairs that share enough keys: what two sets share besides is behind the prefix of one of them."""
+        met = met.where(F.least("size", "to_size") >= share * F.greatest("size", "to_size") - 1e-9)
+        pairs = met.groupBy(F.greatest("uid", "to").alias("a"), F.least("uid", "to").alias("b")).agg(F.count("*").alias("keys"), F.max(F.greatest("size", "to_size")).alias("larger"), F.max(F.col("size") + F.col("to_size")).alias("total"))
+        behind = F.ceil(share * F.col("larger") - 1e-9) - 1
+        return pairs.where(F.col("keys") + behind >= share / (1 + share) * F.col("total") - 1e-6).select("a", "b")
+
+    # the same holders are drawn for all keys, so copies meet them in many
+    held = F.struct("uid", "size")
+    draws = [F.min_by(held, F.xxhash64("uid", F.lit(k))) for k in range(HOLDERS)]
+    holders = keys.groupBy("key").agg(F.array_distinct(F.array(F.min(held), F.max(held), *draws)).alias("to"))
+    # two holders of a key meet once, not from each side
+    both = F.array_contains(F.col("to.uid"), F.col("uid"))
+    met = keys.join(holders, "key").select("uid", "size", both.alias("both"), F.explode("to").alias("to")).where(~F.col("both") | (F.col("uid") > F.col("to.uid"))).select("uid", "size", F.col("to.uid").alias("to"), F.col("to.size").alias("to_size"))
     side = lambda k: firsts.select(F.col("uid").alias(k), F.col("least").alias(f"least_{k}"), F.col("n").alias(f"n_{k}"))
-    pairs = met.union(near).distinct().join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= 0.7 * similarity * F.greatest("n_a", "n_b"))
-    links = pairs.select("a", "b", "least_a", "least_b", "n_a", "n_b").mapInArrow(verify, "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9)
+        return both.select("a", "b", "least_a", "least_b").mapInArrow(verify, "a long, b long")
+
+    links = materialize(verified(likely(met)), "first-links")
     roots = components(links)
+    # keys with holders in several groups: all pairs across groups; one of each two is outside the key's largest group
+    rooted = keys.join(roots, keys["uid"] == roots["node"], "left").select("key", "uid", "size", F.coalesce("root", "uid").alias("root"))
+    largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+    rooted = materialize(rooted.join(largest.select("key", "largest"), "key"), "open-keys")
+    others = rooted.select("key", F.col("uid").alias("to"), F.col("size").alias("to_size"), F.col("root").alias("to_root"))
+    once = (F.col("to_root") == F.col("largest")) | (F.col("uid") < F.col("to"))
+    across = rooted.where("root <> largest").join(others, "key").where((F.col("root") != F.col("to_root")) & once)
+    more = materialize(verified(likely(across)), "more-links")
+    if not more.isEmpty():
+        roots = components(links.union(more))
     # the group of every row, by way of its class
-    classed = profiles.withColumn("same", F.xxhash64("fp", "n", "least")).select("doc_id", "h", "uid", "n", "same", "fp")
     of = alike.select("same", "fp", "n", F.col("o.uid").alias("class")).join(roots, F.col("class") == F.col("node"), "left").select("same", "fp", "n", F.coalesce("root", "class").alias("root"))
-    grouped = classed.join(of, ["same", "fp", "n"], "left").withColumn("root", F.coalesce("root", "uid"))
+    grouped = profiles.join(of, ["same", "fp", "n"], "left").withColumn("root", F.coalesce("root", "uid"))
     least = grouped.groupBy("root").agg(F.min(order).alias("o"))
     return grouped.join(least, "root").groupBy("doc_id", "h").agg(F.max(F.col("uid") == F.col("o.uid")).alias("first"))
 

@@ -117,6 +117,32 @@ def test_near_copies_of_every_kind(spark):
     assert sum(len(v) for v in left.values()) <= 6 and kept[-5:] == list(range(30, 35))
 
 
+def test_near_copies_of_one_original(spark):
+    """Copies are near their original, and seldom near each other: each star is one group."""
+    rng, texts, stars = random.Random(8), [], []
+    for n, copies, changed in ((120, 300, 2), (300, 150, 6)):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        star = [base]
+        for _ in range(copies):
+            own = list(base)
+            for k in range(rng.randrange(n // changed), n, n // changed):
+                own[k] = f"x{rng.randrange(10**6)}"
+            star.append(own)
+        rng.shuffle(star)
+        stars.append((len(texts), len(texts) + len(star)))
+        texts += [" ".join(x) for x in star]
+    # copies of many lengths
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    stars.append((len(texts), len(texts) + 100))
+    texts += [" ".join([*base, *(f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(21)))]) for _ in range(99)] + [" ".join(base)]
+    near = len(texts)
+    # one long passage in texts that are not near each other
+    passage = [f"p{k}" for k in range(50)]
+    texts += [" ".join([*passage, *(f"y{rng.randrange(10**6)}" for _ in range(30))]) for _ in range(40)]
+    kept = sorted(r.doc_id for r in simhash.one_of_each_group(edge_documents(spark, texts)).collect())
+    assert kept == [*(low for low, _ in stars), *range(near, len(texts))]
+
+
 def test_edges_and_empty(spark, tmp_path):
     folder = save_documents(edge_documents(spark).drop("shard", "size"), tmp_path / "a")
     assert pipeline.run(spark, folder).count() > 0
