@@ -60,7 +60,7 @@ DROP_WORDS = frozenset(
 HEADER_WORDS = frozenset("header head".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)[^<>]*(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -74,8 +74,12 @@ class Node:
         self.tag, self.drop, self.root, self.children, self.text, self.links, self.shape, self.slot = tag, drop, root, [], "", 0, "", -1
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is no article text, marks the article, or is a header."""
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is no article text, marks the article, or is a header.
+
+    In a marked article ids name its sections, and only whole class names and roles tell.
+    """
+    inside |= tag in ("article", "main")
     drop, root, header = tag in DROP_TAGS, tag in ("article", "main"), tag in ("header", "hgroup")
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
@@ -84,8 +88,8 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
                 drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 drop = True
-            elif name != "aria-hidden":
-                words = {w.lower() for w in _NAME.findall(value)}
+            elif name in ("class", "id", "role"):
+                words = {w.lower() for w in _NAME.findall(value)} if not inside else set(value.lower().split()) if name != "id" else set()
                 drop |= bool(words & DROP_WORDS)
                 header |= bool(words & HEADER_WORDS)
                 root |= name == "role" and value.lower() in ("main", "article")
@@ -159,7 +163,7 @@ def parse(source: str) -> Node:
         if tag in INLINE:
             if tag == "a":
                 in_link = 1
-            if not ignored and tag not in VOID and attributes and _marks(tag, attributes)[0]:
+            if not ignored and tag not in VOID and attributes and _marks(tag, attributes, any(x.root for x in stack))[0]:
                 ignored = tag
             continue
         ignored = ""
@@ -180,10 +184,11 @@ def parse(source: str) -> Node:
                     break
                 if stack[k].tag in BARRIER and stack[k].tag not in ("td", "th"):
                     break
-        drop, root, header = _marks(tag, attributes)
+        inside = any(x.root for x in stack)
+        drop, root, header = _marks(tag, attributes, inside)
         if header and not drop:
             # an article's own header has its title; a page's has none of its text
-            drop = not any(x.root for x in stack)
+            drop = not inside
         node = Node(tag, drop, root)
         if not attributes.rstrip().endswith("/") or tag in BARRIER:
             stack[-1].children.append(node)

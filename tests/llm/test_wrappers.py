@@ -86,6 +86,19 @@ def slow_size(a, b):
     return 1 + t[-1][-1]
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<article><section id='discussion'><h2 id=related-work>R</h2><p>r</p></section><h2 id='search-algorithms'>S</h2><h2 id='ad-hoc-networks'>N</h2></article>", "R\n\nr\n\nS\n\nN"),
+        ("<main id=search><p class='social-contract'>s</p><div class='share x'>no</div><div role=navigation>no</div></main>", "s"),
+        ("<p>a <a href='/wiki/hidden-markov'>b</a> <a href='/p?id=search'>c</a></p><p title='the hidden layer'>d</p><p data-class='ad'>e</p>", "a b c\n\nd\n\ne"),
+        ("<p>a</p><p title='x' hidden>no</p><p CLASS=ad>no</p><div id='search-box'>no</div>", "a"),
+    ],
+)
+def test_words_that_only_look_like_marks(source, text):
+    assert "\n\n".join(t for _, keep, t in w.blocks(w.parse(source)) if keep) == text
+
+
 def test_alignment_matches_as_many_nodes_as_simple_tree_matching():
     rng = random.Random(9)
 
