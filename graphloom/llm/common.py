@@ -12,33 +12,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: For tables that this subpackage writes: no checksum files beside them, as Parquet's pages have checksums of their own. Without its native library
+#: Hadoop starts four processes for each file that it writes with them to a mounted folder, and each starts as an image of the whole executor.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Taken from ``spark.checkpoint.dir``; only where that is unset (tests, local
-    mode) a temporary folder is created and registered for checkpoints.
+    Taken from ``spark.checkpoint.dir``; only where that is unset and Spark
+    runs in one process (tests, local mode) a temporary folder is created.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="graphloom-shared-")
         sc.setCheckpointDir(path)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
     return path
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     This cuts the lineage and survives the loss of any executor.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", codec)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.options(**PLAIN_FILES).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

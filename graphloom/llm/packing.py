@@ -2,12 +2,16 @@
 
 A document's ids are cut into as many full windows of the longest context as
 they fill; its remainder is routed to the smallest context-size tier that
-holds it.  Each tier is packed longest first: a window opens with the longest
-waiting remainder, and its gap is filled with the best-fitting remainders of
-the same and shorter tiers; what still gapes is filled by cutting a piece.
-At the end of a partition the rest leaves in sequences whose lengths are
-powers of two, which need no padding.  Sequences are then dealt to step groups
-of equal size and near-equal attention cost.
+holds it.  Each tier is packed into windows of its own size, longest tier
+first: a window opens with the longest remainder that waits in its tier, and
+its gap is filled with the best-fitting remainders of the same and shorter
+tiers.  Where all that wait are longer than the gap, one is cut, and what is
+left of it is routed again.  At the end of a partition, where too few ids are
+left to fill a tier's window, they leave in sequences whose lengths are powers
+of two, which need no padding.
+
+Sequences of one tier are dealt to step groups of one token budget and
+near-equal attention cost, so all sequences of a training step have one size.
 
 Everything happens inside the scan's own partitions: there is no shuffle, a
 task holds only the remainders that wait (``QUEUE_TOKENS`` at most), and a
@@ -30,26 +34,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .tokens import CACHE_PIECES, piece_tokenizer
 
-#: Context sizes, ascending; the last is the window that is filled.
+#: Context sizes, ascending powers of two; each tier's windows have its size.
 TIERS = (128, 256, 512, 1024)
 #: Tokens of remainders that wait in a task before windows are closed.
 QUEUE_TOKENS = 1 << 21
-#: Sequences of a step group.
-STEP_SEQUENCES = 64
+#: Tokens of a step group, and groups among which a tier's sequences are dealt.
+STEP_TOKENS, STEPS = 1 << 16, 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class Packer:
-    """Packs one partition's documents; ``take`` and ``finish`` yield rows of SCHEMA's columns."""
+    """Packs one partition's documents; ``rows`` gives rows of SCHEMA's columns."""
 
     def __init__(self, base: int, tiers: tuple[int, ...] = TIERS):
         self.base, self.tiers, self.window = base, tiers, tiers[-1]
-        self.waiting: list[list] = [[] for _ in range(self.window)]  # by length
+        self.waiting: list[list] = [[] for _ in range(self.window)]  # by length; a tier's are those longer than the tier before
         self.lengths = 0  # a bit for each length that waits
         self.tokens = self.sequences = self.groups = 0
-        self.ready: list[tuple[int, list]] = []  # attention cost, pieces
+        self.ready: dict[int, list] = {t: [] for t in tiers}  # by tier: attention cost, pieces
 
     def _put(self, piece: tuple) -> None:
+        """Route a remainder to its tier."""
         n = piece[2]
         self.waiting[n].append(piece)
         self.lengths |= 1 << n
@@ -63,19 +68,20 @@ class Packer:
         return piece
 
     def _close(self, pieces: list) -> None:
-        self.ready.append((sum(p[2] * p[2] for p in pieces), pieces))
+        size = sum(p[2] for p in pieces)
+        self.ready[next(t for t in self.tiers if size <= t)].append((sum(p[2] * p[2] for p in pieces), pieces))
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         n, at = len(ids), 0
         while n - at >= self.window:
-            self._close([(doc_id, at, self.window, ids, n)])
+            self._close([(doc_id, at, self.window, ids[at : at + self.window], n)])
             at += self.window
         if at < n:
             # the remainder alone: the whole document's ids need not wait
             self._put((doc_id, at, n - at, ids[at:].copy(), n))
 
     def _fill(self, size: int) -> None:
-        """Close one sequence of exactly ``size`` tokens from what waits."""
+        """Close one sequence of exactly ``size`` tokens from what waits, the longest that fit first."""
         pieces, gap = [], size
         while gap:
             fits = self.lengths & ((1 << (gap + 1)) - 1)
@@ -89,33 +95,36 @@ class Packer:
             gap -= piece[2]
         self._close(pieces)
 
-    def drain(self, low: int) -> None:
-        while self.tokens >= max(low, self.window):
-            self._fill(self.window)
+    def drain(self, keep: int) -> None:
+        """Pack each tier, the longest first, until ``keep`` tokens wait or no window can be filled."""
+        below = (0, *self.tiers)
+        for low, tier in reversed([*zip(below, self.tiers)]):
+            own = (1 << (tier + 1)) - (1 << (low + 1))
+            while self.lengths & own and self.tokens >= max(keep, tier):
+                self._fill(tier)  # the longest that fits is the tier's own longest
 
     def finish(self) -> None:
         self.drain(0)
         while self.tokens:
-            self._fill(1 << (self.tokens.bit_length() - 1))
+            self._fill(min(self.window, 1 << (self.tokens.bit_length() - 1)))
 
     def rows(self, everything: bool = False) -> list[tuple]:
-        """Rows of the sequences that are ready, dealt to step groups of near-equal cost."""
-        n = len(self.ready) if everything else len(self.ready) // STEP_SEQUENCES * STEP_SEQUENCES
-        batch, self.ready = self.ready[:n], self.ready[n:]
-        groups = max(1, -(-n // STEP_SEQUENCES))
+        """Rows of the sequences that are ready, dealt to step groups of one tier and near-equal cost."""
         out = []
-        for k, (_, pieces) in enumerate(sorted(batch, key=lambda x: -x[0])):  # stable
-            turn, at = divmod(k, groups)
-            group = self.base + self.groups + (at if turn % 2 == 0 else groups - 1 - at)
-            offset, size = 0, sum(p[2] for p in pieces)
-            tier = next(t for t in self.tiers if size <= t)
-            for doc_id, start, length, ids, total in pieces:
-                own = ids[start : start + length] if len(ids) == total else ids[:length]
-                crc = zlib.crc32(own.astype("<u4").tobytes())
-                out.append((doc_id, start, length, crc, total, self.base + self.sequences, offset, tier, group))
-                offset += length
-            self.sequences += 1
-        self.groups += groups if n else 0
+        for tier, ready in self.ready.items():
+            each = max(1, STEP_TOKENS // tier)
+            n = len(ready) if everything else len(ready) // (each * STEPS) * each * STEPS
+            groups = -(-n // each)
+            for k, (_, pieces) in enumerate(sorted(ready[:n], key=lambda x: -x[0])):  # stable
+                turn, at = divmod(k, groups)
+                group = self.base + self.groups + (at if turn % 2 == 0 else groups - 1 - at)
+                offset = 0
+                for doc_id, start, length, ids, total in pieces:
+                    out.append((doc_id, start, length, zlib.crc32(ids.astype("<u4").tobytes()), total, self.base + self.sequences, offset, tier, group))
+                    offset += length
+                self.sequences += 1
+            self.groups += groups
+            del ready[:n]
         return out
 
 
@@ -135,11 +144,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                packer.add(doc_id, np.concatenate([tok.encode([text or ""])[0], end]))
+            for doc_id, ids in zip(b.column(0).to_pylist(), tok.encode(t.as_py() or "" for t in b.column(1))):
+                packer.add(doc_id, np.concatenate([ids, end]))
                 if packer.tokens >= QUEUE_TOKENS:
                     packer.drain(QUEUE_TOKENS // 2)
-                if len(packer.ready) >= 16 * STEP_SEQUENCES:
+                if any(len(x) * tier >= STEPS * STEP_TOKENS for tier, x in packer.ready.items()):
                     yield batch(packer.rows())
         packer.finish()
         if rows := packer.rows(everything=True):

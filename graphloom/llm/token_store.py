@@ -4,7 +4,8 @@ Every document's id stream (its ids and the end id) is cut into chunks where a
 rolling hash of the last ids meets a mask, so equal passages give equal chunks
 wherever they stand.  The store has three Parquet datasets:
 
-``chunks``     digest, n (ids) and data (little-endian ids), once per digest;
+``chunks``     digest, n (ids) and data (little-endian ids), once per digest
+               (rows of another kind hold the recipes as they came);
 ``recipes``    one row per document in ascending doc_id order: its digests,
                its place and a leaf digest; shard k holds smaller ids than k+1;
 ``manifests``  per shard: documents, ids, first and last doc_id and the Merkle
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import documents, shared_dir
+from .common import PLAIN_FILES, documents, shared_dir
 from .tokens import piece_tokenizer
 
 #: Chunks have at least and at most so many ids; between, one cut in so many positions on average.
@@ -42,6 +43,9 @@ MIN_IDS, MEAN_IDS, MAX_IDS = 64, 512, 4096
 ROLL = 8
 #: Recipes under one inner node of the Merkle tree.
 FANOUT = 1024
+#: Digests that a task remembers, so that it sends a chunk once, and bytes that it hands over at a time.
+SEEN, HANDED = 200_000, 1 << 22
+_CHUNKS = "kind int, digest binary, n int, data binary, doc_id long, n_tokens long"
 
 _POLY = 0xEDB88320
 
@@ -122,7 +126,7 @@ class TokenStore:
     width: int
 
     def chunks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("digest binary, n int, data binary, kind int").parquet(f"{self.path}/chunks").where("kind = 0").select("digest", "n", "data")
+        return spark.read.schema(_CHUNKS).parquet(f"{self.path}/chunks").where("kind = 0").select("digest", "n", "data")
 
     def recipes(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("shard int, rank long, doc_id long, n_tokens long, digests binary, leaf string").parquet(f"{self.path}/recipes")
@@ -139,25 +143,36 @@ def _encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
 
         tok = piece_tokenizer(tokenizer_path, "word")
         end, row, seen = np.array([end_id], dtype=tok.dtype), TaskContext.get().partitionId() << 33, set()
+        out: list[tuple] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            kind, key, n, data, doc, total = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(data, pa.binary()), pa.array(doc, pa.int64()), pa.array(total, pa.int64())], names=["kind", "digest", "n", "data", "doc_id", "n_tokens"])
+
         for b in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, at, own = np.concatenate([tok.encode([text or ""])[0], end]), 0, []
+            for doc_id, body in zip(b.column(0).to_pylist(), tok.encode(t.as_py() or "" for t in b.column(1))):
+                ids, at, own = np.concatenate([body, end]), 0, []
                 for e in cut_points(ids):
                     data = ids[at:e].tobytes()
                     own.append(d := digest(data))
                     if d not in seen:  # once per task is enough; the shuffle unites tasks
-                        if len(seen) < 1_000_000:
+                        if len(seen) < SEEN:
                             seen.add(d)
                         out.append((0, d, e - at, data, None, None))
+                        size += len(data)
                     at = e
                 out.append((1, row.to_bytes(8, "big"), None, b"".join(own), doc_id, len(ids)))
+                size += 64 + 16 * len(own)
                 row += 1
-            if out:
-                kind, key, n, data, doc, total = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(data, pa.binary()), pa.array(doc, pa.int64()), pa.array(total, pa.int64())], names=["kind", "digest", "n", "data", "doc_id", "n_tokens"])
+                if size >= HANDED:
+                    yield batch()
+                    out.clear()
+                    size = 0
+        if out:
+            yield batch()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "kind int, digest binary, n int, data binary, doc_id long, n_tokens long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, _CHUNKS)
 
 
 def _merkle(recipes: DataFrame) -> DataFrame:
@@ -177,13 +192,14 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     spark = docs.sparkSession
     store = TokenStore(path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", piece_tokenizer(tokenizer_path, "word").dtype.itemsize)
     rows = _encode(docs, tokenizer_path, end_id, id_col, text_col)
-    (rows.dropDuplicates(["kind", "digest"]).write.option("compression", "zstd").partitionBy("kind").parquet(f"{store.path}/chunks"))
-    raw = spark.read.schema("kind int, digest binary, n int, data binary, doc_id long, n_tokens long").parquet(f"{store.path}/chunks").where("kind = 1")
+    # tasks send a chunk once, so equal ones meet and are sorted behind the shuffle only
+    rows.repartition("kind", "digest").dropDuplicates(["kind", "digest"]).write.options(**PLAIN_FILES).option("compression", "zstd").parquet(f"{store.path}/chunks")
+    raw = spark.read.schema(_CHUNKS).parquet(f"{store.path}/chunks").where("kind = 1")
     ordered = raw.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
     leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit("|").cast("binary"), F.col("n_tokens").cast("string").cast("binary"), F.lit("|").cast("binary"), F.col("data")), 256)
     numbered = ordered.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("m"), "doc_id", "n_tokens", F.col("data").alias("digests"), leaf.alias("leaf"))
-    numbered.select("shard", (F.col("m") % (1 << 33)).alias("rank"), "doc_id", "n_tokens", "digests", "leaf").write.option("compression", "zstd").parquet(f"{store.path}/recipes")
-    _merkle(store.recipes(spark)).write.parquet(f"{store.path}/manifests")
+    numbered.select("shard", (F.col("m") % (1 << 33)).alias("rank"), "doc_id", "n_tokens", "digests", "leaf").write.options(**PLAIN_FILES).option("compression", "zstd").parquet(f"{store.path}/recipes")
+    _merkle(store.recipes(spark)).write.options(**PLAIN_FILES).parquet(f"{store.path}/manifests")
     return store
 
 
