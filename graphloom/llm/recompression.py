@@ -3,8 +3,9 @@
 Words are symbols.  In rounds, runs of equal symbols get a name, then pairs: a
 symbol's hash puts it left or right for the round, and a left symbol with a
 right one after it merge.  A name is a hash of what it stands for, so it is
-the same in every task without a shared dictionary, and equal substrings get
-the same symbols inside; only near their ends does the context decide.  Every
+global, the same in every task, without rounds of Spark that number names;
+equal substrings get the same symbols inside, and only near their ends does
+the context decide.  Every
 symbol carries the stretch of words that its existence depends on, so what a
 window of words says by itself is known exactly.
 
@@ -28,8 +29,9 @@ made once and what is shuffled for one step is dropped before the next.
 
 Nulls and edge cases: a null text has no words; texts shorter than a window
 keep all words; null ids count as larger than any other, and rows that share
-an id are one document in comparisons but keep their rows; an empty table gives
-an empty result; other columns are ignored.
+an id (or have none) remove nothing from each other, but each loses what a
+smaller id has, as spans belong to an id and a text; an empty table gives an
+empty result; other columns are kept or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -182,18 +184,18 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _stretches(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, first, last, anchor, h1): windows first..last of a document share an anchor; the hash is of all their words."""
+    """(doc, row, first, last, anchor, h1): windows first..last of a row share an anchor; the hash is of all their words."""
 
-    def handle(held: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+    def handle(held: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
         # documents lie one after the other, a symbol of its own between any two
         starts, words, n = [], [], 0
-        for _, own in held:
+        for _, _, own in held:
             starts.append(n)
             words += own
             n += len(own) + 1
         hashes, valid, at = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool), 0
         flat = word_hashes(words)
-        for k, (start, (_, own)) in enumerate(zip(starts, held)):
+        for k, (start, (_, _, own)) in enumerate(zip(starts, held)):
             hashes[start : start + len(own)] = flat[at : at + len(own)]
             at += len(own)
             hashes[start + len(own)] = mix64(np.array([k + 1], dtype=np.uint64) * _B)[0]
@@ -211,19 +213,19 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
             h1, h2 = roll.of(first, last + window)
             h1 = mix64(h1 + h2 * _A + (place[first] - first).astype(np.uint64))
         base = np.array(starts)[doc]
-        ids = np.array([d for d, _ in held], dtype=np.int64)[doc]
+        ids, rows = (np.array([x[k] for x in held], dtype=np.int64)[doc] for k in (0, 1))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (name[first], h1))],
-            names=["doc", "first", "last", "anchor", "h1"],
+            [pa.array(ids), pa.array(rows), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (name[first], h1))],
+            names=["doc", "row", "first", "last", "anchor", "h1"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 own = _words(text.as_py())
                 if len(own) >= window:
-                    held.append((doc, own))
+                    held.append((doc, row, own))
                     size += len(own)
                     if size > BATCH_WORDS:
                         yield handle(held)
@@ -231,13 +233,13 @@ def _stretches(docs: DataFrame, window: int) -> DataFrame:
         if held:
             yield handle(held)
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, first int, last int, anchor long, h1 long")
+    return docs.select("doc", "row", "text").mapInArrow(run, "doc long, row long, first int, last int, anchor long, h1 long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc, first, last) of window starts that repeat as whole stretches, and (doc, first, last) of stretches whose windows must be compared one by one.
+    """(doc, row, first, last) of window starts that repeat as whole stretches, and of stretches whose windows must be compared one by one.
 
-    ``docs`` has doc (long, not null) and text.
+    ``docs`` has doc (long, not null), row (long: tells rows of one doc apart) and text.
     """
     spark = docs.sparkSession
     found = materialize(_stretches(docs, window), "stretches")
@@ -245,7 +247,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
     several = contexts.groupBy("anchor").agg((F.count("*") > 1).alias("several"), F.max("shared").alias("any_shared"))
     # what is neither shared nor has a second context goes nowhere
     useful = contexts.join(several.where("several OR any_shared"), "anchor").where("several OR shared").select("anchor", "h1", "least", "several")
-    marked = found.join(useful, ["anchor", "h1"]).where("least < doc OR several").select("doc", "first", "last", (F.col("least") < F.col("doc")).alias("whole"))
+    marked = found.join(useful, ["anchor", "h1"]).where("least < doc OR several").select("doc", "row", "first", "last", (F.col("least") < F.col("doc")).alias("whole"))
     marked = materialize(marked, "marked")
     drop_shared(spark, found)
     release(spark)
@@ -253,23 +255,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Da
 
 
 def _spans(df: DataFrame) -> DataFrame:
-    """One row a document: its spans in order."""
-    return df.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    """For each doc and row its different spans."""
+    return df.groupBy("doc", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def _window_hashes(spanned: DataFrame, window: int) -> DataFrame:
-    """(doc, start, h1, h2) of each window in a document's spans."""
+    """(doc, row, start, h1, h2) of each window in a row's spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for doc, row, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 with np.errstate(over="ignore"):
                     roll = Rolling(word_hashes(_words(text.as_py())))
                     at = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans.as_py()])
                     h1, h2 = roll.of(at, at + window)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc", "start", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc", "row", "start", "h1", "h2"])
 
-    return spanned.select("doc", "text", "spans").mapInArrow(run, "doc long, start int, h1 long, h2 long")
+    return spanned.select("doc", "row", "text", "spans").mapInArrow(run, "doc long, row long, start int, h1 long, h2 long")
 
 
 def kept_words(words: list[bytes], spans: list[dict], window: int) -> list[bytes]:
@@ -283,18 +285,19 @@ def kept_words(words: list[bytes], spans: list[dict], window: int) -> list[bytes
 
 
 def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``spans``: window starts (first, last) whose words go (null: none). Needs a text column ``text``."""
-    keyed = docs.withColumn("doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)))
-    texts = keyed.select("doc", F.col("text").cast("string").alias("text"))
+    """``docs`` with ``__spans``: window starts (first, last) whose words go (null: none). Needs a text column ``text``."""
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), "__row": F.xxhash64(text)})
+    texts = keyed.select(F.col("__doc").alias("doc"), F.col("__row").alias("row"), text.alias("text"))
     whole, single = repeated_spans(texts, window)
-    windows = materialize(_window_hashes(texts.join(_spans(single), "doc"), window), "windows")
+    windows = materialize(_window_hashes(texts.join(_spans(single), ["doc", "row"]), window), "windows")
     release(docs.sparkSession)
     least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    late = windows.join(least, ["h1", "h2"]).where("least < doc").select("doc", F.col("start").alias("first"), F.col("start").alias("last"))
-    spans = materialize(_spans(whole.union(late)), "spans")
+    late = windows.join(least, ["h1", "h2"]).where("least < doc").select("doc", "row", F.col("start").alias("first"), F.col("start").alias("last"))
+    spans = materialize(_spans(whole.union(late)).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("spans").alias("__spans")), "spans")
     drop_shared(docs.sparkSession, windows)
     release(docs.sparkSession)
-    return keyed.join(spans, "doc", "left").drop("doc")
+    return keyed.join(spans, ["__doc", "__row"], "left").select(*docs.columns, "__spans")
 
 
 def removed_report(spanned: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -310,11 +313,14 @@ def removed_report(spanned: DataFrame, window: int = WINDOW) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return spanned.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return spanned.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` (with doc_id, text and n_chars) without the words that repeat: a changed text is its kept words, joined by one space; one that loses all its words goes."""
+    """``docs`` (with doc_id, text and n_chars) without the words that repeat: a changed text is its kept words, joined by one space; one that loses all its words goes.
+
+    Nulls, ties and clashing names as above: null texts and texts that lose nothing stay as they are, as do all other columns; an empty table stays empty.
+    """
     names = docs.columns
     spanned = removals(docs, window)
     at_text, at_n, at_spans = names.index("text"), names.index("n_chars"), len(names)
@@ -331,7 +337,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns[at_text], columns[at_n] = pa.array(texts, pa.string()), pa.array(n_chars, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
 
-    return spanned.select(*names, "spans").mapInArrow(run, docs.schema)
+    return spanned.mapInArrow(run, docs.schema)
 
 
 def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,23 @@ def test_empty(spark, tmp_path):
     assert r.op3_recompression(spark, save_documents(edge_documents(spark).limit(0), tmp_path)).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    """Each row loses by its own text what a smaller id has, and nothing to rows of its id; names of other columns do not matter."""
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(80)]
+    rows = []
+    for k in range(120):
+        own = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 40))]
+        at = rng.randrange(len(own) + 1)
+        rows.append((rng.choice([None, None, 1, 2, 2, 3, k]), " ".join(own[:at] + passage * rng.randrange(0, 3) + own[at:]), *range(9)))
+    rows += rows[:10] + [(None, None, *range(9)), (2, "", *range(9))]
+    names = ["n", "l", "doc", "spans", "copies", "h", "uid", "row", "n_chars"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names)).repartition(6)
+    assert sum(x[2] for x in check(spark, save_documents(df, tmp_path))) > 1000
+    left = r.without_repeats(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert left.columns == df.columns and left.count() > 60
+
+
 def test_planted_passages(spark, tmp_path):
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(300)}"
