@@ -1,23 +1,26 @@
 """Main text of web pages by wrapper induction.
 
-Each host has a model page (least hash of its id).  Every page's tree of block
-elements is aligned with its host's model by simple tree matching: two nodes
-match if their tags do, and their children are matched in order for the
-largest number of matching nodes.  Text that is the same in a slot of the
-model on all pages, over at least ``LEAST_PAGES`` different ones, belongs to
-the template; slots whose text varies hold content.
-
-Among the varying slots, elements that say what they are (menus, headers,
-footers, sidebars, adverts, notices, forms, comments, by tag, role, class or
-id) are left out, and if the page marks its article or main part, what lies
-outside that.  On pages without such a mark, blocks that are mostly links are
-left out too.
-
-Every page takes part in the induction.  Statistics of slots are combined
-before the shuffle, so a host with a third of all pages costs one row per task
-and slot; models join their pages by host, broadcast only if their measured
-size is below ``BROADCAST_BYTES``, else by a join that is split where a host
-is large.
+Each host has a model page (least hash of its id among those with markup).
+Every page's tree of block elements is aligned with its host's model by simple
+tree matching: two nodes match if their tags do, and their children are
+matched in order for the largest number of matching nodes.  Among the host's
+different pages whose blocks match one slot of the model, a text that at least
+``LEAST_PAGES`` of them and a share of ``TEMPLATE_SHARE`` have is constant: it
+belongs to the template, on every page of the host that has it there.  Slots
+whose text varies hold content, and so does what deviates in a constant slot.
+
+Boilerplate may vary too (each page its own menu), so elements that say what
+they are (menus, headers, footers, sidebars, adverts, notices, forms,
+comments, by tag, role, class or id) are left out, and if the page marks its
+article or main part, what lies outside that.  Inside such a mark a text must
+be constant on more pages (``MARKED_PAGES``, ``MARKED_SHARE``) to be template.
+On pages without such a mark, blocks that are mostly links are left out.
+
+Every page takes part in the induction; copies of a page count once.  Counts
+are combined before the shuffle, so a host with a third of all pages costs one
+row per task and text of a slot; models join their pages by host, broadcast
+only if their measured size is below ``BROADCAST_BYTES``, else by a join that
+is split where a host is large.
 
 Nulls and edge cases: a null or empty html gives the empty text; pages without
 a url share one host; broken markup is closed as browsers do for blocks;
@@ -29,16 +32,21 @@ from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialize
 
-#: Different pages that must agree before a slot is template.
-LEAST_PAGES = 20
+#: Different pages that must agree, and their share among those with the slot, before a text is template; and inside a marked article.
+LEAST_PAGES, TEMPLATE_SHARE = 3, 0.5
+MARKED_PAGES, MARKED_SHARE = 20, 0.9
+#: Cells of an alignment that are kept at once, and sizes of matched shapes that a worker remembers; they change no result.
+CELLS, SIZES_KEPT = 1 << 22, 200_000
 BROADCAST_BYTES = 8 << 20
 #: Part of a block's characters in links from which it is a menu, where no article is marked.
 LINKS = 0.6
@@ -68,10 +76,10 @@ _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 class Node:
     """An element, or a text block (tag ``#``: text, link characters)."""
 
-    __slots__ = ("tag", "children", "text", "links", "drop", "root", "shape", "slot")
+    __slots__ = ("tag", "children", "text", "links", "drop", "root", "shape", "slot", "count")
 
     def __init__(self, tag: str, drop: bool = False, root: bool = False):
-        self.tag, self.drop, self.root, self.children, self.text, self.links, self.shape, self.slot = tag, drop, root, [], "", 0, "", -1
+        self.tag, self.drop, self.root, self.children, self.text, self.links, self.shape, self.slot, self.count = tag, drop, root, [], "", 0, "", -1, 1
 
 
 def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
@@ -199,13 +207,15 @@ def parse(source: str) -> Node:
 
 
 def _shape(top: Node) -> None:
-    """Give every node a text that is equal for equal trees of tags (without recursion: markup can be deep)."""
+    """Give every node a text that is equal for equal trees of tags, and its number of nodes (without recursion: markup can be deep)."""
     order, todo = [], [top]
     while todo:
         x = todo.pop()
         order.append(x)
         todo.extend(x.children)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 4 * len(order)))  # for the alignment, which is as deep as the tree
     for x in reversed(order):
+        x.count = 1 + sum(c.count for c in x.children)
         x.shape = x.tag if not x.children else xxhash.xxh64_hexdigest(x.tag + "(" + ",".join(c.shape for c in x.children))
 
 
@@ -219,68 +229,116 @@ def number_slots(model: Node) -> None:
         todo.extend(reversed(x.children))
 
 
+_SIZES: dict[tuple[str, str], int] = {}
+
+
+def _size(a: Node, b: Node) -> int:
+    """Matching nodes of two trees; it depends on their shapes alone."""
+    if a.tag != b.tag:
+        return 0
+    if a.shape == b.shape:
+        return a.count
+    if not a.children or not b.children:
+        return 1
+    key = (a.shape, b.shape)
+    got = _SIZES.get(key)
+    if got is None:
+        x, y, first, last = _middle(a.children, b.children)
+        got = 1
+        for c in (*a.children[:first], *a.children[len(a.children) - last :]):
+            got += c.count
+        if x and y:
+            got += int(_scores(*_weights(x, y))[-1])
+        if len(_SIZES) > SIZES_KEPT:
+            _SIZES.clear()
+        _SIZES[key] = got
+    return got
+
+
+def _middle(x: list[Node], y: list[Node]) -> tuple[list[Node], list[Node], int, int]:
+    """What is left between ends of equal shapes, and the ends' lengths: equal ends match each other in some best alignment."""
+    first, least = 0, min(len(x), len(y))
+    while first < least and x[first].shape == y[first].shape:
+        first += 1
+    last = 0
+    while last < least - first and x[-1 - last].shape == y[-1 - last].shape:
+        last += 1
+    return x[first : len(x) - last], y[first : len(y) - last], first, last
+
+
+def _weights(x: list[Node], y: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matching nodes by kind of shape, and the kinds of both lists."""
+    kinds = []
+    for of in (x, y):
+        known: dict[str, tuple[int, Node]] = {}
+        kinds.append(([known.setdefault(c.shape, (len(known), c))[0] for c in of], [c for _, c in known.values()]))
+    weight = np.zeros((len(kinds[0][1]), len(kinds[1][1])), dtype=np.int64)
+    for i, c in enumerate(kinds[0][1]):
+        for j, d in enumerate(kinds[1][1]):
+            if c.tag == d.tag:
+                weight[i, j] = _size(c, d)
+    return weight, np.array(kinds[0][0]), np.array(kinds[1][0])
+
+
+def _scores(weight: np.ndarray, x: np.ndarray, y: np.ndarray, rows: list | None = None) -> np.ndarray:
+    """Best scores of x against the beginnings of y; ``rows`` gets those of each beginning of x."""
+    row = np.zeros(len(y) + 1, dtype=np.int64)
+    for i in x.tolist():
+        if rows is not None:
+            rows.append(row)
+        after = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weight[i, y]), out=after[1:])
+        row = after
+    return row
+
+
+def _matches(weight: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a best alignment: halves of x are aligned apart where the whole table would be large."""
+    found, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a > 1 and (b - a) * (d - c) > CELLS:
+            half = (a + b) // 2
+            at = c + int((_scores(weight, x[a:half], y[c:d]) + _scores(weight, x[half:b][::-1], y[c:d][::-1])[::-1]).argmax())
+            todo += [(a, half, c, at), (half, b, at, d)]
+            continue
+        rows: list[np.ndarray] = []
+        rows.append(_scores(weight, x[a:b], y[c:d], rows))
+        i, j = b - a, d - c
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((a + i, c + j))
+    return found
+
+
 def align(page: Node, model: Node) -> None:
     """Give the page's text blocks the slots of the model's blocks that they match."""
-    sizes: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def size(a: Node, b: Node, depth: int) -> int:
-        """Matching nodes of two trees; the matched children are kept."""
-        if a.tag != b.tag:
-            return 0
-        if not a.children or not b.children or depth > 60:
-            return 1
-        key = (id(a), id(b))
-        if key not in sizes:
-            x, y = a.children, b.children
-            if a.shape == b.shape:
-                sizes[key] = (1 + sum(size(c, d, depth + 1) for c, d in zip(x, y)), list(zip(x, y)))
-                return sizes[key][0]
-            first = 0  # equal ends match each other in some best alignment of equal shapes
-            while first < min(len(x), len(y)) and x[first].shape == y[first].shape:
-                first += 1
-            last = 0
-            while last < min(len(x), len(y)) - first and x[-1 - last].shape == y[-1 - last].shape:
-                last += 1
-            pairs = [*zip(x[:first], y[:first]), *zip(x[len(x) - last :], y[len(y) - last :])]
-            total = 1 + sum(size(c, d, depth + 1) for c, d in pairs)
-            x, y = x[first : len(x) - last], y[first : len(y) - last]
-            if x and y:
-                rows = [[0] * (len(y) + 1)]
-                for c in x:
-                    above, row = rows[-1], [0]
-                    for j, d in enumerate(y):
-                        best = above[j + 1] if above[j + 1] >= row[j] else row[j]
-                        if c.tag == d.tag:
-                            both = above[j] + (1 if not c.children or not d.children else size(c, d, depth + 1))
-                            if both > best:
-                                best = both
-                        row.append(best)
-                    rows.append(row)
-                total += rows[-1][-1]
-                i, j = len(x), len(y)
-                while i and j:
-                    if rows[i][j] == rows[i - 1][j]:
-                        i -= 1
-                    elif rows[i][j] == rows[i][j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        pairs.append((x[i], y[j]))
-            sizes[key] = (total, pairs)
-        return sizes[key][0]
-
-    size(page, model, 0)
     todo = [(page, model)]
     while todo:
         a, b = todo.pop()
         if a.tag == "#":
             a.slot = b.slot
-        elif (id(a), id(b)) in sizes:
-            todo.extend(sizes[id(a), id(b)][1])
+            continue
+        if a.shape == b.shape:
+            todo.extend(zip(a.children, b.children))
+            continue
+        x, y, first, last = _middle(a.children, b.children)
+        todo.extend(zip(a.children[:first], b.children[:first]))
+        if last:
+            todo.extend(zip(a.children[-last:], b.children[-last:]))
+        if x and y:
+            todo.extend((x[i], y[j]) for i, j in _matches(*_weights(x, y)))
 
 
-def blocks(page: Node) -> list[tuple[int, bool, str]]:
-    """(slot, whether it may be article text, text) of the text blocks in page order."""
+def blocks(page: Node) -> list[tuple[int, bool, bool, str]]:
+    """(slot, whether it may be article text, whether it lies in a marked article, text) of the text blocks in page order."""
     found: list[tuple[Node, bool, bool]] = []
     todo = [(page, False, False)]
     while todo:
@@ -291,12 +349,7 @@ def blocks(page: Node) -> list[tuple[int, bool, str]]:
         drop, inside = drop or x.drop, inside or x.root
         todo.extend((c, drop, inside) for c in reversed(x.children))
     marked = any(inside and not drop for _, drop, inside in found)
-    return [(x.slot, not drop and (inside if marked else x.links < LINKS * len(x.text)), x.text) for x, drop, inside in found]
-
-
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
+    return [(x.slot, not drop and (inside if marked else x.links < LINKS * len(x.text)), inside, x.text) for x, drop, inside in found]
 
 
 def _join_by_host(rows: DataFrame, small: DataFrame, bytes_: int) -> DataFrame:
@@ -304,8 +357,8 @@ def _join_by_host(rows: DataFrame, small: DataFrame, bytes_: int) -> DataFrame:
 
 
 def _aligned(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, digest (of all texts), blocks. ``pages`` has the model's html too."""
-    block = pa.struct([("slot", pa.int32()), ("keep", pa.bool_()), ("text", pa.string())])
+    """page_id, url, host, digest (of all texts that may be kept), blocks. ``pages`` has the model's html too."""
+    block = pa.struct([("slot", pa.int32()), ("keep", pa.bool_()), ("marked", pa.bool_()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: dict[str, Node] = {}
@@ -323,26 +376,37 @@ def _aligned(pages: DataFrame) -> DataFrame:
                     page = parse(source or "")
                     align(page, models[host])
                     own = blocks(page)
-                    out.append([{"slot": s, "keep": keep, "text": t} for s, keep, t in own])
-                    digests.append(xxhash.xxh64_intdigest("\n".join(t for _, keep, t in own if keep).encode("utf-8", "surrogatepass")) - (1 << 63))
+                    out.append([{"slot": s, "keep": keep, "marked": marked, "text": t} for s, keep, marked, t in own])
+                    digests.append(xxhash.xxh64_intdigest("\n".join(t for _, keep, _, t in own if keep).encode("utf-8", "surrogatepass")) - (1 << 63))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(digests, pa.int64()), pa.array(out, pa.list_(block))], names=["page_id", "url", "host", "digest", "blocks"])
 
-    return pages.select("page_id", "url", "host", "html", "model").mapInArrow(run, "page_id long, url string, host string, digest long, blocks array<struct<slot:int,keep:boolean,text:string>>")
+    return pages.select("page_id", "url", "host", "html", "model").mapInArrow(run, "page_id long, url string, host string, digest long, blocks array<struct<slot:int,keep:boolean,marked:boolean,text:string>>")
+
+
+def _template(aligned: DataFrame) -> DataFrame:
+    """host, template and marked_template: hashes of slot and text that are constant, outside and inside a marked article."""
+    kept = aligned.select("host", "digest", F.explode(F.filter("blocks", lambda b: b["keep"] & (b["slot"] >= 0))).alias("b"))
+    # of pages with one digest, one counts
+    texts = kept.select("host", "digest", F.col("b.slot").alias("slot"), F.xxhash64("b.slot", "b.text").alias("text")).distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
+    share = F.max("n") / F.sum("n")
+    constant = texts.groupBy("host", "slot").agg(F.max("n").alias("n"), share.alias("share"), F.max_by("text", F.struct("n", "text")).alias("text")).where((F.col("n") >= LEAST_PAGES) & (F.col("share") >= TEMPLATE_SHARE))
+    strong = (F.col("n") >= MARKED_PAGES) & (F.col("share") >= MARKED_SHARE)
+    return constant.groupBy("host").agg(F.collect_list("text").alias("template"), F.collect_list(F.when(strong, F.col("text"))).alias("marked_template"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url and text (blocks joined by an empty line) of every page."""
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", induction: bool = True) -> DataFrame:
+    """page_id, url and text (blocks joined by an empty line) of every page. ``induction`` is off in comparisons only."""
     host = F.lower(F.regexp_extract(F.coalesce(pages[url_col], F.lit("")), _HOST.pattern, 1))
-    own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), host.alias("host"), pages[html_col].cast("string").alias("html"))
-    models = materialize(own.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("page_id"), F.xxhash64("html"))).alias("model")), "models")
+    own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), host.alias("host"), pages[html_col].cast("string").alias("html"))
+    bare = F.coalesce(F.length("html"), F.lit(0)) == 0
+    models = materialize(own.groupBy("host").agg(F.min_by("html", F.struct(bare, F.xxhash64("page_id"), F.xxhash64("html"))).alias("model")), "models")
     size = models.agg(F.sum(F.length("model") + F.length("host") + 50)).first()[0] or 0
     aligned = materialize(_aligned(_join_by_host(own, models, 4 * size)), "blocks")
-    slots = aligned.select("host", "digest", F.explode("blocks").alias("b")).where("b.slot >= 0").groupBy("host", F.col("b.slot").alias("slot"))
-    stats = slots.agg(F.min(F.xxhash64("b.text")).alias("low"), F.max(F.xxhash64("b.text")).alias("high"), F.approx_count_distinct("digest").alias("pages"))
-    template = materialize(stats.where((F.col("low") == F.col("high")) & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("slot").alias("template")), "template")
-    size = template.agg(F.sum(F.size("template") * 4 + F.length("host") + 50)).first()[0] or 0
+    template = materialize(_template(aligned) if induction else _template(aligned).limit(0), "template")
+    size = template.agg(F.sum(F.size("template") * 16 + F.length("host") + 50)).first()[0] or 0
     joined = _join_by_host(aligned, template, size)
-    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["keep"] & ~F.coalesce(F.array_contains("template", b["slot"]), F.lit(False))), lambda b: b["text"]), "\n\n")
+    constant = lambda b: F.array_contains(F.when(b["marked"], F.col("marked_template")).otherwise(F.col("template")), F.xxhash64(b["slot"], b["text"]))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["keep"] & ~F.coalesce(constant(b), F.lit(False))), lambda b: b["text"]), "\n\n")
     return joined.select("page_id", "url", text.alias("text"))
 
 

@@ -17,7 +17,7 @@ def save(spark, rows, folder):
 
 
 def text_of(source):
-    return "\n\n".join(t for _, keep, t in w.blocks(w.parse(source)) if keep)
+    return "\n\n".join(t for _, keep, _, t in w.blocks(w.parse(source)) if keep)
 
 
 def test_generated_pages(spark, sf_dir):
@@ -44,6 +44,31 @@ def test_template_is_found_where_nothing_is_marked(spark, tmp_path):
     assert got == wanted
 
 
+def unmarked(rng, k, site, edge="Welcome"):
+    words = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    paragraphs = [words(20) for _ in range(rng.randrange(1, 6))]
+    page = f"<html><body><div><div>{edge} to {site}</div><section><p>{'</p><p>'.join(paragraphs)}</p></section><div><p>All rights</p><p>and lefts</p></div></div></body></html>"
+    return (k, f"http://{site}/{k}", page), "\n\n".join(paragraphs)
+
+
+def test_small_hosts_and_a_deviating_page(spark, tmp_path):
+    """Hosts of four pages have a template too, and one page that says something else in a slot keeps it, alone."""
+    rng, rows, wanted = random.Random(4), [], {}
+    for k in range(40):
+        row, wanted[k] = unmarked(rng, k, f"s{k // 4}.example")
+        rows.append(row)
+    for k in range(40, 100):
+        row, wanted[k] = unmarked(rng, k, "large.example", "Farewell" if k == 77 else "Welcome")
+        rows.append(row)
+    wanted[77] = "Farewell to large.example\n\n" + wanted[77]
+    rows += [(None, "http://large.example/x", rows[50][2])] * 30
+    folder = save(spark, rows, tmp_path)
+    got = {r.page_id: r.text for r in w.op7_wrappers(spark, folder).collect() if r.page_id is not None}
+    assert got == wanted
+    off = {r.page_id: r.text for r in w.main_text(spark.read.parquet(f"{folder}/pages.parquet"), induction=False).collect()}
+    assert all("All rights" in off[k] and off[k] != wanted[k] for k in wanted)
+
+
 def test_copies_of_one_page_are_no_template(spark, tmp_path):
     rows = [(k, "http://copies.example/a", "<body><div><p>The same story everywhere.</p></div></body>") for k in range(80)]
     assert {r.text for r in w.op7_wrappers(spark, save(spark, rows, tmp_path)).collect()} == {"The same story everywhere."}
@@ -96,7 +121,7 @@ def slow_size(a, b):
     ],
 )
 def test_words_that_only_look_like_marks(source, text):
-    assert "\n\n".join(t for _, keep, t in w.blocks(w.parse(source)) if keep) == text
+    assert "\n\n".join(t for _, keep, _, t in w.blocks(w.parse(source)) if keep) == text
 
 
 def test_alignment_matches_as_many_nodes_as_simple_tree_matching():
@@ -118,3 +143,34 @@ def test_alignment_matches_as_many_nodes_as_simple_tree_matching():
                 texts.append(x.slot)
         assert texts == sorted(texts) and len(set(texts)) == len(texts)  # in order, one to one
         assert (len(texts) > 0) <= (slow_size(page, model) > 1)
+        assert w._size(page, model) == slow_size(page, model)
+
+
+def test_halved_tables_align_as_well(monkeypatch):
+    rng = random.Random(3)
+    tree = lambda n: w.parse("".join(rng.choice(["<p>a</p>", "<h2>b</h2>", "<div><p>c</p></div>", "<div><p>c</p><ul><li>d</ul></div>", "e<hr>"]) for _ in range(n)))
+    for _ in range(20):
+        weight, x, y = w._weights(tree(rng.randrange(1, 60)).children, tree(rng.randrange(1, 60)).children)
+        monkeypatch.setattr(w, "CELLS", 1 << 22)
+        whole = w._matches(weight, x, y)
+        monkeypatch.setattr(w, "CELLS", 8)
+        parts = w._matches(weight, x, y)
+        score = lambda pairs: sum(int(weight[x[i], y[j]]) for i, j in pairs)
+        assert score(whole) == score(parts) == w._scores(weight, x, y)[-1]
+        assert sorted(j for _, j in parts) == [j for _, j in sorted(parts)] and len(set(parts)) == len({i for i, _ in parts})
+
+
+def test_wide_and_deep_pages_align_to_the_end():
+    rng = random.Random(8)
+    rows = lambda n: "".join(rng.choice(["<p>a</p>", "<h2>b</h2>", "<div><p>c</p></div>"]) for _ in range(n))
+    page, model = w.parse(rows(4000)), w.parse(rows(4000))
+    w.number_slots(model)
+    w.align(page, model)
+    assert sum(x.slot >= 0 for c in page.children for x in (c.children[0].children or c.children)) > 2000
+    deep = lambda text, more: w.parse("<div>" * 400 + more + f"<p>{text}</p>")
+    page, model = deep("x", ""), deep("y", "<h2>z</h2>")
+    w.number_slots(model)
+    w.align(page, model)
+    while page.children:
+        page = page.children[-1]
+    assert page.text == "x" and page.slot == 1
