@@ -41,7 +41,6 @@ EPOCHS = 10
 UNKNOWN = "und"
 #: ASCII without letters, as white space.
 _PLAIN = bytes(k if k >= 128 or chr(k).isalpha() else 32 for k in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def clean(text: str) -> bytes:
@@ -145,15 +144,14 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> ByteNetwork | N
 
 def sample(docs: DataFrame, allowed, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(text, lang) of at most SAMPLE_TEXTS stretches a language among the rows that ``allowed`` admits."""
-    own = docs.where(allowed & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    counts = own.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"))
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"), allowed.alias("allowed")).where("allowed AND lang IS NOT NULL AND text IS NOT NULL")
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
     space = 1 << 24
-    draw = F.pmod(F.xxhash64(docs[id_col], F.lit("langid")), F.lit(space))
+    draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(space))
     # thin by hash first: what is ordered below is bounded too
-    thin = own.join(F.broadcast(counts) if counts.limit(2000).count() < 2000 else counts, F.col("l") == own[lang_col]).where(draw < F.lit(2.0 * SAMPLE_TEXTS * space) / F.col("n"))
-    length = F.length(text_col)
-    first = F.pmod(F.xxhash64(docs[id_col], F.lit("first")), F.greatest(F.lit(1), length - STRETCH)) + 1
-    cut = thin.select(F.col(text_col).substr(first.cast("int"), F.lit(STRETCH)).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(id_col).alias("id"))
+    thin = own.join(F.broadcast(counts) if counts.limit(2000).count() < 2000 else counts, "lang").where(draw < F.lit(2.0 * SAMPLE_TEXTS * space) / F.col("n"))
+    first = F.pmod(F.xxhash64("id", F.lit("first")), F.greatest(F.lit(1), F.length("text") - STRETCH)) + 1
+    cut = thin.select(F.col("text").substr(first.cast("int"), F.lit(STRETCH)).alias("text"), "lang", draw.alias("draw"), "id")
     return cut.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))).where(F.col("k") <= SAMPLE_TEXTS).orderBy("lang", "k").select("text", "lang")
 
 
@@ -164,7 +162,7 @@ def fit(docs: DataFrame, allowed=None, **columns) -> ByteNetwork | None:
 
 def _score(net: ByteNetwork | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    known = [j for j, t in enumerate(texts) if t and net is not None and _LETTER.search(t)]
+    known = [j for j, t in enumerate(texts) if t and net is not None and any(map(str.isalpha, t))]
     if known:
         laid = [windows(clean(texts[j])) for j in known]
         starts = np.concatenate([[0], np.cumsum([len(w) for w in laid])[:-1]])
@@ -202,7 +200,10 @@ LEAST_SCORE = 0.5
 
 
 def keep_identified(docs: DataFrame, net: ByteNetwork | None, least: float = LEAST_SCORE) -> DataFrame:
-    """Rows of ``docs`` in a learned language: ``und`` and what scores below ``least`` go."""
+    """Rows of ``docs`` in a learned language: ``und`` and what scores below ``least`` go.
+
+    So null, empty and letterless texts go; repeated rows stay or go together; all columns stay as they are; of an empty table, or without a label to learn from, nothing is left.
+    """
     return identify(docs, net).where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
 
 

@@ -31,6 +31,50 @@ def test_edges(spark, tmp_path):
     assert by_text[3].lang_pred == "en"
 
 
+def test_letters_and_clashing_names(spark, tmp_path):
+    texts = ["the house is on the hill", "la maison est sur la colline"] * 20 + ["² ½ 12 _ ①", "٣ 5 !", "好", "x²"]
+    rows = [(k, t, "en" if k % 2 == 0 else "fr", *range(8)) for k, t in enumerate(texts)]
+    names = ["n", "l", "k", "id", "draw", "allowed", "source", "n_chars"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} long" for n in names))
+    pred = {r.doc_id: r.lang_pred for r in langid.op4_language(spark, save_documents(df, tmp_path)).collect()}
+    assert pred[40] == pred[41] == "und" and pred[42] != "und" and pred[43] != "und"
+    kept = langid.keep_identified(df, langid.fit(df))
+    assert kept.columns == df.columns and kept.count() <= 42
+
+
+def slow_probabilities(net, text):
+    """The network's answer for one text, one filter and position at a time."""
+    data = text.lower().encode().translate(langid._PLAIN).split()
+    data = b" ".join(data)
+    data += b" " * (-len(data) % langid.WINDOW)
+    total, weights = np.zeros(len(net.labels)), 0.0
+    for k in range(0, len(data), langid.WINDOW):
+        window = data[k : k + langid.WINDOW]
+        pooled = []
+        for j in range(net.filters.shape[1]):
+            width = langid.WIDTHS[j // langid.FILTERS]
+            taps = net.filters[: width * langid.EMBEDDING, j].reshape(width, langid.EMBEDDING).astype(float)
+            last = langid.WINDOW - max(langid.WIDTHS) + 1
+            pooled.append(max(sum(float(net.embedding[window[p + d]].astype(float) @ taps[d]) for d in range(width)) for p in range(last)))
+        hidden = np.maximum(np.array(pooled) + net.shift, 0)
+        z = hidden @ net.dense + net.bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        weight = sum(c != 32 for c in window) + 1e-6
+        total, weights = total + p * weight, weights + weight
+    return total / weights
+
+
+def test_scores_against_one_filter_and_position_at_a_time():
+    rng = np.random.default_rng(2)
+    net = langid.ByteNetwork.new(["a", "b", "c"], seed=3)
+    net.shift, net.bias = rng.standard_normal(net.shift.shape).astype(np.float32), rng.standard_normal(3).astype(np.float32)
+    texts = ["été sur la colline", "the house " * 40, "x", "a1b2 好的 " * 30]
+    names, scores = langid._score(net, texts)
+    for text, name, score in zip(texts, names, scores):
+        p = slow_probabilities(net, text)
+        assert name == net.labels[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
 def test_nothing_to_learn_from(spark, tmp_path):
     df = edge_documents(spark, ["abc", None]).withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.op4_language(spark, save_documents(df, tmp_path)).collect()} == {"und"}
