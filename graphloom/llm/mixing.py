@@ -59,20 +59,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 _DRAW = f"(shiftrightunsigned(xxhash64({SEED}, acc.c.h, x.h), 11) / 9007199254740992D)"
 _TO_C, _TO_X = "least(acc.c.size - acc.c.mass, x.mass)", "least(acc.c.mass, x.size - x.mass)"
 _CASE = f"CASE WHEN {_DRAW} * ({_TO_C} + {_TO_X}) < {_TO_X} THEN IF(acc.c.size - acc.c.mass <= x.mass, 0, 1) ELSE IF(acc.c.mass <= x.size - x.mass, 2, 3) END"
-_ITEM = "struct<size:bigint,h:bigint,doc_id:bigint,mass:double>"
+_ITEM = "struct<size:bigint,h:bigint,doc_id:bigint,row:bigint,mass:double>"
 
 
 def _with_mass(item: str, mass: str) -> str:
-    return f"named_struct('size', {item}.size, 'h', {item}.h, 'doc_id', {item}.doc_id, 'mass', {mass})"
+    return f"named_struct('size', {item}.size, 'h', {item}.h, 'doc_id', {item}.doc_id, 'row', {item}.row, 'mass', {mass})"
 
 
 def _done(item: str, up: int) -> str:
-    return f"array(named_struct('doc_id', {item}.doc_id, 'h', {item}.h, 'size', {item}.size, 'up', {up}))"
+    return f"array(named_struct('doc_id', {item}.doc_id, 'row', {item}.row, 'size', {item}.size, 'up', {up}))"
 
 
 _MEET = f"""
 aggregate(slice(items, 2, size(items)),
-  named_struct('c', items[0], 'done', cast(array() AS array<struct<doc_id:bigint,h:bigint,size:bigint,up:int>>)),
+  named_struct('c', items[0], 'done', cast(array() AS array<struct<doc_id:bigint,row:bigint,size:bigint,up:int>>)),
   (acc, x) -> transform(array({_CASE}), k -> CASE
     WHEN k = 0 THEN named_struct('c', {_with_mass('x', 'x.mass - (acc.c.size - acc.c.mass)')}, 'done', concat(acc.done, {_done('acc.c', 1)}))
     WHEN k = 1 THEN named_struct('c', {_with_mass('acc.c', 'acc.c.mass + x.mass')}, 'done', concat(acc.done, {_done('x', 0)}))
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     text = docs[text_col].cast("string")
     sized = docs.select(
         docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[id_col].cast("long"), text, docs[source_col]).alias("h"), docs[source_col].alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.spark_partition_id().alias("part_id"),
     )
     sized = materialize(sized, "sizes")
     targets = materialize(source_targets(sized, weights, max_repeats, share), "targets")
@@ -95,29 +95,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     rows = sized.join(rated, sized["source"].eqNullSafe(rated["s"])).drop("s")
     keys = ["source", "source_size", "target", "base"]
     whole = (F.col("part") == 0) | (F.col("size") == 0)
-    out = rows.where(whole).select("doc_id", "h", "size", *keys, F.lit(0).alias("up"))
-    active = rows.where(~whole).select(*keys, F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long").alias("blocks"), F.struct("size", "h", "doc_id", (F.col("part") * F.col("size")).alias("mass")).cast(_ITEM).alias("item"))
+    out = rows.where(whole).select("doc_id", F.col("h").alias("row"), "size", *keys, F.lit(0).alias("up"))
+    # equal rows of one task are told apart, so they spread over the blocks; a block gets one of each task at most
+    turn = F.row_number().over(Window.partitionBy("h", "part_id").orderBy("h"))
+    told = rows.where(~whole).withColumn("draw", F.xxhash64("h", turn))
+    active = told.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("long").alias("blocks"), F.struct("size", F.col("draw").alias("h"), "doc_id", F.col("h").alias("row"), (F.col("part") * F.col("size")).alias("mass")).cast(_ITEM).alias("item"))
     most, level = max((targets.agg(F.max("n")).first()[0] or 0) / BLOCK, 1.0), 0
     while True:
         block = F.pmod(F.xxhash64(F.lit(SEED), F.lit(level), F.col("item.h")), F.col("blocks"))
         met = active.groupBy(*keys, "blocks", block.alias("block")).agg(F.reverse(F.array_sort(F.collect_list("item"))).alias("items")).select(*keys, "blocks", F.expr(_MEET).alias("met"))
         met = materialize(met, f"mix-{level}")
-        out = out.union(met.select(*keys, F.explode("met.done").alias("d")).select("d.doc_id", "d.h", "d.size", *keys, "d.up"))
+        out = out.union(met.select(*keys, F.explode("met.done").alias("d")).select("d.doc_id", "d.row", "d.size", *keys, "d.up"))
         if most <= 1:
             break
         active = met.select(*keys, F.ceil(F.col("blocks") / BLOCK).alias("blocks"), F.col("met.c").alias("item"))
         most, level = most / BLOCK, level + 1
-    last = met.select(*keys, "met.c.*").select("doc_id", "h", "size", *keys, (F.col("mass") * 2 >= F.col("size")).cast("int").alias("up"))
-    return out.union(last).select("doc_id", "h", "source", "size", "source_size", "target", (F.col("base") + F.col("up")).alias("copies"))
+    last = met.select(*keys, "met.c.*").select("doc_id", "row", "size", *keys, (F.col("mass") * 2 >= F.col("size")).cast("int").alias("up"))
+    return out.union(last).select("doc_id", F.col("row").alias("h"), "source", "size", "source_size", "target", (F.col("base") + F.col("up")).alias("copies"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with the same columns; of the rows without words, the whole part only."""
-    taken = mix(docs, **options)
-    each = lambda df, *keys: df.withColumn("__turn", F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0])))  # noqa: E731  equal rows share a hash
-    marked = docs.withColumn("__h", F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["source"]))
-    counts = each(taken.select(F.col("h").alias("__h"), "copies"), "__h")
-    return each(marked, "__h").join(counts, ["__h", "__turn"]).select(*docs.columns, F.explode(F.expr("array_repeat(0, copies)")).alias("__copy")).drop("__copy")
+    """The rows of ``docs``, each as often as the mix takes it, with the same columns.
+
+    Rows without words come as often as the whole part of their source's rate;
+    a null source is a source of its own; rows equal in id, text and source
+    share what the mix takes of them, and what does not divide evenly goes to
+    one of them; other columns may have any name; an empty table stays empty.
+    """
+    counts = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__key")).agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    counts = materialize(counts.select("__id", "__key", F.expr("cast(all div rows AS int)").alias("__each"), F.expr("cast(all % rows AS int)").alias("__more")), "copies")
+    hashed = docs.withColumns({"__h": F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["source"]), "__own": docs["doc_id"].cast("long")})
+    same = (F.col("__h") == F.col("__key")) & F.col("__own").eqNullSafe(F.col("__id"))
+    times = lambda df, n: df.select(*docs.columns, F.explode(F.expr(f"array_repeat(0, {n})")).alias("__copy")).drop("__copy")
+    out = times(hashed.join(counts.where("__each > 0"), same), "__each")
+    more = counts.where("__more > 0")  # of repeated rows only
+    return out if more.isEmpty() else out.union(times(hashed.join(more, same).dropDuplicates(["__key", "__id"]), "__more"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,18 @@ def test_documents_repeat(spark):
     assert got.columns == df.columns
     counts = mixing.mix(df).groupBy("doc_id").sum("copies").collect()
     assert {r.doc_id: r[1] for r in counts if r[1]} == {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
+
+
+def test_repeated_rows_and_clashing_names(spark, tmp_path):
+    """Thousands of equal rows, null ids and columns with the operator's own names."""
+    rows = [(None, "a b c", "hot")] * 3000 + [(5, "d e", "hot")] * 500 + [(k, "w " * (k % 9), f"s{k % 4}") for k in range(600)]
+    names = ["copies", "h", "size", "n", "row", "target", "part_id", "__copies"]
+    df = spark.createDataFrame([(*r, *range(8)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names)).repartition(5)
+    folder = save_documents(df, tmp_path)
+    taken = defaultdict(int)
+    for r in check(spark, folder):
+        taken[r.doc_id, r.source] += r.copies
+    got = mixing.mix_documents(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert got.columns == df.columns
+    counts = {(r.doc_id, r.source): r["count"] for r in got.groupBy("doc_id", "source").count().collect()}
+    assert {k: n for k, n in taken.items() if n} == counts
