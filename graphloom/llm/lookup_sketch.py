@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import documents, materialize
+from .common import documents, gathered, materialize
 
 #: Cells in one row of a sketch (a power of two), and rows.
 CELLS, ROWS = 8, 3
@@ -82,8 +82,8 @@ def digests(text: Column) -> Column:
 
 
 def fingerprint_text(cells: Column) -> Column:
-    """Hexadecimal cells: four digits of the count, sixteen of the digests, eight of the checks."""
-    part = lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"]), 8, "0"))
+    """Hexadecimal cells: eight digits of the count (a text has fewer paragraphs than 2**31), sixteen of the digests, eight of the checks."""
+    part = lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["key"]), 16, "0"), F.lpad(F.hex(c["chk"]), 8, "0"))
     return F.lower(F.array_join(F.transform(cells, part), ""))
 
 
@@ -145,7 +145,7 @@ def op6_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = lambda k, b, cb: cells.select((F.col("row") * 2 + k).alias("pair"), "a", F.col(b).alias("b"), "ca", cb.alias("cb"))
     found = differences(pair(0, "e", F.col("ce")).union(pair(1, "n", F.expr(sketch("n")))))
     both = found.groupBy(F.floor(F.col("pair") / 2).alias("row")).agg(*(F.sum(F.when(F.col("pair") % 2 == k, F.col("first_only") + F.col("second_only"))).alias(name) for k, name in enumerate(("de", "dn"))))
-    out = cells.join(both, "row")
+    out = gathered(cells.join(both, "row"))
     return out.select(
         F.nullif("key", F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", fingerprint_text(F.col("ca")).alias("fingerprint"), fingerprint_text(F.col("ce")).alias("edited_fingerprint"),
         likeness(F.col("de"), F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("dn"), F.col("a"), F.col("n")).alias("near_next"),

@@ -4,11 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import langid, lookup_sketch, media, mixing, packing, recompression, simhash, token_store, toxicity, wrappers
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op2_mixing: all but its draws."""
+    return mixing.op2_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op6_lookup_sketch: all but its sketches."""
+    return lookup_sketch.op6_lookup_sketch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op5_media: the payload that is read back."""
+    return media.op5_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+#: DuckDB twins over whole texts.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_MIX = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight, 3.0 * CAST(source_size AS DOUBLE) AS cap FROM s),
+o AS (SELECT *, sum(CAST(source_size AS DOUBLE)) OVER () AS total, sum(weight) OVER () AS weights,
+  coalesce(sum(cap) OVER before, 0) AS caps_before, coalesce(sum(weight) OVER before, 0) AS weights_before
+  FROM w WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, cap * (weights - weights_before) <= (total - caps_before) * weight AS capped FROM o),
+t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE least(cap, weight * (total - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / sum(weight) FILTER (NOT capped) OVER ()) END AS target FROM f)
+SELECT doc_id, size, source_size, round(target, 3) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+_REPEATS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+word AS (SELECT doc_id, CAST(i AS BIGINT) AS i, ws[i] AS word FROM d, unnest(range(1, len(ws) + 1)) AS t(i)),
+win AS (SELECT doc_id, CAST(i AS BIGINT) AS i, md5(array_to_string(ws[i : i + 49], ' ')) AS w FROM d, unnest(range(1, len(ws) - 48)) AS t(i)),
+least_doc AS (SELECT w, min(doc_id) AS least FROM win GROUP BY w),
+hit AS (SELECT doc_id, i, 1 AS hit FROM win JOIN least_doc USING (w) WHERE least < doc_id),
+gone AS (SELECT word.doc_id, word.i, word, coalesce(max(hit) OVER (PARTITION BY word.doc_id ORDER BY word.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM word LEFT JOIN hit ON word.doc_id = hit.doc_id AND word.i = hit.i),
+kept AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+_EDITED = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM d)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(left(text, CAST(n_chars - n_chars // 2 AS BIGINT)) || left(next, CAST(n_chars // 2 AS BIGINT))) AS edited_sha256 FROM n
+"""
+_PAYLOAD = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+p AS (SELECT *, greatest(192, (n_bytes + 191) // 192 * 192) AS payload_bytes FROM d)
+SELECT doc_id, n_bytes, payload_bytes, sha256(text || repeat(' ', payload_bytes - n_bytes)) AS payload_sha256 FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
@@ -21,8 +72,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_token_store": token_store.op9_token_store,
         "op10_toxicity": toxicity.op10_toxicity,
+        "llm_mix_targets": mix_targets,
+        "llm_edited_texts": edited_texts,
+        "llm_media_payloads": media_payloads,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_recompression": _REPEATS, "llm_mix_targets": _MIX, "llm_edited_texts": _EDITED, "llm_media_payloads": _PAYLOAD}
