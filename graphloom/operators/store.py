@@ -1,8 +1,10 @@
 """Versioned tables with idempotent upserts, orphan handling, snapshots and dead letters.
 
-Parquet has no MERGE: each write makes a new version and then moves a pointer
-file, so a version that is being read is never touched and a failed write
-leaves the last one.
+Parquet has no MERGE: each write makes a new version and then a new numbered
+pointer file that names it.  The highest pointer that is whole counts, so a
+version that is being read is never touched, and a write that fails at any
+step leaves the last one.  A writer makes the pointer after the one it has
+read; if another writer was first, it fails and has changed nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..schema import KEYS, SCHEMAS
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer was first; read again and repeat."""
+
+
 def last_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Of rows with one key the last in ``order``, which must not tie."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc()))).where("__n = 1").drop("__n")
@@ -66,39 +72,61 @@ class TableStore:
         path = self._fs.Path("/".join([self.path, *parts]))
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
 
-    def version(self, table: str) -> str | None:
-        path, fs = self._file(table, "_current")
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return stream.readLine()
-        finally:
-            stream.close()
-
-    def read(self, table: str) -> DataFrame:
-        version = self.version(table)
-        if version is None:
+    def _pointers(self, table: str) -> dict[int, str]:
+        """Versions by number; unfinished pointers are empty."""
+        folder, fs = self._file(table, "_versions")
+        out = {}
+        for f in fs.listStatus(folder) if fs.exists(folder) else []:
+            stream = fs.open(f.getPath())
+            try:
+                out[int(f.getPath().getName())] = stream.readLine() or ""
+            finally:
+                stream.close()
+        return out
+
+    def version(self, table: str) -> tuple[int, str | None]:
+        """Number and folder of the current version."""
+        return max(((n, v) for n, v in self._pointers(table).items() if v.endswith(".")), default=(0, None))
+
+    def read(self, table: str, version: tuple[int, str | None] | None = None) -> DataFrame:
+        _, folder = version or self.version(table)
+        if folder is None:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}/{version}")
+        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}/{folder.rstrip('.')}")
 
-    def write(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
-        version = f"v-{uuid.uuid4().hex}"
+    def write(self, table: str, rows: DataFrame, partition_by: list[str] | None = None, after: tuple[int, str | None] | None = None) -> None:
+        """Make ``rows`` the table. ``after``: the version that they were made from, which must still be the current one."""
+        after = after or self.version(table)
+        folder = f"v-{uuid.uuid4().hex}"
         names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
         writer = rows.select(*names).write
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{table}/{version}")
-        fresh, fs = self._file(table, f"_next-{uuid.uuid4().hex}")
-        stream = fs.create(fresh, True)
-        stream.writeBytes(version + "\n")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{table}/{folder}")
+        self._point(table, folder, after)
+
+    def _point(self, table: str, folder: str, after: tuple[int, str | None]) -> None:
+        known = self._pointers(table)
+        if self.version(table) != after:
+            raise ConcurrentWrite(f"{table} was written meanwhile")
+        pointer, fs = self._file(table, "_versions", f"{max(known, default=0) + 1:012d}")
+        try:
+            stream = fs.create(pointer, False)  # fails if another writer is first
+        except Exception as e:
+            raise ConcurrentWrite(f"{table} is being written") from e
+        stream.writeBytes(folder + ".\n")  # the dot says that the name is whole
         stream.close()
-        current, _ = self._file(table, "_current")
-        fs.delete(current, False)
-        fs.rename(fresh, current)
+        for n in sorted(known)[:-1]:  # readers of the last version go on
+            old, _ = self._file(table, "_versions", f"{n:012d}")
+            fs.delete(old, False)
+            if known[n]:
+                data, _ = self._file(table, known[n].rstrip("."))
+                fs.delete(data, True)
 
     def upsert(self, table: str, rows: DataFrame, order: str | None = None) -> None:
-        key = KEYS[table]
-        new = last_of_each(rows, key, order).drop(order) if order else rows.dropDuplicates(key)
-        self.write(table, upserted(self.read(table), new, key))
+        """Rows replace those with their keys; of several rows with one key the last counts, by ``order`` or else as they come."""
+        key, at = KEYS[table], self.version(table)
+        if not order:
+            rows, order = rows.withColumn("__order", F.monotonically_increasing_id()), "__order"
+        self.write(table, upserted(self.read(table, at), last_of_each(rows, key, order).drop(order), key), after=at)
 
     def upsert_relations(self, rows: DataFrame, policy: str = "log_orphan", dead_letters: str | None = None) -> int:
         """Write relations whose ends are entities; returns the number of orphans. fail_loud raises before anything is written."""
@@ -121,7 +149,8 @@ class TableStore:
         """Mentions of chunks and entities that are there; others match nothing."""
         chunks, entities = self.read("chunk").select("chunk_index", "book_id"), self.read("entity").select(F.col("id").alias("entity_id"), F.col("source_page").alias("page"))
         known = rows.alias("e").join(chunks.alias("n"), _same("e", "n", ["chunk_index", "book_id"]), "left_semi").join(entities, "entity_id")
-        self.write("mentions", merged_mentions(self.read("mentions"), known.select("chunk_index", "book_id", "entity_id", F.col("page").alias("source_page"))))
+        at = self.version("mentions")
+        self.write("mentions", merged_mentions(self.read("mentions", at), known.select("chunk_index", "book_id", "entity_id", F.col("page").alias("source_page"))), after=at)
 
     def clear(self, tables: tuple[str, ...] = ("mentions", "related", "summary", "chunk", "section", "chapter", "book", "entity")) -> None:
         """Empty tables, edges before nodes."""
