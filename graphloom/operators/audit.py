@@ -1,19 +1,19 @@
 """Static integrity audit: 19 rules over node and edge tables.
 
-Every rule is a filter, anti-join or group that keeps (key, subjects); its
-total and its ``limit`` least samples are one aggregate per rule.  Rules are
-independent, so the report is one union.
+Every rule is a filter, anti-join or group that keeps keys.  They are written
+once, and its total and its ``limit`` least samples are read from there.  A
+report writes the edges once, as most rules read them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import EDGE_TYPES, NODE_LABELS
-from .traverse import reachable
+from .traverse import checkpointed, reachable
 
 
 @dataclass
@@ -138,7 +138,7 @@ RULES: dict[str, Callable[[Graph], DataFrame]] = {
     "ENDPOINT_MENTIONS_INVALID": lambda g: _keyed(g.of("MENTIONS").where(_not((F.col("src_label") == "Chunk") & (F.col("dst_label") == "Entity") & F.col("src").isNotNull() & F.col("dst").isNotNull())), _edge_key()),
     "ENDPOINT_HIERARCHY_INVALID": lambda g: _keyed(g.of("CONTAINS", "HAS_SECTION", "HAS_SUBSECTION", "HAS_CHUNK").where(_not(_valid_hierarchy())), _edge_key()),
     "ENTITY_UNMENTIONED": lambda g: _keyed(_unmentioned(g), F.col("id")),
-    "ENTITY_ISOLATED_RELATED": lambda g: _keyed(g.entity.join(g.of("RELATED").select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti"), F.col("id")),
+    "ENTITY_ISOLATED_RELATED": lambda g: _keyed(g.entity.join(g.of("RELATED").select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti"), F.col("id")),
     "PROVENANCE_ENTITY_MISSING": lambda g: _keyed(_unmentioned(g).where("source_page IS NULL"), F.col("id")),
     "PROVENANCE_RELATIONSHIP_MISSING": lambda g: _keyed(g.of("RELATED").where("source_page IS NULL OR chunk_index IS NULL"), _edge_key()),
     "PROVENANCE_MENTIONS_MISSING": lambda g: _keyed(g.of("MENTIONS").where("source_page IS NULL AND chunk_index IS NULL"), _edge_key()),
@@ -169,7 +169,7 @@ def finding(g: Graph, rule: str, limit: int = 20) -> DataFrame:
     Samples are the top of a bounded order; the total is a plain count: no
     array ever holds all findings.
     """
-    rows = RULES[rule](g)
+    rows = checkpointed(RULES[rule](g))
     spark = rows.sparkSession
     base = spark.range(1).select(F.lit(rule).alias("rule_id"), F.lit(category(rule)).alias("category"), F.lit(severity(rule)).alias("severity"))
     total = rows.agg(F.count("*").alias("total"))
@@ -179,7 +179,7 @@ def finding(g: Graph, rule: str, limit: int = 20) -> DataFrame:
 
 
 def report(g: Graph, limit: int = 20, rules: tuple[str, ...] | None = None) -> DataFrame:
-    out = None
+    g, out = replace(g, edges=checkpointed(g.edges)), None
     for rule in sorted(rules or RULES):
         out = finding(g, rule, limit) if out is None else out.unionByName(finding(g, rule, limit))
     return out

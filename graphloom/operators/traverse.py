@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import clamp
@@ -57,34 +59,39 @@ def shortest_path(edges: DataFrame, start: str, end: str, depth: int = MAX_DEPTH
         # the last level needs only what reaches the end
         step = pairs.where(F.col("dst") == end) if k == depth else pairs
         frontier = frontier.join(step, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.concat_ws(">", "path", "dst")).alias("path")).select(F.col("dst").alias("node"), "path")
+        frontier = checkpointed(frontier)
         hit = frontier.where(F.col("node") == end).select(F.lit(k).alias("length"), "path")
         found = hit if found is None else found.unionByName(hit)
+        if not hit.isEmpty():
+            break  # further levels are longer
         if k < depth:
             frontier = frontier.join(seen, "node", "left_anti")
             seen = seen.union(frontier.select("node"))
     return found.orderBy("length", "path").limit(1)
 
 
-def reachable(roots: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """Nodes that can be reached from ``roots`` (node) over ``edges`` (src, dst), roots included: a frontier until it is empty."""
-    seen = roots.select("node").distinct()
-    frontier = seen
-    for _ in range(most):
-        frontier = edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = checkpointed(frontier)
-        if frontier.isEmpty():
-            break
-        seen = checkpointed(seen.union(frontier))
+def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that can be reached from ``roots`` (node) over ``edges`` (src, dst), roots included, however far: a frontier until it is empty."""
+    seen = frontier = checkpointed(roots.select("node").distinct())
+    level = 0
+    while not frontier.isEmpty():
+        frontier = checkpointed(edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen, level = seen.union(frontier), level + 1
+        if level % 16 == 0:  # else a plan of as many parts as levels
+            seen = checkpointed(seen)
     return seen
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share (``spark.checkpoint.dir``; a temporary one only where that is unset)."""
+    """Cut the lineage in the folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is one process."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="graphloom-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
