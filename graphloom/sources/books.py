@@ -22,9 +22,9 @@ FRONT_MATTER = (
     "foreword", "preface", "contributors", "about", "table of contents", "cover", "join our", "share your", "free benefits", "get in touch", "how to unlock", "conventions",
     "download the example code files", "download the color images", "who this book is for", "what this book covers", "to get the most out of this book", "proven design patterns and practices",
 )
-#: A chapter's title: a number, a number with a dot and a title, or a number and a word.
-_NUMBERED = re.compile(r"^\s*(\d+)(?:\s*$|\.\s+(.+)$|\s+(\w.*)$)")
-_BARE = re.compile(r"^\s*\d+\s*$")
+#: Titles of numbered chapters: a number, a number with a dot and a title, a number and a word.
+CHAPTERS = (r"^\s*(\d+)\s*$", r"^\s*(\d+)\.\s+(.+)$", r"^\s*(\d+)\s+(\w.*)$")
+_BARE = re.compile(CHAPTERS[0])
 SCHEMA = "book_id string, chunk_index int, chapter_number int, chapter_title string, section string, level int, section_ancestors string, page_start int, page_end int, text string"
 
 
@@ -73,8 +73,10 @@ def tree(toc: list[tuple[int, str, int]], page_count: int) -> list[Entry]:
 
 
 def parse_chapter(title: str) -> tuple[int | None, str]:
-    m = _NUMBERED.match(title)
-    return (int(m[1]), (m[2] or m[3] or title).strip()) if m else (None, title)
+    """Number and title without it; the number is None where no pattern fits."""
+    for m in filter(None, (re.match(p, title) for p in CHAPTERS)):
+        return int(m[1]), (m[2] if m.re.groups > 1 else title).strip()
+    return None, title
 
 
 def slices(text: str, size: int, overlap: int) -> list[str]:
