@@ -235,12 +235,8 @@ def w6_mentions(s, d):
 query("s9_chunk_documents", O.with_(O.SPLIT) + "SELECT doc_id, part, length(text) AS size, md5(text) AS digest FROM corpus_chunk")(lambda s, d: T.corpus_chunks(s, d).select("doc_id", F.col("part").cast("long").alias("part"), F.length("text").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest")))
 query("s10_chunk_numbers", O.with_(O.SPLIT) + "SELECT book_id, doc_id, part, row_number() OVER (PARTITION BY book_id ORDER BY doc_id, part) - 1 AS chunk_index FROM corpus_chunk")(lambda s, d: T.numbered(T.corpus_chunks(s, d)).select("book_id", "doc_id", F.col("part").cast("long").alias("part"), F.col("chunk_index").cast("long").alias("chunk_index")))
 query("s13_base_graph", O.with_(O.ENTITY) + "SELECT id, name, type, description, source_page FROM entity")(lambda s, d: T.entities(s, d).select("id", "name", "type", "description", "source_page"))
-_HEADS = r"regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
-query("s6_front_matter", f"SELECT page_id, {_HEADS} AS title FROM pages WHERE NOT (lower({_HEADS}) LIKE '%preface%' OR lower({_HEADS}) LIKE '%foreword%' OR lower({_HEADS}) LIKE '%about%')")(
-    lambda s, d: T.read(s, d, "pages").select("page_id", F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1).alias("title")).where(~F.lower("title").rlike("preface|foreword|about"))
-)
 query("f1_slug", f"SELECT DISTINCT p_name AS name, {O.SLUG.format('p_name')} AS slug FROM part UNION SELECT DISTINCT c_name, {O.SLUG.format('c_name')} FROM customer")(lambda s, d: T.read(s, d, "part").select(F.col("p_name").alias("name")).union(T.read(s, d, "customer").select("c_name")).distinct().select("name", S.slug(F.col("name")).alias("slug")))
-query("f1_slug_texts", f"SELECT doc_id, {O.SLUG.format('substr(text, 1, 60)')} AS slug FROM documents")(lambda s, d: T.read(s, d, "documents").select("doc_id", S.slug(F.substring("text", 1, 60)).alias("slug")))
+query("f1_slug_texts", f"SELECT doc_id, sha256({O.SLUG.format('text')}) AS digest FROM documents")(lambda s, d: T.read(s, d, "documents").select("doc_id", F.sha2(S.slug(F.col("text")), 256).alias("digest")))
 query("f2_entity_id", f"SELECT p_partkey, {O.SLUG.format('CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END')} || '-tool' AS id FROM part")(lambda s, d: T.read(s, d, "part").select("p_partkey", S.entity_id(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(F.lit("")), F.lit("tool")).alias("id")))
 query("f3_filter_aliases", "SELECT p_partkey, array_to_string(list_filter([p_brand, p_type], lambda x: lower(x) <> 'brand#13'), ',') AS aliases FROM part")(
     lambda s, d: T.read(s, d, "part").select("p_partkey", F.array_join(S.filter_aliases(F.array(F.col("p_brand"), F.upper("p_brand"), F.col("p_type"), F.col("p_brand")), ["Brand#13"]), ",").alias("aliases"))
@@ -255,7 +251,9 @@ query("f9_provenance", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NUL
     lambda s, d: T.read(s, d, "orders").select("o_orderkey", S.provenance(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")), F.when(F.col("o_orderkey") % 3 != 1, F.col("o_orderpriority"))).alias("source"))
 )
 query("f10_escape_controls")(lambda s, d: T.read(s, d, "documents").select("doc_id", F.length(S.escape_controls(F.concat(F.lit('{"t": "'), F.regexp_replace("text", r'["\\]', ""), F.lit('"}')))).cast("long").alias("size")))
-query("f11_strip_fence", "SELECT item_id, text AS inner_text FROM benchmark")(lambda s, d: T.read(s, d, "benchmark").select("item_id", S.strip_fence(F.concat(F.lit("```json\n"), F.col("text"), F.lit("\n```"))).alias("inner_text")))
+query("f11_strip_fence", "SELECT item_id, CASE WHEN item_id % 3 = 2 THEN trim(text) || ' ```' ELSE text END AS inner_text FROM benchmark")(
+    lambda s, d: T.read(s, d, "benchmark").select("item_id", S.strip_fence(F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("  ``` \n"), "text", F.lit("```\n "))).otherwise(F.concat(F.lit(" "), F.trim("text"), F.lit(" ``` ")))).alias("inner_text"))
+)
 query("f16_token_estimate", "SELECT doc_id, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM documents")(lambda s, d: T.read(s, d, "documents").select("doc_id", S.token_estimate(F.col("text")).alias("tokens")))
 query("f17_chapter_number", "SELECT o_orderpriority AS title, min(CAST(regexp_extract(o_orderpriority, '^\\s*(\\d+)', 1) AS INTEGER)) AS number FROM orders GROUP BY o_orderpriority")(lambda s, d: T.read(s, d, "orders").select(F.col("o_orderpriority").alias("title")).distinct().select("title", F.regexp_extract("title", r"(?U)^\s*(\d+)", 1).cast("int").alias("number")))
 
@@ -264,9 +262,8 @@ for _rule, _sql in graph.RULE_SQL.items():
     query(f"audit_{_rule.lower()}", _G + f"SELECT '{_rule}' AS rule_id, '{audit.severity(_rule)}' AS severity, (SELECT count(*) FROM ({_sql})) AS total, coalesce((SELECT string_agg(key, ';' ORDER BY key) FROM (SELECT key FROM ({_sql}) ORDER BY key LIMIT 20)), '') AS samples")(
         lambda s, d, r=_rule: audit.finding(graph.commerce(s, d), r).select("rule_id", "severity", "total", F.coalesce("samples", F.lit("")).alias("samples"))
     )
-_FAST = tuple(r for r in graph.RULE_SQL if r.startswith(("PAGE", "HIERARCHY_LEVEL", "DUPLICATE_ENTITY", "PROVENANCE_CHUNK")))
-query("audit_summary", _G + "SELECT " + ", ".join(f"CAST(sum(CASE WHEN severity = '{x}' THEN total ELSE 0 END) AS BIGINT) AS {x}" for x in ("blocking", "warning", "incomplete")) + ", count(*) AS rules FROM (" + " UNION ALL ".join(f"SELECT '{audit.severity(r)}' AS severity, count(*) AS total FROM ({graph.RULE_SQL[r]})" for r in _FAST) + ")")(
-    lambda s, d: audit.summary(audit.report(graph.commerce(s, d), rules=_FAST))
+query("audit_summary", _G + "SELECT " + ", ".join(f"CAST(sum(CASE WHEN severity = '{x}' THEN total ELSE 0 END) AS BIGINT) AS {x}" for x in ("blocking", "warning", "incomplete")) + ", count(*) AS rules FROM (" + " UNION ALL ".join(f"SELECT '{audit.severity(r)}' AS severity, count(*) AS total FROM ({sql})" for r, sql in graph.RULE_SQL.items()) + ")")(
+    lambda s, d: audit.summary(audit.report(graph.commerce(s, d)))
 )
 
 # -- communities -----------------------------------------------------------
@@ -274,10 +271,6 @@ _EDGES = "simple AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS
 query("g1_simple_graph", O.with_(O.ENTITY, O.RELATED, _SMALL, _EDGES) + "SELECT a, b FROM simple")(lambda s, d: community.simple_graph(_small(s, d), T.relations(s, d)))
 
 
-def _community_edges(s, d):
-    return community.simple_graph(T.entities(s, d), T.relations(s, d, ("alternative_to", "composes")))
-
-
 @query("g2_components", "SELECT p_brand || '|' || p_size AS grp, min('part-' || p_partkey || '-tool') AS component, count(*) AS n FROM part GROUP BY p_brand, p_size HAVING count(*) > 1")
 def g2_components(s, d):
     labels = community.component_labels(community.simple_graph(T.entities(s, d), T.relations(s, d, ("alternative_to",))))
@@ -285,7 +278,7 @@ def g2_components(s, d):
     return labels.join(parts, "node").groupBy("grp", "component").agg(F.count("*").alias("n"))
 
 
-query("g2_leiden")(lambda s, d: community.communities(_community_edges(s, d), 1.0))
+query("g2_leiden")(lambda s, d: community.levels(T.entities(s, d), community.simple_graph(T.entities(s, d), T.relations(s, d))))
 
 _CHILD = "child AS (SELECT 'c' || (p_partkey % 40) AS id, 'part-' || p_partkey AS entity FROM part), parent AS (SELECT 'p' || lpad(CAST(p_size % 7 AS VARCHAR), 2, '0') AS id, p_size % 7 AS ordinal, 'part-' || p_partkey AS entity FROM part)"
 
@@ -310,7 +303,7 @@ def j14_induced(s, d):
     return community.induced_edges(members, community.simple_graph(entities, T.relations(s, d))).select("id", "a", "b")
 
 
-@query("g8_summaries")
+@query("g8_summaries", "SELECT CAST(n_regionkey AS VARCHAR) AS id, string_agg(n_name, ' ' ORDER BY n_name) AS summary FROM nation GROUP BY n_regionkey")
 def g8_summaries(s, d):
     lines = T.read(s, d, "nation").select(F.col("n_regionkey").cast("string").alias("id"), F.col("n_name").alias("pos"), F.col("n_name").alias("line"))
     return community.summarise(lines, lambda text: text.replace("\n", " "), 1000)
@@ -334,16 +327,23 @@ def j16_citations(s, d):
 _LEGACY = f"legacy AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN {O.SLUG.format('p_name')} || '-' || p_partkey ELSE {O.SLUG.format('p_name')} || '-' || p_partkey || '-tool' END AS id, p_name || ' ' || p_partkey AS name FROM part)"
 
 
-@query("g10_migrate_ids", O.with_(_LEGACY) + "SELECT CASE WHEN id LIKE '%-tool' THEN id ELSE id || '-tool' END AS id, name AS canonical_name FROM legacy")
-def g10_migrate(s, d):
+_MIGRATED = "migrated AS (SELECT p_partkey, name, CASE WHEN id LIKE '%-tool' THEN id ELSE id || '-tool' END AS id FROM (SELECT p_partkey, id, name FROM legacy JOIN part ON legacy.name = p_name || ' ' || p_partkey))"
+
+
+def _legacy(s, d):
     p = T.read(s, d, "part")
     slugged = S.slug(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")))
-    entities = p.select(F.when(F.col("p_partkey") % 2 == 0, slugged).otherwise(F.concat(slugged, F.lit("-tool"))).alias("id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.lit("tool").alias("type"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("canonical_name"))
-    edges = entities.where("false").select(F.col("id").alias("src"), F.col("id").alias("dst"), "type")
-    mentions = entities.where("false").select(F.lit(1).cast("long").alias("chunk_index"), F.col("name").alias("book_id"), F.col("id").alias("entity_id"), F.lit(1).alias("source_page"))
-    return migrate.migrate(entities, edges, mentions)[0].select("id", "canonical_name")
+    entities = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, slugged).otherwise(F.concat(slugged, F.lit("-tool"))).alias("id"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.lit("tool").alias("type"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(None).cast("string").alias("canonical_name"))
+    ends = entities.select(F.col("p_partkey").alias("k"), F.col("id").alias("dst"))
+    edges = entities.join(ends, F.col("k") == F.col("p_partkey") % 50 + 1).select(F.col("id").alias("src"), "dst", F.lit("requires").alias("type"))
+    mentions = entities.select((F.col("p_partkey") % 9).cast("long").alias("chunk_index"), F.lit("b").alias("book_id"), F.col("id").alias("entity_id"), (F.col("p_partkey") % 5).cast("int").alias("source_page"))
+    return migrate.migrate(entities.drop("p_partkey"), edges, mentions)
 
 
+query("g10_migrate_ids", O.with_(_LEGACY, _MIGRATED) + "SELECT id, name AS canonical_name FROM migrated")(lambda s, d: _legacy(s, d)[0].select("id", "canonical_name"))
+query("g10_migrate_edges", O.with_(_LEGACY, _MIGRATED) + "SELECT a.id AS src, b.id AS dst, 'requires' AS type FROM migrated a JOIN migrated b ON b.p_partkey = a.p_partkey % 50 + 1")(lambda s, d: _legacy(s, d)[1].select("src", "dst", "type"))
+query("g10_migrate_mentions", O.with_(_LEGACY, _MIGRATED) + "SELECT p_partkey % 9 AS chunk_index, 'b' AS book_id, id AS entity_id, CAST(p_partkey % 5 AS INTEGER) AS source_page FROM migrated")(lambda s, d: _legacy(s, d)[2].select("chunk_index", "book_id", "entity_id", "source_page"))
+
 # -- extraction, books, evaluation, log ------------------------------------
 LEXICON = {"the": "concept", "and": "tool", "der": "agent", "que": "pattern"}
 
@@ -363,20 +363,36 @@ def j15_resolution(s, d):
     return n.join(known, F.lower("n_name") == F.col("key"), "left").select(extract.resolve(F.col("n_name"), F.col("id")).alias("id"), "n_nationkey")
 
 
-@query("s4_cut_books")
-def s4_books(s, d):
-    """Hosts' pages as books: one first-level entry a page."""
-    pages = T.read(s, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"), F.pmod("page_id", F.lit(40)).cast("string").alias("book_id"))
+def _page_books(s, d, title):
+    """Pages as books of forty: one first-level entry a page."""
+    pages = T.read(s, d, "pages").select("page_id", title.alias("title"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"), F.pmod("page_id", F.lit(40)).cast("string").alias("book_id"))
     rows = pages.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page_id", "title", "text"))).alias("p"))
     toc = F.transform("p", lambda x, i: F.struct(F.lit(1).alias("level"), F.concat((i + 1).cast("string"), F.lit(" "), x["title"]).alias("title"), (i + 1).alias("page")))
-    return books.cut_books(rows.select("book_id", F.size("p").alias("page_count"), toc.alias("toc"), F.transform("p", lambda x: x["text"]).alias("pages"))).select("book_id", "chunk_index", "chapter_number", "page_start", "page_end")
+    return books.cut_books(rows.select("book_id", F.size("p").alias("page_count"), toc.alias("toc"), F.transform("p", lambda x: x["text"]).alias("pages")))
+
+
+_BOOK_PAGES = """book_page AS (SELECT page_id, CAST(page_id % 40 AS VARCHAR) AS book_id, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) AS number, length(regexp_replace(html, '<[^>]*>', ' ', 'g')) AS size FROM pages),
+book_part AS (SELECT *, CASE WHEN size = 0 THEN 0 WHEN size > 1500 THEN CAST(ceil(size / 1350.0) AS BIGINT) ELSE 1 END AS parts FROM book_page)"""
+
+
+@query("s4_cut_books", f"WITH {_BOOK_PAGES} SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY number, part) - 1 AS INTEGER) AS chunk_index, CAST(number AS INTEGER) AS chapter_number, CAST(number AS INTEGER) AS page_start, CAST(number AS INTEGER) AS page_end FROM book_part, unnest(range(1, parts + 1)) AS t(part)")
+def s4_books(s, d):
+    return _page_books(s, d, F.concat(F.lit("Page x"), F.col("page_id").cast("string"))).select("book_id", "chunk_index", "chapter_number", "page_start", "page_end")
+
+
+@query("s6_front_matter", f"WITH {_BOOK_PAGES} SELECT book_id, CAST(number AS INTEGER) AS chapter_number, parts AS n FROM book_part WHERE page_id % 3 > 0 AND parts > 0")
+def s6_front_matter(s, d):
+    """A third of the pages is front matter by its title, in any case and place of the word."""
+    word = F.element_at(F.array(*(F.lit(w.title()) for w in books.FRONT_MATTER)), (F.col("page_id") % len(books.FRONT_MATTER) + 1).cast("int"))
+    title = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("x "), word, F.lit(" y"))).otherwise(F.concat(F.lit("Page x"), F.col("page_id").cast("string")))
+    return _page_books(s, d, title).groupBy("book_id", "chapter_number").agg(F.count("*").alias("n"))
 
 
-@query("e1_retrieval_metrics", "SELECT CAST(doc_id AS VARCHAR) AS question, CAST(1.0 AS DOUBLE) AS precision, CAST(0.5 AS DOUBLE) AS recall, round(CAST(2.0 AS DOUBLE) / 3, 6) AS f1 FROM labels")
+@query("e1_retrieval_metrics", "WITH q AS (SELECT doc_id, list_distinct([doc_id % 3, doc_id % 5, doc_id % 7]) AS got, list_distinct([doc_id % 2, doc_id % 11]) AS good FROM labels), h AS (SELECT *, len(list_intersect(got, good)) AS hit FROM q) SELECT CAST(doc_id AS VARCHAR) AS question, round(hit / len(got), 6) AS precision, round(hit / len(good), 6) AS recall, round(CASE WHEN hit = 0 THEN 0 ELSE 2.0 * hit / (len(got) + len(good)) END, 6) AS f1 FROM h")
 def e1_metrics(s, d):
-    q = T.read(s, d, "labels").select(F.col("doc_id").cast("string").alias("question"))
-    relevant = q.withColumn("item", F.explode(F.array(F.lit("a"), F.lit("b"))))
-    return evaluate.retrieval_metrics(q.withColumn("item", F.lit("a")), relevant).withColumn("f1", F.round("f1", 6))
+    q = T.read(s, d, "labels").select("doc_id", F.col("doc_id").cast("string").alias("question"))
+    items = lambda *ns: q.select("question", F.explode(F.array(*((F.col("doc_id") % n).cast("string") for n in ns))).alias("item")).distinct()
+    return evaluate.retrieval_metrics(items(3, 5, 7), items(2, 11)).select("question", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 query("log_daily_summary", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type AS tool_name, count(*) AS n, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM events GROUP BY 1, 2")(

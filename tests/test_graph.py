@@ -103,6 +103,11 @@ def test_reachability_and_isolation(spark, small):
     assert [x.id for x in traverse.isolated(e, r).collect()] == ["d"]
 
 
+def test_long_chains_and_rings_are_reached_to_the_end(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(70)] + [("n70", "n3")], "src string, dst string").coalesce(1)
+    assert traverse.reachable(spark.createDataFrame([("n0",)], "node string").coalesce(1), chain).count() == 71
+
+
 # -- audit -----------------------------------------------------------------
 def graph(spark, **changes):
     """A clean book with one of everything; ``changes`` replace tables' rows."""
@@ -169,6 +174,41 @@ def test_upserts_are_idempotent_and_last_wins(spark, tmp_path):
         assert sorted((r.id, r.name, tuple(r.aliases)) for r in s.read("entity").collect()) == [("a", "new", ("y",)), ("b", "two", ())]
 
 
+def test_a_killed_write_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    rows = lambda *ids: spark.createDataFrame([(i, i.upper(), "tool", None, 1, [], None) for i in ids], schema.ENTITY)
+    s = store.TableStore(spark, str(tmp_path / "g"))
+    s.upsert("entity", rows("a"))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):  # between data and pointer
+        m.setattr(store.TableStore, "_point", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+        s.upsert("entity", rows("b"))
+    assert [r.id for r in s.read("entity").collect()] == ["a"]
+    number, _ = s.version("entity")
+    path, fs = s._file("entity", "_versions", f"{number + 1:012d}")
+    fs.create(path, False).close()  # killed while the pointer was written
+    assert [r.id for r in s.read("entity").collect()] == ["a"]
+    s.upsert("entity", rows("c"))
+    assert sorted(r.id for r in s.read("entity").collect()) == ["a", "c"]
+
+
+def test_writers_that_meet_are_told(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([(i, i.upper(), "tool", None, 1, [], None) for i in ids], schema.ENTITY)
+    s = store.TableStore(spark, str(tmp_path / "g"))
+    at = s.version("entity")
+    s.write("entity", rows("a"), after=at)
+    with pytest.raises(store.ConcurrentWrite):
+        s.write("entity", rows("b"), after=at)
+    assert [r.id for r in s.read("entity").collect()] == ["a"]
+    for k in range(4):
+        s.upsert("entity", rows("a", f"x{k}"))
+    assert s.read("entity").count() == 5 and len(s._pointers("entity")) <= 3
+
+
+def test_of_rows_with_one_key_the_last_counts(spark, tmp_path):
+    s = store.TableStore(spark, str(tmp_path / "g"))
+    s.upsert("entity", spark.createDataFrame([("a", f"name {k}", "tool", None, k, [], None) for k in range(50)], schema.ENTITY).coalesce(1))
+    assert s.read("entity").first().name == "name 49"
+
+
 def test_relations_split_and_policies(spark, tmp_path):
     s = store.TableStore(spark, str(tmp_path / "t"))
     s.upsert("entity", entities(spark, [("a", "A", "tool", []), ("b", "B", "tool", [])]))
@@ -241,11 +281,24 @@ def test_leiden_finds_cliques_and_repeats(spark):
     assert community.modularity(edges, labels) > 0.6
 
 
-def test_large_components_take_the_distributed_way(spark):
+def test_large_components_keep_the_objective(spark):
+    """Components that no task holds are merged in Spark first: as good a modularity, and the resolution counts."""
     edges = cliques(spark)
     labels = community.communities(edges, 1.0, component_edges=3)
     assert labels.count() == 24 and labels.select("node").distinct().count() == 24
-    assert community.modularity(edges, labels) > 0.3
+    assert community.modularity(edges, labels) > 0.6
+    assert all(r.community <= r.node for r in labels.collect())
+
+
+def test_merged_and_whole_components_agree_in_quality(spark):
+    rng = random.Random(5)
+    rows = {(f"n{min(x, y):03}", f"n{max(x, y):03}") for g in range(12) for _ in range(60) for x, y in [(g * 15 + rng.randrange(15), g * 15 + rng.randrange(15))]}
+    rows |= {tuple(sorted((f"n{rng.randrange(180):03}", f"n{rng.randrange(180):03}"))) for _ in range(60)}
+    edges = spark.createDataFrame(sorted(rows), "a string, b string").coalesce(2).cache()
+    whole, merged, finer = (community.communities(edges, resolution, component_edges=n).cache() for resolution, n in ((1.0, 10_000), (1.0, 400), (8.0, 400)))
+    assert merged.count() == whole.count() == finer.count()
+    assert community.modularity(edges, merged) >= 0.93 * community.modularity(edges, whole)
+    assert finer.select("community").distinct().count() > merged.select("community").distinct().count()
 
 
 def test_community_ids_parents_and_budget(spark):
