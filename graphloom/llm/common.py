@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +15,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 #: For tables that this subpackage writes: no checksum files beside them, as Parquet's pages have checksums of their own. Without its native library
-#: Hadoop starts four processes for each file that it writes with them to a mounted folder, and each starts as an image of the whole executor.
+#: Hadoop starts a process for each permission that it sets on a mounted folder (five for a file with checksums, two without), each of which is an
+#: image of the whole executor until it has become ``chmod``.
 PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
@@ -33,6 +36,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Bytes of input for each file of a result.
+FILE_BYTES = 1 << 26
+
+
+def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` in one file for each ``FILE_BYTES`` of the table that it was made from, but two for each core. Nothing is shuffled."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # very large where it is not known
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1 << 30)))
+
+
+#: Rows of one Arrow batch where a step is run at once: whole texts and sets of shingles are some kilobytes a row, and each is held by the executor and its worker.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows (fewer if the session says so) for what is run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, min(rows, before) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
@@ -40,7 +69,8 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**PLAIN_FILES).option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.options(**PLAIN_FILES).option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -140,12 +140,13 @@ def likeness(difference: Column, a: Column, b: Column) -> Column:
 
 
 def op6_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(with_edited(documents(spark, sf_dir)).withColumn("row", F.monotonically_increasing_id()), "digests")
+    docs = documents(spark, sf_dir)
+    rows = materialize(with_edited(docs).withColumn("row", F.monotonically_increasing_id()), "digests")
     cells = materialize(rows.select("row", "key", "n_chars", "edited_sha256", "a", "e", "n", F.expr(sketch("a")).alias("ca"), F.expr(sketch("e")).alias("ce")), "sketches")
     pair = lambda k, b, cb: cells.select((F.col("row") * 2 + k).alias("pair"), "a", F.col(b).alias("b"), "ca", cb.alias("cb"))
     found = differences(pair(0, "e", F.col("ce")).union(pair(1, "n", F.expr(sketch("n")))))
     both = found.groupBy(F.floor(F.col("pair") / 2).alias("row")).agg(*(F.sum(F.when(F.col("pair") % 2 == k, F.col("first_only") + F.col("second_only"))).alias(name) for k, name in enumerate(("de", "dn"))))
-    out = gathered(cells.join(both, "row"))
+    out = gathered(cells.join(both, "row"), docs)
     return out.select(
         F.nullif("key", F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", fingerprint_text(F.col("ca")).alias("fingerprint"), fingerprint_text(F.col("ce")).alias("edited_fingerprint"),
         likeness(F.col("de"), F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("dn"), F.col("a"), F.col("n")).alias("near_next"),

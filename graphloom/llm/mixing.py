@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import WORD_PATTERN, documents, materialize
+from .common import WORD_PATTERN, documents, gathered, materialize
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -129,8 +129,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     times = lambda df, n: df.select(*docs.columns, F.explode(F.expr(f"array_repeat(0, {n})")).alias("__copy")).drop("__copy")
     out = times(hashed.join(counts.where("__each > 0"), same), "__each")
     more = counts.where("__more > 0")  # of repeated rows only
+    out = gathered(out, docs)
     return out if more.isEmpty() else out.union(times(hashed.join(more, same).dropDuplicates(["__key", "__id"]), "__more"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    docs = documents(spark, sf_dir)
+    return gathered(mix(docs), docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, gathered
 from .tokens import CACHE_PIECES, piece_tokenizer
 
 #: Context sizes, ascending powers of two; each tier's windows have its size.
@@ -154,7 +154,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col
         if rows := packer.rows(everything=True):
             yield batch(rows)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return gathered(own, own).mapInArrow(run, SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

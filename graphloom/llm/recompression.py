@@ -44,7 +44,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, drop_shared, materialize, release
+from .common import documents, drop_shared, gathered, materialize, release
 
 WINDOW = 50
 #: Rounds of pair naming; runs are named before the rounds listed.
@@ -66,7 +66,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 #: Words whose hashes one worker keeps: the frequent ones, as others are quickly hashed again.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 50_000
 _WORDS: dict[bytes, int] = {}
 
 
@@ -297,7 +297,7 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> D
     spans = materialize(_spans(whole.union(late)).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("spans").alias("__spans")), "spans")
     drop_shared(docs.sparkSession, windows)
     release(docs.sparkSession)
-    return keyed.join(spans, ["__doc", "__row"], "left").select(*docs.columns, "__spans")
+    return gathered(keyed.join(spans, ["__doc", "__row"], "left").select(*docs.columns, "__spans"), docs)
 
 
 def removed_report(spanned: DataFrame, window: int = WINDOW) -> DataFrame:

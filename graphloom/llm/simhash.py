@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import documents, drop_shared, materialize, release
+from .common import documents, drop_shared, gathered, materialize, release
 from .components import components
 
 SEED = 42
@@ -161,6 +161,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     size, share = F.size("least"), F.lit(similarity)
     counts = firsts.select(F.explode(F.slice("least", F.lit(1), (size - F.ceil(share * size - 1e-9) + 1).cast("int"))).alias("key")).groupBy("key").count()
     often = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(COMMON_KEPT).collect()
+    release(docs.sparkSession)
     often = sorted((r.key & 0xFFFFFFFF, -k) for k, r in enumerate(often))
     common, rank = np.array([x for x, _ in often], dtype=np.uint32), np.array([x for _, x in often], dtype=np.int64)
 
@@ -199,7 +200,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9)
         return both.select("a", "b", "least_a", "least_b").mapInArrow(verify, "a long, b long")
 
-    links = materialize(verified(likely(met)), "first-links")
+    pairs = materialize(likely(met), "first-pairs")
+    release(docs.sparkSession)
+    links = materialize(verified(pairs), "first-links")
+    release(docs.sparkSession)
     roots = components(links)
     # keys with holders in several groups: all pairs across groups; one of each two is outside the key's largest group
     rooted = keys.join(roots, keys["uid"] == roots["node"], "left").select("key", "uid", "size", F.coalesce("root", "uid").alias("root"))
@@ -208,9 +212,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     others = rooted.select("key", F.col("uid").alias("to"), F.col("size").alias("to_size"), F.col("root").alias("to_root"))
     once = (F.col("to_root") == F.col("largest")) | (F.col("uid") < F.col("to"))
     across = rooted.where("root <> largest").join(others, "key").where((F.col("root") != F.col("to_root")) & once)
-    more = materialize(verified(likely(across)), "more-links")
+    pairs = materialize(likely(across), "more-pairs")
+    release(docs.sparkSession)
+    more = materialize(verified(pairs), "more-links")
+    release(docs.sparkSession)
     if not more.isEmpty():
         roots = components(links.union(more))
+    for table in (firsts, keys, rooted, pairs):
+        drop_shared(docs.sparkSession, table)
     # the group of every row, by way of its class
     of = alike.select("same", "fp", "n", F.col("o.uid").alias("class")).join(roots, F.col("class") == F.col("node"), "left").select("same", "fp", "n", F.coalesce("root", "class").alias("root"))
     grouped = profiles.join(of, ["same", "fp", "n"], "left").withColumn("root", F.coalesce("root", "uid"))
@@ -224,8 +233,9 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
     kept = hashed.join(stays, (F.col("__text_hash") == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
     turn = F.row_number().over(Window.partitionBy("__text_hash", "doc_id").orderBy("__text_hash"))
-    return kept.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
+    return gathered(kept.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns), docs)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    docs = documents(spark, sf_dir)
+    return gathered(simhash_groups(docs), docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import PLAIN_FILES, documents, shared_dir
+from .common import PLAIN_FILES, documents, gathered, shared_dir, small_batches
 from .tokens import piece_tokenizer
 
 #: Chunks have at least and at most so many ids; between, one cut in so many positions on average.
@@ -193,7 +193,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     store = TokenStore(path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", piece_tokenizer(tokenizer_path, "word").dtype.itemsize)
     rows = _encode(docs, tokenizer_path, end_id, id_col, text_col)
     # tasks send a chunk once, so equal ones meet and are sorted behind the shuffle only
-    rows.repartition("kind", "digest").dropDuplicates(["kind", "digest"]).write.options(**PLAIN_FILES).option("compression", "zstd").parquet(f"{store.path}/chunks")
+    with small_batches(spark):
+        rows.repartition("kind", "digest").dropDuplicates(["kind", "digest"]).write.options(**PLAIN_FILES).option("compression", "zstd").parquet(f"{store.path}/chunks")
     raw = spark.read.schema(_CHUNKS).parquet(f"{store.path}/chunks").where("kind = 1")
     ordered = raw.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
     leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit("|").cast("binary"), F.col("n_tokens").cast("string").cast("binary"), F.lit("|").cast("binary"), F.col("data")), 256)
@@ -262,5 +263,6 @@ def read_documents(spark: SparkSession, store: TokenStore) -> DataFrame:
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    store = write_store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return read_checksums(spark, store)
+    docs = documents(spark, sf_dir)
+    store = write_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return gathered(read_checksums(spark, store), docs)
