@@ -1,14 +1,19 @@
-"""Command line: index, audit and query over a table store.
+"""Command line: index, communities, audit and query over a table store.
 
     python -m graphloom index --store DIR --documents FILE --lexicon '{"agent": "agent"}'
+    python -m graphloom index --store DIR --books FILE_OR_PDFS --lexicon '{"agent": "agent"}'
+    python -m graphloom communities --store DIR [--fresh]
     python -m graphloom query --store DIR --type entity --params '{"name": "x"}'
-    python -m graphloom audit --tables SF_DIR
+    python -m graphloom audit --store DIR | --tables SF_DIR
+
+Settings come from the environment (GRAPHLOOM_CHUNK_SIZE and so on).
 """
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession, functions as F
@@ -29,7 +34,7 @@ def build_query(kind: str, params: dict):
 
 
 def main(argv: list[str] | None = None) -> int:
-    """0: done; 2: bad arguments; 3: the query failed; audits end by their state."""
+    """0: done; 2: bad arguments or settings; 3: the query failed; 4: over the budget; audits end by their state."""
     parser = argparse.ArgumentParser(prog="graphloom")
     todo = parser.add_subparsers(dest="command", required=True)
     q = todo.add_parser("query")
@@ -37,13 +42,27 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--type", required=True, choices=["entity", "relation", "path", "batch_entity"])
     q.add_argument("--params", default="{}")
     i = todo.add_parser("index")
-    for name in ("store", "documents", "lexicon"):
+    for name in ("store", "lexicon"):
         i.add_argument(f"--{name}", required=True)
-    i.add_argument("--policy", default="log_orphan", choices=["log_orphan", "fail_loud"])
+    what = i.add_mutually_exclusive_group(required=True)
+    what.add_argument("--documents", help="Parquet with doc_id, source and text")
+    what.add_argument("--books", help="Parquet with book_id, title, author, page_count, toc and pages, or PDF files")
+    c = todo.add_parser("communities")
+    c.add_argument("--store", required=True)
+    c.add_argument("--fresh", action="store_true")
     a = todo.add_parser("audit")
-    a.add_argument("--tables", required=True)
+    what = a.add_mutually_exclusive_group(required=True)
+    what.add_argument("--store")
+    what.add_argument("--tables", help="test tables, with planted violations")
     a.add_argument("--samples", type=int, default=20)
     args = parser.parse_args(argv)
+    from .schema import Settings
+
+    try:
+        settings = Settings.from_environment(dict(os.environ))
+    except ValueError as e:
+        print(f"bad settings: {e}", file=sys.stderr)
+        return 2
 
     if args.command == "query":
         from .operators.store import TableStore
@@ -68,21 +87,49 @@ def main(argv: list[str] | None = None) -> int:
         from .sources.tables import numbered, split_text
 
         spark = _session()
+        store, extractor, letters = TableStore(spark, args.store), extract.lexicon_extractor(json.loads(args.lexicon)), (f"{args.store}/_dead_letters", f"{args.store}/_orphans")
+        if args.books:
+            from .sources import books
+
+            rows = books.read_pdfs(spark, args.books) if args.books.lower().endswith(".pdf") else spark.read.parquet(args.books)
+            print(json.dumps(books.index_books(store, rows, extractor, *letters, settings=settings)))
+            return 0
         docs = spark.read.parquet(args.documents)
-        parts = docs.select("doc_id", F.col("source").alias("book_id"), F.posexplode(split_text(F.col("text"))).alias("part", "text"))
+        parts = docs.select("doc_id", F.col("source").alias("book_id"), F.posexplode(split_text(F.col("text"), settings.chunk_size, settings.chunk_overlap)).alias("part", "text"))
         chunks = numbered(parts).select("chunk_index", "book_id", "text", F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"))
-        out = extract.index_chunks(TableStore(spark, args.store), chunks, extract.lexicon_extractor(json.loads(args.lexicon)), f"{args.store}/_dead_letters", f"{args.store}/_orphans", args.policy)
-        print(json.dumps(out))
+        print(json.dumps(extract.index_chunks(store, chunks, extractor, *letters, settings=settings)))
         return 0
-    from .functions.scalar import canonical_json
+    if args.command == "communities":
+        from .operators import community
+        from .operators.store import TableStore
+        from .schema import CommunityDetectionError
+
+        try:
+            print(json.dumps(community.run(TableStore(_session(), args.store), first_lines, settings, args.fresh)))
+        except CommunityDetectionError as e:
+            print(str(e), file=sys.stderr)
+            return 4
+        return 0
+    from .functions.scalar import canonical_json, redact
     from .operators import audit
-    from .plans.graph import commerce
+    from .operators.store import TableStore
+    from .plans import graph
 
-    rows = [r.asDict() for r in audit.report(commerce(_session(), args.tables), args.samples).collect()]
+    spark = _session()
+    g = graph.of_store(TableStore(spark, args.store)) if args.store else graph.commerce(spark, args.tables)
+    rows = [r.asDict() for r in audit.report(g, args.samples).collect()]
     state = audit.overall(rows)
-    print(canonical_json({"state": state, "findings": sorted(rows, key=lambda r: r["rule_id"])}))
+    for r in rows:  # what leaves the engine holds no secrets
+        r["samples"] = [x["key"] for x in (redact({"key": k}) for k in (r["samples"] or "").split(";") if k) if "key" in x]
+    runtime = {"engine": "spark", "version": spark.version, "nodes": {r.label: r.total for r in audit.node_inventory(g).collect()}, "edges": {r.rel_type: r.total for r in audit.edge_inventory(g).collect()}}
+    print(canonical_json({"state": state, "findings": sorted(rows, key=lambda r: r["rule_id"]), "runtime": runtime}))
     return audit.EXIT_CODES[state]
 
 
+def first_lines(text: str, lines: int = 5) -> str:
+    """The summary where no model is given: a text's first lines."""
+    return "\n".join(text.split("\n")[:lines])
+
+
 if __name__ == "__main__":
     sys.exit(main())

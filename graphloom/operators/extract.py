@@ -7,7 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalar import entity_id, filter_aliases, slug
+from ..functions.scalar import entity_id, filter_aliases, fuzzy_entity_id, slug
+from ..schema import Settings
 
 #: What an extractor returns for one chunk, as a column.
 EXTRACTED = "struct<ok:boolean,error_type:string,error_message:string,entities:array<struct<name:string,type:string,description:string,aliases:array<string>,canonical_name:string>>,relations:array<struct<source:string,target:string,type:string,description:string>>>"
@@ -36,10 +37,11 @@ def split_failures(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return extracted.where("extracted.ok"), bad
 
 
-def entities_of(extracted: DataFrame, stoplist: list[str] | None = None) -> DataFrame:
-    """One row per entity and chunk with its id (always with the type) and filtered aliases, in order ``pos``."""
+def entities_of(extracted: DataFrame, stoplist: list[str] | None = None, near: float | None = None) -> DataFrame:
+    """One row per entity and chunk with its id (always with the type) and filtered aliases, in order ``pos``. ``near``: similarity to the name from which a canonical name counts (default: always)."""
+    made = entity_id if near is None else lambda name, canonical, kind: fuzzy_entity_id(name, canonical, kind, near)
     rows = extracted.select("chunk_index", "book_id", F.col("page_start").alias("source_page"), F.posexplode("extracted.entities").alias("pos", "e"))
-    return rows.select("chunk_index", "book_id", "pos", entity_id(F.col("e.name"), F.col("e.canonical_name"), F.col("e.type")).alias("id"), F.col("e.name").alias("name"), F.col("e.type").alias("type"), F.col("e.description").alias("description"), "source_page", filter_aliases(F.coalesce("e.aliases", F.array().cast("array<string>")), stoplist).alias("aliases"), F.col("e.canonical_name").alias("canonical_name"))
+    return rows.select("chunk_index", "book_id", "pos", made(F.col("e.name"), F.col("e.canonical_name"), F.col("e.type")).alias("id"), F.col("e.name").alias("name"), F.col("e.type").alias("type"), F.col("e.description").alias("description"), "source_page", filter_aliases(F.coalesce("e.aliases", F.array().cast("array<string>")), stoplist).alias("aliases"), F.col("e.canonical_name").alias("canonical_name"))
 
 
 def name_map(entities: DataFrame) -> DataFrame:
@@ -85,17 +87,21 @@ def lexicon_extractor(lexicon: dict[str, str], relation: str = "requires") -> Ca
     return run
 
 
-def index_chunks(store, chunks: DataFrame, extractor: Callable[[str], dict], dead_letters: str, orphan_letters: str, policy: str = "log_orphan", stoplist: list[str] | None = None) -> dict[str, int]:
-    """Chunks, then entities, relations (orphans aside) and mentions, all as upserts; returns counts."""
+def index_chunks(store, chunks: DataFrame, extractor: Callable[[str], dict], dead_letters: str, orphan_letters: str, settings: Settings | None = None) -> dict[str, int]:
+    """Chunks, then entities, relations (orphans aside; of equal ones the first by chunk) and mentions, all as upserts; returns counts."""
     from .traverse import checkpointed
 
+    settings = settings or Settings()
+
     done = checkpointed(extract(chunks, extractor))
     good, bad = split_failures(done)
     bad.write.mode("append").json(dead_letters)
-    entities = checkpointed(entities_of(good, stoplist))
+    entities = checkpointed(entities_of(good, list(settings.canonical_stoplist), settings.canonical_threshold if settings.canonical_mode == "fuzzy" else None))
     store.upsert("chunk", chunks)
     order = F.struct(F.coalesce("book_id", F.lit("")), "chunk_index", "pos")
     store.upsert("entity", entities.withColumn("seq", order), order="seq")
-    orphans = store.upsert_relations(relations_of(good, entities).dropDuplicates(["src", "dst", "type"]), policy, orphan_letters)
+    rest = F.struct("chunk_index", "description", "source_page")
+    first = relations_of(good, entities).groupBy("src", "dst", "type").agg(F.min(rest).alias("x")).select("src", "dst", "type", "x.description", "x.source_page", "x.chunk_index")
+    orphans = store.upsert_relations(first, settings.orphan_policy, orphan_letters)
     store.upsert_mentions(mentions_of(entities))
     return {"chunks": chunks.count(), "failed": bad.count(), "orphans": orphans}

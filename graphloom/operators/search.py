@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .traverse import checkpointed
+
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -31,16 +33,16 @@ def _equals(word: str):
 def bm25(rows: DataFrame, key: list[str], text: Column, query: str) -> DataFrame:
     """(key, score) of the rows that have any term of the query.
 
-    One pass: term counts are arrays in the row, so nothing is exploded or
-    shuffled but one row of corpus statistics (documents, mean length and
-    document frequency of the query's terms).
+    One pass over the texts: lengths and counts of the query's terms are
+    written once, and statistics (documents, mean length, document
+    frequencies: one row) and scores are read from there.
     """
     terms = query_terms(query)
     if not terms:
         return rows.select(*key, F.lit(0.0).alias("score")).limit(0)
     own = rows.select(*key, tokens(text).alias("terms"))
     counts = [F.size(F.filter("terms", _equals(w))) for w in terms]
-    own = own.select(*key, F.size("terms").alias("length"), F.array(*counts).alias("tf"))
+    own = checkpointed(own.select(*key, F.size("terms").alias("length"), F.array(*counts).alias("tf")))
     stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.array(*(F.sum((F.col("tf")[k] > 0).cast("long")) for k in range(len(terms)))).alias("df"))
     joined = own.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # stats has one row
 

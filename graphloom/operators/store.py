@@ -152,7 +152,7 @@ class TableStore:
         at = self.version("mentions")
         self.write("mentions", merged_mentions(self.read("mentions", at), known.select("chunk_index", "book_id", "entity_id", F.col("page").alias("source_page"))), after=at)
 
-    def clear(self, tables: tuple[str, ...] = ("mentions", "related", "summary", "chunk", "section", "chapter", "book", "entity")) -> None:
+    def clear(self, tables: tuple[str, ...] = ("mentions", "related", "hierarchy", "summary", "chunk", "section", "chapter", "book", "entity")) -> None:
         """Empty tables, edges before nodes."""
         for t in tables:
             self.write(t, self.spark.createDataFrame([], SCHEMAS[t]))

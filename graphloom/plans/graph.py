@@ -13,6 +13,22 @@ def _edges(df: DataFrame, kind: str, a: str, b: str) -> DataFrame:
     return df.select(F.lit(kind).alias("type"), F.lit(a).alias("src_label"), "src", F.lit(b).alias("dst_label"), "dst", (F.col("kind") if "kind" in df.columns else F.lit(None).cast("string")).alias("kind"), null("source_page", "int").alias("source_page"), null("chunk_index", "long").alias("chunk_index"))
 
 
+def of_store(store) -> Graph:
+    """A table store's own graph, as it was indexed; ends that are not there are labelled so."""
+    book, chapter, chunk, entity = store.read("book"), store.read("chapter"), store.read("chunk"), store.read("entity")
+    key = F.concat_ws("|", "book_id", F.col("chapter_number").cast("string"), "title")
+    chapters = chapter.groupBy("book_id", F.col("number").alias("chapter_number")).agg(F.min(F.concat_ws("|", "book_id", F.col("number").cast("string"), "title")).alias("chapter_key"))
+    section = store.read("section").join(chapters, ["book_id", "chapter_number"], "left").select("chapter_key", key.alias("key"), "title", "level", "page_start")
+    label = lambda known, yes: F.when(known.isNotNull(), yes).otherwise("Missing")
+    ids = entity.select("id").distinct()
+    related = store.read("related").join(ids.select(F.col("id").alias("a")), F.col("src") == F.col("a"), "left").join(ids.select(F.col("id").alias("b")), F.col("dst") == F.col("b"), "left")
+    related = related.select(F.lit("RELATED").alias("type"), label(F.col("a"), "Entity").alias("src_label"), "src", label(F.col("b"), "Entity").alias("dst_label"), "dst", F.col("type").alias("kind"), "source_page", "chunk_index")
+    mention = store.read("mentions").withColumn("src", chunk_key()).join(chunk.select(chunk_key().alias("a")).distinct(), F.col("src") == F.col("a"), "left").join(ids.select(F.col("id").alias("b")), F.col("entity_id") == F.col("b"), "left")
+    mention = mention.select(F.lit("MENTIONS").alias("type"), label(F.col("a"), "Chunk").alias("src_label"), "src", label(F.col("b"), "Entity").alias("dst_label"), F.col("entity_id").alias("dst"), F.lit(None).cast("string").alias("kind"), "source_page", "chunk_index")
+    hierarchy = store.read("hierarchy").select("type", "src_label", "src", "dst_label", "dst", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("source_page"), F.lit(None).cast("long").alias("chunk_index"))
+    return Graph(book.select("id", "page_count"), chapter.select("book_id", "number", "title", "page_start"), section, chunk.select("chunk_index", "book_id", "page_start", "page_end"), entity.select("id", "name", "type", "source_page"), hierarchy.unionByName(related).unionByName(mention))
+
+
 def commerce(spark: SparkSession, sf_dir: str) -> Graph:
     """Books are order priorities, chapters their order states, chunks the orders; every tenth chapter start and chunk range runs beyond the book, every seventh chunk has no chapter, and parts of odd size are no entities: violations to find."""
     orders = T.read(spark, sf_dir, "orders")

@@ -27,11 +27,13 @@ CHUNK = "chunk_index long, book_id string, text string, page_start int, page_end
 ENTITY = "id string, name string, type string, description string, source_page int, aliases array<string>, canonical_name string"
 RELATED = "src string, dst string, type string, description string, source_page int, chunk_index long"
 MENTIONS = "chunk_index long, book_id string, entity_id string, source_page int"
+#: Edges between books, chapters, sections and chunks; ends are natural keys joined by bars.
+HIERARCHY = "type string, src_label string, src string, dst_label string, dst string"
 SUMMARY = "id string, level int, summary string, entity_ids array<string>, parent_id string"
 QUERY_LOG = "ts timestamp, tool_name string, query_type string, query_params string, result_count long, zero_results boolean, entity_not_found boolean, duration_ms double, error string"
 #: Natural keys by table.
-KEYS = {"book": ["id"], "chapter": ["book_id", "number", "title"], "section": ["book_id", "chapter_number", "title"], "chunk": ["chunk_index", "book_id"], "entity": ["id"], "related": ["src", "dst", "type"], "mentions": ["chunk_index", "book_id", "entity_id"], "summary": ["id"]}
-SCHEMAS = {"book": BOOK, "chapter": CHAPTER, "section": SECTION, "chunk": CHUNK, "entity": ENTITY, "related": RELATED, "mentions": MENTIONS, "summary": SUMMARY}
+KEYS = {"book": ["id"], "chapter": ["book_id", "number", "title"], "section": ["book_id", "chapter_number", "title"], "chunk": ["chunk_index", "book_id"], "entity": ["id"], "related": ["src", "dst", "type"], "mentions": ["chunk_index", "book_id", "entity_id"], "hierarchy": ["type", "src", "dst"], "summary": ["id"]}
+SCHEMAS = {"book": BOOK, "chapter": CHAPTER, "section": SECTION, "chunk": CHUNK, "entity": ENTITY, "related": RELATED, "mentions": MENTIONS, "hierarchy": HIERARCHY, "summary": SUMMARY}
 
 
 class GraphError(Exception):

@@ -157,13 +157,44 @@ def read_pdfs(spark, path: str) -> DataFrame:
 
 
 def editorial(chunks: DataFrame) -> dict[str, DataFrame]:
-    """Chapter, section and edge tables of cut books; a chunk hangs below its section, else its chapter, else nothing."""
+    """Chapter, section, chunk and hierarchy tables of cut books; a chunk hangs below its section, else its chapter, else nothing."""
     from pyspark.sql import functions as F
 
     own = chunks.where("chapter_number IS NOT NULL")
     chapter = own.groupBy("book_id", F.col("chapter_number").alias("number"), F.col("chapter_title").alias("title")).agg(F.min("page_start").alias("page_start"))
     path = F.array_compact(F.concat(F.coalesce(F.split("section_ancestors", ">"), F.array().cast("array<string>")), F.array("section")))
-    line = own.where("section IS NOT NULL").select("book_id", "chapter_number", "page_start", path.alias("path"), "level").select("book_id", "chapter_number", "page_start", "level", F.posexplode("path").alias("pos", "title"), F.col("path"))
+    line = own.where("section IS NOT NULL").withColumn("path", path).select("book_id", "chapter_number", "chapter_title", "page_start", "level", "path", F.posexplode("path").alias("pos", "title"))
     line = line.withColumn("parent_section_title", F.when(F.col("pos") > 0, F.expr("path[pos - 1]"))).withColumn("level", F.col("level") - F.size("path") + F.col("pos") + 1)
     section = line.groupBy("book_id", "chapter_number", "title").agg(F.min("level").alias("level"), F.min("page_start").alias("page_start"), F.min_by("parent_section_title", "page_start").alias("parent_section_title"))
-    return {"chapter": chapter, "section": section, "chunk": chunks.select(F.col("chunk_index").cast("long").alias("chunk_index"), "book_id", "text", "page_start", "page_end")}
+
+    key = lambda *parts: F.concat_ws("|", *(F.col(p).cast("string") for p in parts))
+    edge = lambda df, kind, a, src, b, dst: df.select(F.lit(kind).alias("type"), F.lit(a).alias("src_label"), src.alias("src"), F.lit(b).alias("dst_label"), dst.alias("dst"))
+    of_chapter, of_section, of_chunk = key("book_id", "chapter_number", "chapter_title"), key("book_id", "chapter_number", "title"), key("book_id", "chunk_index")
+    edges = [
+        edge(chapter, "CONTAINS", "Book", F.col("book_id"), "Chapter", key("book_id", "number", "title")),
+        edge(line.where("parent_section_title IS NULL"), "HAS_SECTION", "Chapter", of_chapter, "Section", of_section),
+        edge(line.where("parent_section_title IS NOT NULL"), "HAS_SUBSECTION", "Section", key("book_id", "chapter_number", "parent_section_title"), "Section", of_section),
+        edge(own.where("section IS NOT NULL"), "HAS_CHUNK", "Section", key("book_id", "chapter_number", "section"), "Chunk", of_chunk),
+        edge(own.where("section IS NULL"), "HAS_CHUNK", "Chapter", of_chapter, "Chunk", of_chunk),
+    ]
+    hierarchy = edges[0]
+    for e in edges[1:]:
+        hierarchy = hierarchy.unionByName(e)
+    return {"chapter": chapter, "section": section, "hierarchy": hierarchy.distinct(), "chunk": chunks.select(F.col("chunk_index").cast("long").alias("chunk_index"), "book_id", "text", "page_start", "page_end")}
+
+
+def index_books(store, books: DataFrame, extractor, dead_letters: str, orphan_letters: str, settings=None) -> dict[str, int]:
+    """Cut books (book_id, title, author, page_count, toc, pages) and write books, chapters, sections, chunks, their hierarchy and what is extracted."""
+    from pyspark.sql import functions as F
+
+    from ..operators.extract import index_chunks
+    from ..operators.traverse import checkpointed
+    from ..schema import Settings
+
+    settings = settings or Settings()
+    cut = checkpointed(cut_books(books, settings.chunk_size, settings.chunk_overlap))
+    tables = editorial(cut)
+    store.upsert("book", books.select(F.col("book_id").alias("id"), "title", "author", F.lit(None).cast("string").alias("pdf_path"), F.col("page_count").cast("int").alias("page_count")))
+    for name in ("chapter", "section", "hierarchy"):
+        store.upsert(name, tables[name])
+    return {"books": books.count()} | index_chunks(store, tables["chunk"], extractor, dead_letters, orphan_letters, settings=settings)

@@ -59,3 +59,34 @@ def test_command_line(spark, tables, tmp_path, capsys):
     spark.createDataFrame([(1, "agent uses tool", "k")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
     assert cli.main(["index", "--store", str(tmp_path / "t"), "--documents", str(tmp_path / "d"), "--lexicon", '{"agent": "agent", "tool": "tool"}']) == 0
     assert TableStore(spark, str(tmp_path / "t")).read("related").count() == 1
+
+
+def test_books_are_indexed_audited_and_summarised(spark, tmp_path, capsys, monkeypatch):
+    """A book's own audit is clean, a broken one is found, communities stop at the budget and go on where they were."""
+    toc = [(1, "1 Agents", 1), (2, "Tools", 2), (3, "Small tools", 2), (1, "2 Patterns", 3), (1, "Preface", 4)]
+    rows = [("b", "Book", "A", 4, [{"level": a, "title": t, "page": p} for a, t, p in toc], ["agent tool", "tool pattern", "agent pattern", "nothing"])]
+    spark.createDataFrame(rows, "book_id string, title string, author string, page_count int, toc array<struct<level:int,title:string,page:int>>, pages array<string>").write.parquet(str(tmp_path / "books"))
+    where = str(tmp_path / "s")
+    assert cli.main(["index", "--store", where, "--books", str(tmp_path / "books"), "--lexicon", '{"agent": "agent", "tool": "tool", "pattern": "pattern"}']) == 0
+    store = TableStore(spark, where)
+    assert {(r.type, r.dst) for r in store.read("hierarchy").collect()} >= {("CONTAINS", "b|1|Agents"), ("HAS_SECTION", "b|1|Tools"), ("HAS_SUBSECTION", "b|1|Small tools")}
+    assert store.read("chunk").count() == 2 and store.read("book").first().page_count == 4
+    capsys.readouterr()
+    code = cli.main(["audit", "--store", where])
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (code, out["state"]) == (0, "passed"), [f for f in out["findings"] if f["total"]]
+    assert out["runtime"]["nodes"]["Chunk"] == 2 and out["runtime"]["edges"]["HAS_CHUNK"] == 2
+    store.upsert("chunk", spark.createDataFrame([(9, "https://secret", "x", 1, 1)], schema.CHUNK))
+    assert cli.main(["audit", "--store", where]) == 10
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert next(f for f in out["findings"] if f["rule_id"] == "HIERARCHY_CHUNK_PARENT_REQUIRED")["total"] == 1 and "https" not in json.dumps(out)
+    monkeypatch.setenv("GRAPHLOOM_COMMUNITY_MAX_CALLS", "1")
+    assert cli.main(["communities", "--store", where]) == 4 and store.read("summary").count() == 0
+    monkeypatch.setenv("GRAPHLOOM_COMMUNITY_MAX_CALLS", "50")
+    assert cli.main(["communities", "--store", where]) == 0
+    first = {r.id: r.summary for r in store.read("summary").collect()}
+    assert len(first) >= 2 and all(first.values())
+    monkeypatch.setenv("GRAPHLOOM_COMMUNITY_MAX_CALLS", "0")  # nothing is left to do
+    assert cli.main(["communities", "--store", where]) == 0
+    monkeypatch.setenv("GRAPHLOOM_CHUNK_SIZE", "10")
+    assert cli.main(["communities", "--store", where]) == 2
