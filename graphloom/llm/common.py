@@ -46,6 +46,8 @@ def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1 << 30)))
 
 
+#: Bytes that a writer of an intermediate table holds before it writes them out.
+ROW_GROUP_BYTES = 1 << 24
 #: Rows of one Arrow batch where a step is run at once: whole texts and sets of shingles are some kilobytes a row, and each is held by the executor and its worker.
 BATCH_ROWS = 1000
 
@@ -62,15 +64,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "zstd", source: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
-    This cuts the lineage and survives the loss of any executor.
+    This cuts the lineage and survives the loss of any executor.  ``source``:
+    the table that a large ``df`` is made from, by whose size files are few.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df = df if source is None else gathered(df, source)
     with small_batches(spark):
-        df.write.options(**PLAIN_FILES).option("compression", codec).parquet(path)
+        df.write.options(**PLAIN_FILES).option("compression", codec).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -150,12 +150,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    whole = materialize(own.mapInArrow(run, "doc_id long, h long, fp long, n int, least array<int>").withColumn("uid", F.xxhash64("doc_id", "h")).withColumn("same", F.xxhash64("fp", "n", "least")), "profiles")
+    whole = materialize(own.mapInArrow(run, "doc_id long, h long, fp long, n int, least array<int>").withColumn("uid", F.xxhash64("doc_id", "h")).withColumn("same", F.xxhash64("fp", "n", "least")), "profiles", source=docs)
     profiles = materialize(whole.drop("least"), "profiles-only")
     # texts with one shingle set are one class; its first stands for it
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "uid")
     alike = profiles.where("n > 0").groupBy("same", "fp", "n").agg(F.min(order).alias("o"))
-    firsts = materialize(whole.where("n > 0").select("uid", "n", "least").join(alike.select(F.col("o.uid").alias("uid")), "uid").dropDuplicates(["uid"]), "first-profiles")
+    firsts = materialize(whole.where("n > 0").select("uid", "n", "least").join(alike.select(F.col("o.uid").alias("uid")), "uid").dropDuplicates(["uid"]), "first-profiles", source=docs)
     drop_shared(docs.sparkSession, whole)
     release(docs.sparkSession)
     size, share = F.size("least"), F.lit(similarity)
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     keys = firsts.select("uid", "least").mapInArrow(prefixes, "key int, uid long, size int")
     repeated = keys.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("key")
-    keys = materialize(keys.join(repeated, "key"), "shared-keys")
+    keys = materialize(keys.join(repeated, "key"), "shared-keys", source=docs)
     release(docs.sparkSession)
 
     def likely(met: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     # keys with holders in several groups: all pairs across groups; one of each two is outside the key's largest group
     rooted = keys.join(roots, keys["uid"] == roots["node"], "left").select("key", "uid", "size", F.coalesce("root", "uid").alias("root"))
     largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-    rooted = materialize(rooted.join(largest.select("key", "largest"), "key"), "open-keys")
+    rooted = materialize(rooted.join(largest.select("key", "largest"), "key"), "open-keys", source=docs)
     others = rooted.select("key", F.col("uid").alias("to"), F.col("size").alias("to_size"), F.col("root").alias("to_root"))
     once = (F.col("to_root") == F.col("largest")) | (F.col("uid") < F.col("to"))
     across = rooted.where("root <> largest").join(others, "key").where((F.col("root") != F.col("to_root")) & once)
