@@ -56,10 +56,12 @@ def main(argv: list[str] | None = None) -> int:
     what.add_argument("--tables", help="test tables, with planted violations")
     a.add_argument("--samples", type=int, default=20)
     args = parser.parse_args(argv)
-    from .schema import Settings
+    from .schema import Settings, safe_store
 
     try:
         settings = Settings.from_environment(dict(os.environ))
+        if getattr(args, "store", None):
+            safe_store(args.store)
     except ValueError as e:
         print(f"bad settings: {e}", file=sys.stderr)
         return 2

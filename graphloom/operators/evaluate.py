@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import TOP_SUMMARIES
 from .community import rank_summaries
-from .search import tokens
+from .search import query_terms, tokens
 
 NO_SUMMARIES = "No community summaries at this level."
 
@@ -55,3 +55,42 @@ def metric_deltas(current: DataFrame, baseline: DataFrame) -> DataFrame:
 def kept_indices(indices: list[int], size: int) -> list[int]:
     """Indices that a model returned: in bounds, each once, in order."""
     return sorted({i for i in indices if 0 <= i < size})
+
+
+def distinct_questions(questions: list[str], keep: Callable[[list[str]], list[int]] | None = None, similarity: float = 0.8) -> list[str]:
+    """A data set's questions (some hundreds) without repeats: those whose places ``keep`` returns, by default those that share less than ``similarity`` of their words with each one kept before."""
+    if keep is not None:
+        return [questions[k] for k in kept_indices(keep(questions), len(questions))]
+    kept: list[tuple[set[str], str]] = []
+    for q in questions:
+        words = set(query_terms(q))
+        if all(len(words & w) < similarity * len(words | w) for w, _ in kept if words | w):
+            kept.append((words, q))
+    return [q for _, q in kept]
+
+
+def generated_questions(chunks: DataFrame, generate: Callable[[str], list[dict]]) -> DataFrame:
+    """(chunk_index, pos, question, answer) that a pluggable model makes of each chunk; a chunk that fails gives none."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for index, text in zip(pdf["chunk_index"], pdf["text"]):
+                try:
+                    made = generate(text or "")
+                except Exception:  # noqa: BLE001  one bad chunk stops nothing
+                    made = []
+                rows += [(index, k, x.get("question"), x.get("answer")) for k, x in enumerate(made)]
+            yield pd.DataFrame(rows, columns=["chunk_index", "pos", "question", "answer"])
+
+    return chunks.select("chunk_index", "text").mapInPandas(run, "chunk_index long, pos int, question string, answer string").where(F.trim("question") != "")
+
+
+def write_evaluation(results: DataFrame, current: DataFrame, baseline: DataFrame | None, folder: str) -> None:
+    """``results`` as JSON lines and, of (metric, value) rows, one JSON line a metric with its baseline and delta."""
+    if baseline is None:
+        baseline = current.limit(0)
+    results.write.mode("overwrite").json(f"{folder}/results")
+    metric_deltas(current, baseline).coalesce(1).sortWithinPartitions("metric").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/metrics")

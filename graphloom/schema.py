@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from urllib.parse import urlsplit
 
 from pyspark.sql import types as T
 
@@ -36,6 +38,22 @@ KEYS = {"book": ["id"], "chapter": ["book_id", "number", "title"], "section": ["
 SCHEMAS = {"book": BOOK, "chapter": CHAPTER, "section": SECTION, "chunk": CHUNK, "entity": ENTITY, "related": RELATED, "mentions": MENTIONS, "hierarchy": HIERARCHY, "summary": SUMMARY}
 
 
+#: Fixed value: what an identifier may be made of. And where a store may lie.
+IDENTIFIER = re.compile(r"[A-Za-z0-9_.-]+")
+STORE_SCHEMES = ("", "file", "hdfs", "viewfs", "s3a", "gs", "abfss")
+
+
+def safe_store(uri: str, schemes: tuple[str, ...] = STORE_SCHEMES) -> str:
+    """``uri`` if it is a store's place: a known scheme, plain names, and neither user nor query nor fragment, which may hold secrets."""
+    parts = urlsplit(uri)
+    if parts.scheme not in schemes or parts.username or parts.password or parts.query or parts.fragment:
+        raise ValueError("this is no place for a store")
+    names = [x for x in parts.path.split("/") if x]
+    if not names or any(x == ".." or not IDENTIFIER.fullmatch(x) for x in names):
+        raise ValueError("names in a store's place are made of letters, digits, _, . and -")
+    return uri
+
+
 class GraphError(Exception):
     """Base of the errors below."""
 

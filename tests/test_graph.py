@@ -460,3 +460,32 @@ def test_retrieval_metrics(spark):
     pairs = lambda rows: spark.createDataFrame(rows, "question string, item string")
     got = {r.question: (r.precision, r.recall, r.f1) for r in evaluate.retrieval_metrics(pairs([("q", "a"), ("q", "b")]), pairs([("q", "a"), ("r", "z")])).collect()}
     assert got == {"q": (0.5, 1.0, pytest.approx(2 / 3)), "r": (0.0, 0.0, 0.0)}
+
+
+def test_questions_are_made_and_told_apart(spark):
+    qs = ["What is an agent?", "what is AN agent", "How do tools work?", "", "What is a tool?"]
+    assert evaluate.distinct_questions(qs) == [qs[0], qs[2], qs[3], qs[4]]
+    assert evaluate.distinct_questions(qs, lambda x: [9, 2, 2, 0, -1]) == [qs[0], qs[2]]
+    chunks = spark.createDataFrame([(1, "a"), (2, "boom"), (3, None)], "chunk_index long, text string")
+
+    def generate(text):
+        if text == "boom":
+            raise RuntimeError
+        return [{"question": f"{text}?", "answer": text}, {"question": " "}]
+
+    assert [tuple(r) for r in evaluate.generated_questions(chunks, generate).orderBy("chunk_index").collect()] == [(1, 0, "a?", "a"), (3, 0, "?", "")]
+
+
+def test_evaluation_is_written_with_deltas(spark, tmp_path):
+    m = lambda *rows: spark.createDataFrame(rows, "metric string, value double")
+    evaluate.write_evaluation(spark.createDataFrame([("q", 1.0)], "question string, f1 double"), m(("f1", 0.5), ("new", 1.0)), m(("f1", 0.25)), str(tmp_path / "e"))
+    got = {r.metric: (r.value, r.baseline, r.delta) for r in spark.read.json(f"{tmp_path}/e/metrics").collect()}
+    assert got == {"f1": (0.5, 0.25, 0.25), "new": (1.0, None, None)} and spark.read.json(f"{tmp_path}/e/results").count() == 1
+
+
+def test_places_of_stores():
+    for good in ("/data/g", "hdfs://host:9000/a/b-1", "relative/x_2", "s3a://bucket/store"):
+        assert schema.safe_store(good) == good
+    for bad in ("ftp://h/x", "hdfs://user:pw@h/x", "/a?token=1", "/a/../b", "/a b", "", "http://x/y", "/x#y"):
+        with pytest.raises(ValueError):
+            schema.safe_store(bad)
