@@ -4,6 +4,10 @@ Rows are links, never groups: every step is a minimum per node (combined
 before the shuffle) and an equi-join that adaptive execution can split, so a
 node with very many links needs no task of its own.  Each round is written to
 the shared folder.
+
+Links of a node to itself, repeated links and links either way count as one or
+none; links with a null end join nothing; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -127,7 +127,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     are not yet in one group, every two holders of different groups meet, so
     each pair is verified or joined by others, and large groups of copies are
     not paired.  Each candidate is verified by the similarity of the whole
-    shingle sets, and verified links are joined to groups.  Texts without words are left alone.
+    shingle sets, and verified links are joined to groups.
+
+    Null, empty and blank texts have no words and are left alone, each its own
+    group; texts of fewer words have one shingle, the whole sequence; null ids
+    are last in order and never stand for a group that has others; rows equal
+    in id and text are one; other columns are ignored; an empty table gives an
+    empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,9 @@ pattern, and the library's model merges each; other pieces and texts with
 unusual white space take the library's whole path.  Ids are always those of
 the tokenizers library.
 
+A text must not be null; an empty one has no ids; equal texts have equal ids,
+whatever the cache holds; very long texts are handled one at a time.
+
 Special tokens: their strings in a text are ordinary text, as the vocabulary
 files' own instructions have it (``encode_special_tokens = True``).
 """
