@@ -9,7 +9,6 @@ read; if another writer was first, it fails and has changed nothing.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -195,7 +194,3 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a given schema; blank lines are skipped."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
-
-
-def dead_letter(chunk_index: int, pages: tuple[int, int], error: Exception, now: str) -> str:
-    return json.dumps({"chunk_index": chunk_index, "page_ref": {"start": pages[0], "end": pages[1]}, "error_type": type(error).__name__, "error_message": str(error), "timestamp": now})

@@ -93,15 +93,6 @@ def split_text(text, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERLAP):
     return F.when(F.length(text) > size, cut).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
-def all_slices(text, size: int, overlap: int):
-    """As split_text, but long and short texts alike start a slice at each step."""
-    step = size - overlap
-    if step <= 0:
-        raise ValueError("overlap must be below the size")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step)), lambda i: F.substring(text, i + 1, F.lit(size)))
-    return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<string>"))
-
-
 def corpus_chunks(spark: SparkSession, sf_dir: str, size: int = S.CHUNK_SIZE, overlap: int = S.CHUNK_OVERLAP) -> DataFrame:
     """doc_id, book_id, part (0, 1, ...), text of every document's chunks; no shuffle."""
     docs = read(spark, sf_dir, "documents")
