@@ -63,6 +63,8 @@ def linked(classes: DataFrame, distance: int = 3, segments: int = SEGMENTS) -> D
     width, radius = 64 // segments, distance // segments
     if radius > 1:
         raise ValueError("more segments are needed: balls of radius 0 or 1 only")
+    # each fingerprint becomes many rows, so the few bytes that they are made from are spread first
+    classes = classes.select("fp").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     mask = (1 << width) - 1
 
     def table(name: str, ball: bool) -> DataFrame:
