@@ -41,7 +41,10 @@ FILE_BYTES = 1 << 27
 
 
 def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
-    """``df`` in one file for each ``FILE_BYTES`` of the table that it was made from, but one for each core. Nothing is shuffled."""
+    """``df`` in one file for each ``FILE_BYTES`` of the table that it was made from, but one for each core. Nothing is shuffled.
+
+    Gather before a step in Python, not after it: what a task has exchanged with its worker for one partition is kept until the task ends.
+    """
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # very large where it is not known
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1 << 30)))
 
@@ -64,6 +67,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(key, before)
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """As ``small_batches``, from now on: for a session that runs steps of whole texts one after another."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, min(rows, before) if before > 0 else rows)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd", source: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 

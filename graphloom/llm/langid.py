@@ -204,7 +204,7 @@ def keep_identified(docs: DataFrame, net: ByteNetwork | None, least: float = LEA
 
     So null, empty and letterless texts go; repeated rows stay or go together; all columns stay as they are; of an empty table, or without a label to learn from, nothing is left.
     """
-    return gathered(identify(docs, net), docs).where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    return identify(gathered(docs, docs), net).where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    whole = materialize(own.mapInArrow(run, "doc_id long, h long, fp long, n int, least array<int>").withColumn("uid", F.xxhash64("doc_id", "h")).withColumn("same", F.xxhash64("fp", "n", "least")), "profiles", source=docs)
+    whole = materialize(gathered(own, docs).mapInArrow(run, "doc_id long, h long, fp long, n int, least array<int>").withColumn("uid", F.xxhash64("doc_id", "h")).withColumn("same", F.xxhash64("fp", "n", "least")), "profiles")
     profiles = materialize(whole.drop("least"), "profiles-only")
     # texts with one shingle set are one class; its first stands for it
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "uid")
