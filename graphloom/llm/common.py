@@ -37,16 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of input for each file of a result.
-FILE_BYTES = 1 << 27
+FILE_BYTES = 1 << 26
 
 
 def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
-    """``df`` in one file for each ``FILE_BYTES`` of the table that it was made from, but one for each core. Nothing is shuffled.
+    """``df`` in one file for each ``FILE_BYTES`` of the table that it was made from, but two for each core. Nothing is shuffled.
 
     Gather before a step in Python, not after it: what a task has exchanged with its worker for one partition is kept until the task ends.
     """
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # very large where it is not known
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1 << 30)))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE_BYTES), 1 << 30)))
 
 
 #: Bytes that a writer of an intermediate table holds before it writes them out.
