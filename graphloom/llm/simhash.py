@@ -90,6 +90,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 3, id_col: s
 
 #: Drawn holders of a key that its other texts meet in the first round, besides the least and the greatest.
 HOLDERS = 1
+#: Drawn holders of its largest group that others of a key meet in each further round, and rounds; they change no result.
+MORE_HOLDERS, MORE_ROUNDS = 8, 2
 #: Holders from which a shingle is common, and common shingles that are put last in every prefix; they change no result.
 COMMON, COMMON_KEPT = 16, 50_000
 
@@ -125,10 +127,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     Candidates come from a prefix filter, which misses no pair: sets that
     are similar enough share one of the first shingles of each.  First each
-    text meets a few holders of each of its keys.  Then, in keys whose holders
-    are not yet in one group, every two holders of different groups meet, so
-    each pair is verified or joined by others, and large groups of copies are
-    not paired.  Each candidate is verified by the similarity of the whole
+    text meets a few holders of each of its keys, and who is left outside a
+    key's largest group some more of that.  Then, in keys whose holders are not
+    yet in one group, every two holders of different groups meet, so each pair
+    is verified or joined by others, and large groups of copies are not paired.  Each candidate is verified by the similarity of the whole
     shingle sets, and verified links are joined to groups.
 
     Null, empty and blank texts have no words and are left alone, each its own
@@ -213,10 +215,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     links = materialize(verified(pairs), "first-links")
     release(docs.sparkSession)
     roots = components(links)
-    # keys with holders in several groups: all pairs across groups; one of each two is outside the key's largest group
-    rooted = keys.join(roots, keys["uid"] == roots["node"], "left").select("key", "uid", "size", F.coalesce("root", "uid").alias("root"))
-    largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-    rooted = materialize(rooted.join(largest.select("key", "largest"), "key"), "open-keys", source=docs)
+
+    def opened(roots: DataFrame) -> DataFrame:
+        """(key, uid, size, root, largest) of the keys whose holders are in several groups."""
+        rooted = keys.join(roots, keys["uid"] == roots["node"], "left").select("key", "uid", "size", F.coalesce("root", "uid").alias("root"))
+        largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+        return materialize(rooted.join(largest.select("key", "largest"), "key"), "open-keys", source=docs)
+
+    # who is outside a key's largest group meets more of that group, so few are left for the pairs below
+    rooted = opened(roots)
+    for turn in range(MORE_ROUNDS):
+        drawn = [F.min_by(held, F.xxhash64("uid", F.lit(HOLDERS + turn * MORE_HOLDERS + k))) for k in range(MORE_HOLDERS)]
+        inside = rooted.where("root = largest").groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("to"))
+        met = rooted.where("root <> largest").join(inside, "key").select("uid", "size", F.explode("to").alias("to")).select("uid", "size", F.col("to.uid").alias("to"), F.col("to.size").alias("to_size"))
+        pairs = materialize(likely(met), "outside-pairs")
+        release(docs.sparkSession)
+        new = materialize(verified(pairs), "outside-links")
+        release(docs.sparkSession)
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        roots = components(links)
+        drop_shared(docs.sparkSession, rooted)
+        rooted = opened(roots)
+    # then all pairs across groups; one of each two is outside the key's largest group
     others = rooted.select("key", F.col("uid").alias("to"), F.col("size").alias("to_size"), F.col("root").alias("to_root"))
     once = (F.col("to_root") == F.col("largest")) | (F.col("uid") < F.col("to"))
     across = rooted.where("root <> largest").join(others, "key").where((F.col("root") != F.col("to_root")) & once)
