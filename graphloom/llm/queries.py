@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, lookup_sketch, media, mixing, packing, recompression, simhash, token_store, toxicity, wrappers
+from . import band_join, langid, lookup_sketch, media, mixing, packing, recompression, simhash, token_store, toxicity, wrappers
 
 
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,24 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text,
 p AS (SELECT *, greatest(192, (n_bytes + 191) // 192 * 192) AS payload_bytes FROM d)
 SELECT doc_id, n_bytes, payload_bytes, sha256(text || repeat(' ', payload_bytes - n_bytes)) AS payload_sha256 FROM p
 """
+#: Of op11_bands: checksums by the table of the reversed polynomial, pairs by an inequality join.
+_BANDS = """
+WITH RECURSIVE byte AS (SELECT CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS c, 0 AS k FROM range(256) t(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM byte WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS t FROM byte WHERE k = 8),
+own AS (SELECT sale_id, CAST(line_no AS BIGINT) AS line_no, item_id, CAST(quantity AS HUGEINT) AS q, CAST(floor(100 * amount + 0.5) AS HUGEINT) AS a FROM sale_lines
+  WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity <> 0 AND abs(amount) < 45035996273704.96),
+line AS (SELECT sale_id, line_no, item_id, CAST((y - ((y % z) + z) % z) // z AS BIGINT) AS u, concat(sale_id, ',', line_no, ',', item_id) AS s
+  FROM (SELECT *, CASE WHEN q < 0 THEN -(2 * a + q) ELSE 2 * a + q END AS y, abs(2 * q) AS z FROM own)),
+coded AS (SELECT line.*, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(s, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc FROM line, tab),
+item AS (SELECT DISTINCT item_id, CASE WHEN abs(price) < 45035996273704.96 THEN CAST(floor(100 * price + 0.5) AS BIGINT) END AS p FROM items),
+pair AS (SELECT i.item_id, i.p, abs(u - p) AS gap, u, sale_id, line_no, c.item_id AS line_item_id, crc FROM item i JOIN coded c
+  ON u BETWEEN p - greatest(50, abs(p) // 100) AND p + greatest(50, abs(p) // 100) AND i.item_id <> c.item_id AND (abs(u - p) <= 50 OR 1000 * abs(u - p) <= 5 * least(u, p))),
+sums AS (SELECT item_id, p, count(*) AS n_pairs, CAST(sum(gap) AS BIGINT) AS gap_sum, CAST(sum(crc) AS BIGINT) AS lines_crc FROM pair GROUP BY item_id, p),
+top AS (SELECT *, row_number() OVER (PARTITION BY item_id, p ORDER BY gap, u, sale_id, line_no NULLS LAST, line_item_id) AS r FROM pair)
+SELECT i.item_id, CAST(coalesce(r, 0) AS INTEGER) AS rank, gap, u, sale_id, line_no, line_item_id, coalesce(n_pairs, 0) AS n_pairs, coalesce(gap_sum, 0) AS gap_sum, coalesce(lines_crc, 0) AS lines_crc
+FROM item i LEFT JOIN sums s ON i.item_id = s.item_id AND i.p = s.p LEFT JOIN (SELECT * FROM top WHERE r <= 10) t ON i.item_id = t.item_id AND i.p = t.p
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_token_store": token_store.op9_token_store,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_bands": band_join.op11_bands,
         "llm_mix_targets": mix_targets,
         "llm_edited_texts": edited_texts,
         "llm_media_payloads": media_payloads,
@@ -79,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_recompression": _REPEATS, "llm_mix_targets": _MIX, "llm_edited_texts": _EDITED, "llm_media_payloads": _PAYLOAD}
+    return {"op3_recompression": _REPEATS, "op11_bands": _BANDS, "llm_mix_targets": _MIX, "llm_edited_texts": _EDITED, "llm_media_payloads": _PAYLOAD}
