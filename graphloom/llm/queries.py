@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import band_join, langid, lookup_sketch, media, mixing, packing, recompression, simhash, token_store, toxicity, wrappers
+from . import band_join, langid, lookup_sketch, media, mixing, packing, recompression, runs, secrets, simhash, token_store, toxicity, wrappers
 
 
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_store": token_store.op9_token_store,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_bands": band_join.op11_bands,
+        "op12_runs": runs.op12_runs,
+        "op13_secrets": secrets.op13_secrets,
         "llm_mix_targets": mix_targets,
         "llm_edited_texts": edited_texts,
         "llm_media_payloads": media_payloads,
