@@ -24,6 +24,11 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.op5_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
+def secret_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op13_secrets: its base spans."""
+    return secrets.op13_secrets(spark, sf_dir).drop("spans")
+
+
 #: DuckDB twins over whole texts.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _MIX = f"""
@@ -58,6 +63,16 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text,
 p AS (SELECT *, greatest(192, (n_bytes + 191) // 192 * 192) AS payload_bytes FROM d)
 SELECT doc_id, n_bytes, payload_bytes, sha256(text || repeat(' ', payload_bytes - n_bytes)) AS payload_sha256 FROM p
 """
+_NAMED = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+_SECRETS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row FROM documents),
+pattern(k, kind, p, which, least) AS (VALUES (0, 'assign', '%s["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2, 6), (1, 'access', '(())AKIA[A-Z0-9]{16,}', 0, 20), (2, 'hex', '(())[0-9a-f]{24,}', 0, 24)),
+m AS (SELECT row, k, kind, least, regexp_extract_all(text, p) AS whole, regexp_extract_all(text, p, which) AS value, string_split_regex(text, p) AS gaps FROM d, pattern),
+one AS (SELECT row, k, kind, least, length(value[i]) AS n, length(whole[i]) AS width, list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0) AS start
+  FROM m, unnest(range(1, len(whole) + 1)) AS t(i)),
+kept AS (SELECT row, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(concat(kind, ':', CAST(start AS BIGINT), ':', CAST(start + width AS BIGINT)), ',' ORDER BY start, k) AS spans FROM one WHERE n >= least GROUP BY row)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN kept USING (row)
+""" % _NAMED
 #: Of op11_bands: checksums by the table of the reversed polynomial, pairs by an inequality join.
 _BANDS = """
 WITH RECURSIVE byte AS (SELECT CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS c, 0 AS k FROM range(256) t(n)
@@ -96,8 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "llm_mix_targets": mix_targets,
         "llm_edited_texts": edited_texts,
         "llm_media_payloads": media_payloads,
+        "llm_secret_bases": secret_bases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_recompression": _REPEATS, "op11_bands": _BANDS, "llm_mix_targets": _MIX, "llm_edited_texts": _EDITED, "llm_media_payloads": _PAYLOAD}
+    return {"op3_recompression": _REPEATS, "op11_bands": _BANDS, "llm_secret_bases": _SECRETS, "llm_mix_targets": _MIX, "llm_edited_texts": _EDITED, "llm_media_payloads": _PAYLOAD}
