@@ -31,17 +31,18 @@ more than 2**31 pairs may exceed them and then ends in Spark's overflow error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
 from itertools import chain
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import materialize
 
 #: Positions of a shard: prices on the first tier, shards of the tier below on the others.
 WIDTH = 64
+#: Parts of one price's items.
+PARTS = 16
 #: Stands for a null line number inside the trees; line numbers are ints.
 NO_LINE = (1 << 63) - 1
 #: Cents beyond which products of the band's terms would not fit a long.
@@ -121,8 +122,6 @@ class Tree:
 
 def _answer(rows: pd.DataFrame, first: int) -> pd.DataFrame:
     """One shard: builds its tree, answers its queries, and hands its root on as a leaf of the next tier."""
-    from bisect import bisect_left, bisect_right
-
     shard = int(rows["shard"].iloc[0])
     sums, rising, falling, queries = {}, {}, {}, []
     for kind, at, a, b, c, d in rows[["kind", "at", "a", "b", "c", "d"]].itertuples(index=False, name=None):
@@ -154,7 +153,7 @@ def _answer(rows: pd.DataFrame, first: int) -> pd.DataFrame:
     return pd.DataFrame({"shard": [0] * len(out)} | dict(zip(["kind", "at", "a", "b", "c", "d"], columns)))
 
 
-def _pieces(bands: DataFrame, tier: int) -> tuple[DataFrame, DataFrame]:
+def _pieces(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of ``bands`` (p, low, high, rise: positions of this tier): the pieces in partial shards as rows of FLAT, and what is left for the next tier."""
     shard = lambda c: F.floor(F.col(c) / F.lit(WIDTH)).cast("long")  # noqa: E731  exact: |c| < 2**53
     cut = bands.withColumns({"s": shard("low"), "e": shard("high")})
@@ -185,7 +184,9 @@ def band_join(lines: DataFrame, items: DataFrame, first: int = 10, least_gap: in
     order = ["sale", "no", "item"]
     numbered = own.withColumn("no", F.coalesce("no", F.lit(NO_LINE)))
     of_item = numbered.withColumn("r", F.row_number().over(Window.partitionBy("u", "item").orderBy("sale", "no"))).where(F.col("r") <= first)
-    firsts = of_item.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(*order))).where(F.col("r") <= 2 * first)
+    # a price that many items have is brought down in parts before its rows meet
+    parts = of_item.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS))).withColumn("r", F.row_number().over(Window.partitionBy("u", "part").orderBy(*order))).where(F.col("r") <= 2 * first)
+    firsts = parts.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(*order))).where(F.col("r") <= 2 * first)
     shard = F.floor(F.col("u") / F.lit(WIDTH)).cast("long").alias("shard")
     zero = F.lit(0).cast("long")
     leaves = summed.groupBy("u").agg(F.sum("n").alias("n"), F.sum("crc").alias("crc")).select(shard, F.lit(LEAF).alias("kind"), F.col("u").alias("at"), F.col("n").alias("a"), (F.col("n") * F.col("u")).alias("b"), F.col("crc").alias("c"), zero.alias("d"))
@@ -202,7 +203,7 @@ def band_join(lines: DataFrame, items: DataFrame, first: int = 10, least_gap: in
     widest = prices.agg(F.max(F.greatest(F.col("high") - F.col("p"), F.col("p") - F.col("low") + 1))).first()[0] or 0
     answers, tier = [], 0
     while True:
-        flat, bands = _pieces(bands, tier)
+        flat, bands = _pieces(bands)
         met = leaves.union(flat).groupBy("shard").applyInPandas(lambda rows: _answer(rows, first), FLAT)
         met = materialize(met, f"band-tier{tier}")
         answers.append(met.where(F.col("kind") >= SUMS))
