@@ -204,7 +204,16 @@ def keep_identified(docs: DataFrame, net: ByteNetwork | None, least: float = LEA
 
     So null, empty and letterless texts go; repeated rows stay or go together; all columns stay as they are; of an empty table, or without a label to learn from, nothing is left.
     """
-    return identify(gathered(docs, docs), net).where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                stays = [name != UNKNOWN and score >= least for name, score in zip(*_score(net, part.column(at).to_pylist()))]
+                yield part.filter(pa.array(stays, pa.bool_()))
+
+    return gathered(docs, docs).mapInArrow(run, docs.schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

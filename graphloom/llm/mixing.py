@@ -122,15 +122,15 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     share what the mix takes of them, and what does not divide evenly goes to
     one of them; other columns may have any name; an empty table stays empty.
     """
-    counts = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__key")).agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
-    counts = materialize(counts.select("__id", "__key", F.expr("cast(all div rows AS int)").alias("__each"), F.expr("cast(all % rows AS int)").alias("__more")), "copies")
-    hashed = docs.withColumns({"__h": F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["source"]), "__own": docs["doc_id"].cast("long")})
-    same = (F.col("__h") == F.col("__key")) & F.col("__own").eqNullSafe(F.col("__id"))
-    times = lambda df, n: df.select(*docs.columns, F.explode(F.expr(f"array_repeat(0, {n})")).alias("__copy")).drop("__copy")
-    out = times(hashed.join(counts.where("__each > 0"), same), "__each")
-    more = counts.where("__more > 0")  # of repeated rows only
-    out = gathered(out, docs)
-    return out if more.isEmpty() else out.union(times(hashed.join(more, same).dropDuplicates(["__key", "__id"]), "__more"))
+    counts = mix(docs, **options).groupBy("doc_id", "h").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    counts = materialize(counts.select(F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"), F.expr("cast(all div rows AS int)").alias("each"), F.expr("cast(all % rows AS int)").alias("more")), "copies")
+    # other columns, whatever their names, are inside ``row``
+    hashed = docs.select(F.struct("*").alias("row"), F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"), docs["source"]).alias("h"), docs["doc_id"].cast("long").alias("id"))
+    same = (F.col("h") == F.col("to_h")) & F.col("id").eqNullSafe(F.col("to_id"))
+    times = lambda df, n: df.select("row", F.explode(F.expr(f"array_repeat(0, {n})"))).select("row.*")
+    out = gathered(times(hashed.join(counts.where("each > 0"), same), "each"), docs)
+    more = counts.where("more > 0")  # of repeated rows only
+    return out if more.isEmpty() else out.union(times(hashed.join(more, same).dropDuplicates(["to_h", "to_id"]), "more"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,7 +322,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Nulls, ties and clashing names as above: null texts and texts that lose nothing stay as they are, as do all other columns; an empty table stays empty.
     """
     names = docs.columns
-    spanned = removals(docs, window)
+    # other columns, whatever their names, are inside ``whole``
+    spanned = removals(docs.select("doc_id", "text", F.struct("*").alias("whole")), window)
+    spanned = spanned.select(*(F.col("whole").getField(c).alias(f"c{k}") for k, c in enumerate(names)), F.col("__spans").alias("spans"))
     at_text, at_n, at_spans = names.index("text"), names.index("n_chars"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
