@@ -220,6 +220,7 @@ def band_join(lines: DataFrame, items: DataFrame, first: int = 10, least_gap: in
         F.sum(F.when(F.col("kind") == SUMS, F.col("a"))).alias("n"), F.sum(F.when(F.col("kind") == SUMS, F.col("b"))).alias("gaps"), F.sum(F.when(F.col("kind") == SUMS, F.col("c"))).alias("crc"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == FIRST, entry))).alias("near"),
     )
+    by_price = materialize(by_price, "band-prices")  # so that a join with a price of many items can be split
     ids = priced.where("p IS NOT NULL AND item_id IS NOT NULL").select("item_id", "p", "low", "high")
     mine = summed.join(ids.hint("merge"), (F.col("item") == F.col("item_id")) & F.col("u").between(F.col("low"), F.col("high")))
     mine = mine.groupBy("item_id", "p").agg(F.sum("n").alias("own_n"), F.sum(F.abs(F.col("u") - F.col("p")) * F.col("n")).alias("own_gaps"), F.sum("crc").alias("own_crc"))
