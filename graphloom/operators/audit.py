@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.scalar import joined_key
 from ..schema import EDGE_TYPES, NODE_LABELS
 from .traverse import checkpointed, reachable
 
@@ -39,7 +40,7 @@ class Graph:
 
 
 def chunk_key(book: str = "book_id", index: str = "chunk_index") -> Column:
-    return F.concat(F.coalesce(F.col(book), F.lit("")), F.lit("|"), F.coalesce(F.col(index).cast("string"), F.lit("")))
+    return joined_key(F.coalesce(F.col(book), F.lit("")), F.coalesce(F.col(index).cast("string"), F.lit("")))
 
 
 def _yes(condition: Column) -> Column:
@@ -48,7 +49,7 @@ def _yes(condition: Column) -> Column:
 
 
 def chapter_key() -> Column:
-    return F.concat_ws("|", "book_id", F.col("number").cast("string"), "title")
+    return joined_key("book_id", "number", "title")
 
 
 def _keyed(df: DataFrame, key: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scalar import provenance
 from ..schema import LOOKUP_LIMIT, MAX_BATCH, PAGE_SIZE, BatchSizeExceeded
+from .traverse import checkpointed
 
 #: Confidence by tier.
 CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.6, 4: 0.4}
@@ -71,13 +72,17 @@ def count_entities(entities: DataFrame, kind: str | None = None) -> DataFrame:
 
 
 def with_row_ids(entities: DataFrame, order: str = "id") -> DataFrame:
-    """``row_id`` 1, 2, ... in order of a unique column, without one task that orders all rows: ranges are numbered apart and shifted by what is before them."""
-    spark = entities.sparkSession
+    """``row_id`` 1, 2, ... in order of a unique column, without one task that orders all rows: ranges are numbered apart and shifted by what is before them.
+
+    The ranges are written once: made anew for each use, they may have other
+    bounds, as these are drawn from a sample.
+    """
     ranged = entities.repartitionByRange(order).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__range", F.shiftright("__m", 33)).withColumn("__in", F.col("__m").bitwiseAND((1 << 33) - 1))
+    ranged = checkpointed(ranged.withColumn("__range", F.shiftright("__m", 33)).withColumn("__in", F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m"))
     counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    return ranged.join(counts.select("__range", before.alias("__before")), "__range").withColumn("row_id", F.col("__in") + F.col("__before") + 1).drop("__m", "__range", "__in", "__before", "n")
+    counts = counts.select(F.col("__range").alias("__r"), before.alias("__before"))
+    return ranged.join(counts, F.col("__range") == F.col("__r")).withColumn("row_id", F.col("__in") + F.col("__before") + 1).drop("__range", "__in", "__r", "__before")
 
 
 def page(entities: DataFrame, after: str | None = None, size: int = PAGE_SIZE, order: str = "id") -> DataFrame:

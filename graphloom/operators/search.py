@@ -42,7 +42,7 @@ def bm25(rows: DataFrame, key: list[str], text: Column, query: str) -> DataFrame
         return rows.select(*key, F.lit(0.0).alias("score")).limit(0)
     own = rows.select(*key, tokens(text).alias("terms"))
     counts = [F.size(F.filter("terms", _equals(w))) for w in terms]
-    own = checkpointed(own.select(*key, F.size("terms").alias("length"), F.array(*counts).alias("tf")))
+    own = checkpointed(own.select(*key, F.coalesce(F.size("terms"), F.lit(0)).alias("length"), F.array(*counts).alias("tf")))
     stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.array(*(F.sum((F.col("tf")[k] > 0).cast("long")) for k in range(len(terms)))).alias("df"))
     joined = own.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # stats has one row
 

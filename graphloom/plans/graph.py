@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.scalar import joined_key
 from ..operators.audit import Graph, chunk_key
 from ..sources import tables as T
 
@@ -16,8 +17,8 @@ def _edges(df: DataFrame, kind: str, a: str, b: str) -> DataFrame:
 def of_store(store) -> Graph:
     """A table store's own graph, as it was indexed; ends that are not there are labelled so."""
     book, chapter, chunk, entity = store.read("book"), store.read("chapter"), store.read("chunk"), store.read("entity")
-    key = F.concat_ws("|", "book_id", F.col("chapter_number").cast("string"), "title")
-    chapters = chapter.groupBy("book_id", F.col("number").alias("chapter_number")).agg(F.min(F.concat_ws("|", "book_id", F.col("number").cast("string"), "title")).alias("chapter_key"))
+    key = joined_key("book_id", "chapter_number", "title")
+    chapters = chapter.groupBy("book_id", F.col("number").alias("chapter_number")).agg(F.min(joined_key("book_id", "number", "title")).alias("chapter_key"))
     section = store.read("section").join(chapters, ["book_id", "chapter_number"], "left").select("chapter_key", key.alias("key"), "title", "level", "page_start")
     label = lambda known, yes: F.when(known.isNotNull(), yes).otherwise("Missing")
     ids = entity.select("id").distinct()

@@ -34,8 +34,10 @@ HIERARCHY = "type string, src_label string, src string, dst_label string, dst st
 SUMMARY = "id string, level int, summary string, entity_ids array<string>, parent_id string"
 QUERY_LOG = "ts timestamp, tool_name string, query_type string, query_params string, result_count long, zero_results boolean, entity_not_found boolean, duration_ms double, error string"
 #: Natural keys by table.
-KEYS = {"book": ["id"], "chapter": ["book_id", "number", "title"], "section": ["book_id", "chapter_number", "title"], "chunk": ["chunk_index", "book_id"], "entity": ["id"], "related": ["src", "dst", "type"], "mentions": ["chunk_index", "book_id", "entity_id"], "hierarchy": ["type", "src", "dst"], "summary": ["id"]}
+KEYS = {"book": ["id"], "chapter": ["book_id", "number", "title"], "section": ["book_id", "chapter_number", "title"], "chunk": ["chunk_index", "book_id"], "entity": ["id"], "related": ["src", "dst", "type"], "mentions": ["chunk_index", "book_id", "entity_id"], "hierarchy": ["type", "src", "dst"], "summary": ["id"], "orphan": ["src", "dst", "type"]}
 SCHEMAS = {"book": BOOK, "chapter": CHAPTER, "section": SECTION, "chunk": CHUNK, "entity": ENTITY, "related": RELATED, "mentions": MENTIONS, "hierarchy": HIERARCHY, "summary": SUMMARY}
+#: Relations that wait for their ends; no part of the graph.
+WAITING = {"orphan": f"{RELATED}, missing_endpoint string"}
 
 
 #: Fixed value: what an identifier may be made of. And where a store may lie.

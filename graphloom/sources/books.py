@@ -25,7 +25,7 @@ FRONT_MATTER = (
 #: Titles of numbered chapters: a number, a number with a dot and a title, a number and a word.
 CHAPTERS = (r"^\s*(\d+)\s*$", r"^\s*(\d+)\.\s+(.+)$", r"^\s*(\d+)\s+(\w.*)$")
 _BARE = re.compile(CHAPTERS[0])
-SCHEMA = "book_id string, chunk_index int, chapter_number int, chapter_title string, section string, level int, section_ancestors string, page_start int, page_end int, text string"
+SCHEMA = "book_id string, chunk_index int, chapter_number int, chapter_title string, section string, level int, section_ancestors string, path array<string>, page_start int, page_end int, text string"
 
 
 @dataclass
@@ -86,16 +86,21 @@ def slices(text: str, size: int, overlap: int) -> list[str]:
 
 
 def cut_book(book_id: str, page_count: int, toc: list[tuple[int, str, int]], pages: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, keep_empty: bool = False) -> list[tuple]:
-    """Rows of SCHEMA: a leaf's pages, sliced if they are long. Without a table of contents, all pages."""
+    """Rows of SCHEMA: a leaf's pages, sliced if they are long. Without a table of contents, all pages.
+
+    ``section_ancestors`` is for readers; ``path`` has the titles of a chunk's sections apart, whatever characters they hold.
+    """
     rows: list[tuple] = []
 
-    def add(chapter, section, level, ancestors, first, last, text):
+    def add(chapter, sections, first, last, text):
+        titles = [x.title for x in sections]
+        own = (titles[-1], sections[-1].level) if sections else (None, None)
         for part in slices(text, size, overlap) if len(text) > size else [text] if text or keep_empty else []:
-            rows.append((book_id, len(rows), *chapter, section, level, ancestors, first, last, part))
+            rows.append((book_id, len(rows), *chapter, *own, ">".join(titles[:-1]) or None, titles, first, last, part))
 
     if not toc:
         for part in slices("\n".join(pages), size, overlap):
-            rows.append((book_id, len(rows), None, None, None, None, None, 1, page_count, part))
+            rows.append((book_id, len(rows), None, None, None, None, None, [], 1, page_count, part))
         return rows
     toc = merge_split_titles(toc)
     entries = tree(toc, page_count)
@@ -121,7 +126,7 @@ def cut_book(book_id: str, page_count: int, toc: list[tuple[int, str, int]], pag
             chapter = parse_chapter(numbered[k].title)
         sections = [x for x in reversed(line) if x.level > 1]
         text = "\n".join(pages[max(0, e.page - 1) : max(0, e.end)])
-        add(chapter, sections[-1].title if sections else None, sections[-1].level if sections else None, ">".join(x.title for x in sections[:-1]) or None, e.page, e.end, text)
+        add(chapter, sections, e.page, e.end, text)
     return rows
 
 
@@ -160,16 +165,18 @@ def editorial(chunks: DataFrame) -> dict[str, DataFrame]:
     """Chapter, section, chunk and hierarchy tables of cut books; a chunk hangs below its section, else its chapter, else nothing."""
     from pyspark.sql import functions as F
 
+    from ..functions.scalar import joined_key
+    from ..operators.audit import chunk_key
+
     own = chunks.where("chapter_number IS NOT NULL")
     chapter = own.groupBy("book_id", F.col("chapter_number").alias("number"), F.col("chapter_title").alias("title")).agg(F.min("page_start").alias("page_start"))
-    path = F.array_compact(F.concat(F.coalesce(F.split("section_ancestors", ">"), F.array().cast("array<string>")), F.array("section")))
-    line = own.where("section IS NOT NULL").withColumn("path", path).select("book_id", "chapter_number", "chapter_title", "page_start", "level", "path", F.posexplode("path").alias("pos", "title"))
+    line = own.where("section IS NOT NULL").select("book_id", "chapter_number", "chapter_title", "page_start", "level", "path", F.posexplode("path").alias("pos", "title"))
     line = line.withColumn("parent_section_title", F.when(F.col("pos") > 0, F.expr("path[pos - 1]"))).withColumn("level", F.col("level") - F.size("path") + F.col("pos") + 1)
     section = line.groupBy("book_id", "chapter_number", "title").agg(F.min("level").alias("level"), F.min("page_start").alias("page_start"), F.min_by("parent_section_title", "page_start").alias("parent_section_title"))
 
-    key = lambda *parts: F.concat_ws("|", *(F.col(p).cast("string") for p in parts))
+    key = joined_key
     edge = lambda df, kind, a, src, b, dst: df.select(F.lit(kind).alias("type"), F.lit(a).alias("src_label"), src.alias("src"), F.lit(b).alias("dst_label"), dst.alias("dst"))
-    of_chapter, of_section, of_chunk = key("book_id", "chapter_number", "chapter_title"), key("book_id", "chapter_number", "title"), key("book_id", "chunk_index")
+    of_chapter, of_section, of_chunk = key("book_id", "chapter_number", "chapter_title"), key("book_id", "chapter_number", "title"), chunk_key()
     edges = [
         edge(chapter, "CONTAINS", "Book", F.col("book_id"), "Chapter", key("book_id", "number", "title")),
         edge(line.where("parent_section_title IS NULL"), "HAS_SECTION", "Chapter", of_chapter, "Section", of_section),
