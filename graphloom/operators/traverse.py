@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.scalar import clamp
+from ..functions.scalar import clamp, joined_key
 from ..schema import MAX_DEPTH
 
 
@@ -18,7 +18,7 @@ def trails(edges: DataFrame, start: str, depth: int = 1, kind: str | None = None
     """
     depth = clamp(depth, 0, MAX_DEPTH)
     own = edges if kind is None else edges.where(F.col("type") == kind)
-    own = own.select("src", "dst", "type", F.concat_ws("|", "src", "type", "dst").alias("edge"))
+    own = own.select("src", "dst", "type", joined_key("src", "type", "dst").alias("edge"))
     if depth == 0:
         return edges.sparkSession.createDataFrame([(0, [start], [], [])], "length int, nodes array<string>, kinds array<string>, edges array<string>")
     level = own.where(F.col("src") == start).select(F.lit(1).alias("length"), F.array("src", "dst").alias("nodes"), F.array("type").alias("kinds"), F.array("edge").alias("edges"), F.col("dst").alias("last"))
@@ -29,57 +29,107 @@ def trails(edges: DataFrame, start: str, depth: int = 1, kind: str | None = None
     return out.drop("last")
 
 
+def first_trails(edges: DataFrame, start: str, depth: int = 1, kind: str | None = None, limit: int = 100) -> DataFrame:
+    """The first ``limit`` rows of ``trails`` by length, nodes and kinds, without the others being made.
+
+    A level that fills what is left of the limit is the last one, so at most
+    ``limit`` trails are ever expanded, each by its first edges only: as many
+    as are still wanted, and those that it may have used already.  The first
+    edges of a node with very many are cut in each task before they meet.
+    """
+    own = edges if kind is None else edges.where(F.col("type") == kind)
+    own = own.select("src", "dst", "type", joined_key("src", "type", "dst").alias("edge"))
+    level = edges.sparkSession.createDataFrame([([start], [], [], start)], "nodes array<string>, kinds array<string>, edges array<string>, last string")
+    out, left = None, limit
+    for k in range(1, clamp(depth, 0, MAX_DEPTH) + 1):
+        near = own.join(F.broadcast(level.select(F.col("last").alias("src")).distinct()), "src", "left_semi")  # ``limit`` rows at most
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst", "type"))).where(F.col("n") < left + k)
+        step = near.join(F.broadcast(level), (F.col("last") == F.col("src")) & ~F.array_contains("edges", F.col("edge")))
+        step = step.select(F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("kinds", F.array("type")).alias("kinds"), F.concat("edges", F.array("edge")).alias("edges"), F.col("dst").alias("last"))
+        level = checkpointed(step.orderBy(F.array_join("nodes", "|"), F.array_join("kinds", "|")).limit(left))
+        one = level.select(F.lit(k).alias("length"), "nodes", "kinds", "edges")
+        out, left = one if out is None else out.unionByName(one), left - level.count()
+        if left <= 0:
+            break
+    return out
+
+
 def traverse(entities: DataFrame, edges: DataFrame, start: str, depth: int = 1, kind: str | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """Entities and relations on the first ``limit`` trails (shortest first, then by nodes). Depth 0 is the start alone; a start without edges gives nothing."""
     depth = clamp(depth, 0, MAX_DEPTH)
     if depth == 0:
         return entities.where(F.col("id") == start), edges.limit(0)
-    top = trails(edges, start, depth, kind).orderBy("length", F.array_join("nodes", "|"), F.array_join("kinds", "|")).limit(limit)
+    top = first_trails(edges, start, depth, kind, limit)
     nodes = top.select(F.explode("nodes").alias("id")).distinct()
     used = top.select(F.explode("edges").alias("edge")).distinct()
-    keyed = edges.withColumn("edge", F.concat_ws("|", "src", "type", "dst"))
+    keyed = edges.withColumn("edge", joined_key("src", "type", "dst"))
     return entities.join(nodes, "id", "left_semi"), keyed.join(used, "edge", "left_semi").drop("edge")
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, depth: int = MAX_DEPTH) -> DataFrame:
     """At most one row (length, path): the shortest directed path of at most ``depth`` edges; of several, the least by its text.
 
-    Level by level; each level keeps one row per node, its least path, and
-    nodes that were reached before are dropped, so a level never has more rows
-    than the graph has nodes.
+    Two frontiers, one from each end, of which the smaller is expanded, until
+    they meet.  Each keeps one row per node, its least path, and drops nodes
+    that it has met before, so neither has more rows than the graph has nodes.
+    The last step looks only for nodes of the other frontier.
     """
     depth = clamp(depth, 1, MAX_DEPTH)
     spark = edges.sparkSession
     if start == end:
         return edges.where((F.col("src") == start) | (F.col("dst") == start)).limit(1).select(F.lit(0).alias("length"), F.lit(start).alias("path"))
-    pairs = edges.select("src", "dst").distinct()
-    frontier = spark.createDataFrame([(start, start)], "node string, path string")
-    seen, found = frontier.select("node"), None
+    sides = []
+    for node, near, far in ((start, "src", "dst"), (end, "dst", "src")):
+        first = spark.createDataFrame([(node, node)], "node string, path string")
+        sides.append({"frontier": first, "seen": first.select("node"), "n": 1, "near": near, "far": far})
     for k in range(1, depth + 1):
-        # the last level needs only what reaches the end
-        step = pairs.where(F.col("dst") == end) if k == depth else pairs
-        frontier = frontier.join(step, F.col("node") == F.col("src")).groupBy("dst").agg(F.min(F.concat_ws(">", "path", "dst")).alias("path")).select(F.col("dst").alias("node"), "path")
-        frontier = checkpointed(frontier)
-        hit = frontier.where(F.col("node") == end).select(F.lit(k).alias("length"), "path")
-        found = hit if found is None else found.unionByName(hit)
-        if not hit.isEmpty():
-            break  # further levels are longer
-        if k < depth:
-            frontier = frontier.join(seen, "node", "left_anti")
-            seen = seen.union(frontier.select("node"))
-    return found.orderBy("length", "path").limit(1)
+        this, other = sorted(sides, key=lambda x: x["n"])
+        step = edges.select(F.col(this["near"]).alias("node"), F.col(this["far"]).alias("far"))
+        if k == depth:
+            step = step.join(other["frontier"].select(F.col("node").alias("far")), "far", "left_semi")
+        longer = F.concat_ws(">", "path", "far") if this["near"] == "src" else F.concat_ws(">", "far", "path")
+        made = this["frontier"].join(step, "node").groupBy("far").agg(F.min(longer).alias("path")).select(F.col("far").alias("node"), "path")
+        this["frontier"] = checkpointed(made.join(this["seen"], "node", "left_anti"))
+        forward, back = (side["frontier"] for side in sides)
+        behind = back.select("node", F.expr("substring(path, length(node) + 1)").alias("rest"))
+        hit = forward.join(behind, "node").select(F.lit(k).alias("length"), F.concat("path", "rest").alias("path"))
+        hit = checkpointed(hit.orderBy("path").limit(1))
+        if k == depth or not hit.isEmpty():
+            return hit
+        this["seen"], this["n"] = this["seen"].union(this["frontier"].select("node")), this["frontier"].count()
+        if not this["n"]:
+            return hit
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that can be reached from ``roots`` (node) over ``edges`` (src, dst), roots included, however far: a frontier until it is empty."""
-    seen = frontier = checkpointed(roots.select("node").distinct())
-    level = 0
-    while not frontier.isEmpty():
-        frontier = checkpointed(edges.join(frontier, edges["src"] == frontier["node"], "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
-        seen, level = seen.union(frontier), level + 1
-        if level % 16 == 0:  # else a plan of as many parts as levels
-            seen = checkpointed(seen)
-    return seen
+    """Nodes that can be reached from ``roots`` (node) over ``edges`` (src, dst), roots included, however far.
+
+    One parent of each node makes a forest (or rings): there each node points
+    to its parent, then to that one's pointer and so on, so chains of any
+    length take a logarithm of rounds.  Edges from other parents are followed
+    by a frontier, from which the pointers are doubled again.
+    """
+    pairs = checkpointed(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    parent = pairs.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("up"))
+    others = pairs.join(parent, (F.col("dst") == F.col("node")) & (F.col("src") != F.col("up"))).select("src", "dst")
+    pointers = checkpointed(parent.unionByName(pairs.select(F.col("src").alias("node")).distinct().join(parent, "node", "left_anti").select("node", F.lit(None).cast("string").alias("up"))))
+    most = pointers.count().bit_length() + 1
+    seen = checkpointed(roots.select("node").distinct())
+    new = seen
+    while True:
+        state = pointers.join(seen.select("node", F.lit(True).alias("met")), "node", "left").select("node", "up", F.coalesce("met", F.lit(False)).alias("met"))
+        for _ in range(most):  # rings have no end
+            state = checkpointed(state)
+            if state.where("up IS NOT NULL AND NOT met").isEmpty():
+                break
+            above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("met").alias("met_above"))
+            state = state.join(above, "up", "left").select("node", F.when(~F.col("met"), F.col("next")).alias("up"), (F.col("met") | F.coalesce("met_above", F.lit(False))).alias("met"))
+        before, seen = seen, checkpointed(seen.union(state.where("met").select("node")).distinct())
+        new = seen.join(before, "node", "left_anti").union(new)
+        new = checkpointed(others.join(new.distinct(), others["src"] == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = seen.union(new)
 
 
 def shared_folder(spark: SparkSession) -> str:

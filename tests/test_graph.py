@@ -88,6 +88,24 @@ def test_trails_against_brute_force(spark, seed):
         assert (None if row is None else (row.length, row.path)) == best
 
 
+def test_first_trails_are_the_first_of_all(spark):
+    rng = random.Random(11)
+    edges = sorted({(rng.choice(names), rng.choice(names), rng.choice(["requires", "extends"])) for names in [["a", "b", "bc", "c", "a|b"]] for _ in range(18)} | {("a", f"leaf{k:02}", "requires") for k in range(5)})
+    rows = relations(spark, edges)
+    for limit in (1, 4, 9, 30):
+        every = traverse.trails(rows, "a", 3).orderBy("length", F.array_join("nodes", "|"), F.array_join("kinds", "|")).limit(limit)
+        got = traverse.first_trails(rows, "a", 3, limit=limit)
+        assert sorted(map(str, got.select(*every.columns).collect())) == sorted(map(str, every.collect()))
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    chain = spark.range(1, 10_000).select(F.format_string("n%05d", F.col("id") - 1).alias("src"), F.format_string("n%05d", "id").alias("dst")).coalesce(4)
+    rounds, plain = [], traverse.checkpointed
+    monkeypatch.setattr(traverse, "checkpointed", lambda df: rounds.append(1) or plain(df))
+    assert traverse.reachable(spark.createDataFrame([("n00010",)], "node string"), chain).count() == 9_990
+    assert len(rounds) <= 22
+
+
 def test_depth_is_clamped_and_ends_are_told(small):
     e, r, _ = small
     assert max(x.length for x in traverse.trails(r, "a", 9).collect()) == 3
@@ -283,24 +301,58 @@ def test_leiden_finds_cliques_and_repeats(spark):
     assert community.modularity(edges, labels) > 0.6
 
 
-def test_large_components_keep_the_objective(spark):
-    """Components that no task holds are merged in Spark first: as good a modularity, and the resolution counts."""
-    edges = cliques(spark)
-    labels = community.communities(edges, 1.0, component_edges=3)
-    assert labels.count() == 24 and labels.select("node").distinct().count() == 24
-    assert community.modularity(edges, labels) > 0.6
-    assert all(r.community <= r.node for r in labels.collect())
-
+def properties(edges, found, resolution):
+    """Communities are connected, and no node gains by a move: to a neighbour's community or to one of its own."""
+    links = [tuple(r) for r in edges.collect()]
+    m, near, degree, members = len(links), {}, {}, {}
+    for a, b in links:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+        if a != b:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    for n, c in found.items():
+        members.setdefault(c, set()).add(n)
+    assert set(found) == set(degree) and all(min(own) == c for c, own in members.items())
+    weight = {c: sum(degree[n] for n in own) for c, own in members.items()}
+    for own in members.values():
+        seen, todo = set(), [min(own)]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += [x for x in near.get(n, []) if x in own]
+        assert seen == own
+    for n, c in found.items():
+        to = {c: 0}
+        for x in near.get(n, []):
+            to[found[x]] = to.get(found[x], 0) + 1
+        gain = lambda k: to.get(k, 0) - resolution * degree[n] * (weight[k] - degree[n] * (k == c)) / (2 * m)  # noqa: B023, E731
+        assert max([0, *map(gain, to)]) <= gain(c) + 1e-6
+
+
+def test_communities_are_as_good_as_in_one_process(spark):
+    from .leiden_twin import leiden
 
-def test_merged_and_whole_components_agree_in_quality(spark):
     rng = random.Random(5)
     rows = {(f"n{min(x, y):03}", f"n{max(x, y):03}") for g in range(12) for _ in range(60) for x, y in [(g * 15 + rng.randrange(15), g * 15 + rng.randrange(15))]}
-    rows |= {tuple(sorted((f"n{rng.randrange(180):03}", f"n{rng.randrange(180):03}"))) for _ in range(60)}
+    rows |= {tuple(sorted((f"n{rng.randrange(180):03}", f"n{rng.randrange(180):03}"))) for _ in range(60)} | {("z1", "z2"), ("z3", "z3")}
     edges = spark.createDataFrame(sorted(rows), "a string, b string").coalesce(2).cache()
-    whole, merged, finer = (community.communities(edges, resolution, component_edges=n).cache() for resolution, n in ((1.0, 10_000), (1.0, 400), (8.0, 400)))
-    assert merged.count() == whole.count() == finer.count()
-    assert community.modularity(edges, merged) >= 0.93 * community.modularity(edges, whole)
-    assert finer.select("community").distinct().count() > merged.select("community").distinct().count()
+    resolutions = {1: 0.1, 2: 1.0, 3: 8.0}
+    found = {}
+    for r in community.leiden.partitions(edges, resolutions).collect():
+        found.setdefault(r.level, {})[r.node] = r.community
+    for level, resolution in resolutions.items():
+        properties(edges, found[level], resolution)
+        label = lambda x: spark.createDataFrame(list(x.items()), "node string, community string")
+        whole = leiden(sorted(rows), resolution, len(rows))
+        assert community.modularity(edges, label(found[level]), resolution) >= community.modularity(edges, label(whole), resolution) - 0.01
+    assert len(set(found[1].values())) < len(set(found[2].values())) < len(set(found[3].values()))
+
+
+def test_communities_of_odd_graphs(spark):
+    star = spark.createDataFrame([("hub", f"leaf{k:02}") for k in range(30)] + [("loop", "loop")], "a string, b string")
+    properties(star, {r.node: r.community for r in community.communities(star, 1.0).collect()}, 1.0)
+    assert community.communities(star.limit(0), 1.0).collect() == []
 
 
 def test_community_ids_parents_and_budget(spark):
