@@ -77,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         try:
             store = TableStore(_session(), args.store)
-            out = GraphService(Tables(store.read("entity"), store.read("related"), store.read("mentions"), store.read("chunk"), store.read("summary"))).execute(query)
+            out = GraphService(Tables.of_store(store)).execute(query)
         except Exception as e:  # noqa: BLE001  told to the caller by the exit code
             print(f"{type(e).__name__}: {e}", file=sys.stderr)
             return 3

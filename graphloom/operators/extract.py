@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import entity_id, filter_aliases, fuzzy_entity_id, slug
 from ..schema import Settings
@@ -69,11 +69,6 @@ def mentions_of(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("chunk_index").cast("long").alias("chunk_index"), "book_id", F.col("id").alias("entity_id"), "source_page").dropDuplicates(["chunk_index", "book_id", "entity_id"])
 
 
-def batches(extracted: DataFrame, size: int) -> DataFrame:
-    """``batch`` number of each chunk of a book in order, for runs that flush by batches."""
-    return extracted.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("book_id").orderBy("chunk_index")) - 1) / size))
-
-
 def lexicon_extractor(lexicon: dict[str, str], relation: str = "requires") -> Callable[[str], dict]:
     """A deterministic extractor: words of a lexicon (word to type), related in order of appearance."""
 
@@ -87,6 +82,32 @@ def lexicon_extractor(lexicon: dict[str, str], relation: str = "requires") -> Ca
     return run
 
 
+def upsert_chunks(store, chunks: DataFrame) -> None:
+    """Upsert chunks, and bring the store's search index after them.
+
+    The index notes the version of the chunks that it tells of; where a run
+    stopped between the two, or there is none, it is built anew.
+    """
+    from .postings import SearchIndex
+    from .traverse import checkpointed
+
+    index, text = SearchIndex(store.spark, f"{store.path}/_chunk_terms"), F.col("text")
+    version = lambda: str(store.version("chunk")[0])
+    before = version()
+    fits = index.note() == before
+    chunks = checkpointed(chunks.withColumn("chunk_index", F.col("chunk_index").cast("long")))
+    keys = chunks.select(F.col("chunk_index").alias("c"), F.col("book_id").alias("b")).distinct()
+    near = lambda: store.read_near("chunk", chunks).join(keys, (F.col("chunk_index") == F.col("c")) & F.col("book_id").eqNullSafe(F.col("b")), "left_semi")
+    old = checkpointed(near()) if fits else None
+    store.upsert("chunk", chunks)
+    if version() == before:
+        return
+    if fits:
+        index.update(near(), old, text, version())
+    else:
+        index.build(store.read("chunk"), text, version())
+
+
 def index_chunks(store, chunks: DataFrame, extractor: Callable[[str], dict], dead_letters: str, orphan_letters: str, settings: Settings | None = None) -> dict[str, int]:
     """Chunks, then entities, relations (orphans aside; of equal ones the first by chunk) and mentions, all as upserts; returns counts."""
     from .traverse import checkpointed
@@ -97,7 +118,7 @@ def index_chunks(store, chunks: DataFrame, extractor: Callable[[str], dict], dea
     good, bad = split_failures(done)
     bad.write.mode("append").json(dead_letters)
     entities = checkpointed(entities_of(good, list(settings.canonical_stoplist), settings.canonical_threshold if settings.canonical_mode == "fuzzy" else None))
-    store.upsert("chunk", chunks)
+    upsert_chunks(store, chunks)
     order = F.struct(F.coalesce("book_id", F.lit("")), "chunk_index", "pos")
     store.upsert("entity", entities.withColumn("seq", order), order="seq")
     rest = F.struct("chunk_index", "description", "source_page")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalar as S
-from ..operators import audit, community, evaluate, extract, lookup, migrate, search, store, traverse
+from ..operators import audit, community, evaluate, extract, lookup, migrate, postings, search, store, traverse
 from ..sources import books, tables as T
 from ..streaming import query_log
 from . import graph, oracle as O
@@ -82,6 +83,15 @@ def q2_chunks(spark, d):
     return search.search_chunks(rows, "the thing that", 10, ("doc_id", "part")).select("doc_id", "part", "score")
 
 
+@query("q2_bm25_index", SQL["q2_bm25_chunks"])
+def q2_index(spark, d):
+    """The same from an index that is built first: the search reads its terms' folders alone."""
+    rows = T.corpus_chunks(spark, d).select("doc_id", F.col("part").cast("long").alias("part"), "text")
+    index = postings.SearchIndex(spark, f"{traverse.shared_folder(spark)}/terms-{uuid.uuid4().hex}", {"doc_id": "long", "part": "long"}, 16)
+    index.build(rows, F.col("text"))
+    return index.search("the thing that", 10)
+
+
 @query("q3_inverted_index", O.with_(O.ENTITY, "t AS (SELECT id, unnest(regexp_extract_all(lower(name || coalesce(' ' || alias, '')), '[\\p{L}\\p{N}]+')) AS term FROM entity)") + "SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM t GROUP BY term")
 def q3_index(spark, d):
     index = search.inverted_index(T.entities(spark, d), ["id"], search.entity_text())
@@ -280,6 +290,15 @@ def g2_components(s, d):
 
 query("g2_leiden")(lambda s, d: community.levels(T.entities(s, d), community.simple_graph(T.entities(s, d), T.relations(s, d))))
 
+
+
+@query("g2_leiden_properties", O.with_(O.ENTITY, O.RELATED) + ", n AS (SELECT count(DISTINCT id) AS nodes FROM (SELECT unnest([src, dst]) AS id FROM related WHERE src IN (SELECT id FROM entity) AND dst IN (SELECT id FROM entity))) SELECT CAST(level AS INTEGER) AS level, nodes, nodes AS named, CAST(0 AS BIGINT) AS apart, CAST(0 AS BIGINT) AS gaining FROM n, (VALUES (1), (2), (3)) v(level)")
+def g2_properties(s, d):
+    """By level: nodes, nodes in a community named by its least node, communities that are not connected, and nodes that would gain by a move."""
+    edges = community.simple_graph(T.entities(s, d), T.relations(s, d))
+    return community.properties(edges, community.leiden.partitions(edges, community.RESOLUTIONS), community.RESOLUTIONS)
+
+
 _CHILD = "child AS (SELECT 'c' || (p_partkey % 40) AS id, 'part-' || p_partkey AS entity FROM part), parent AS (SELECT 'p' || lpad(CAST(p_size % 7 AS VARCHAR), 2, '0') AS id, p_size % 7 AS ordinal, 'part-' || p_partkey AS entity FROM part)"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions.scalar import clamp
-from ..operators import evaluate, lookup, search, textquery, traverse
+from ..operators import evaluate, lookup, postings, search, textquery, traverse
 from ..streaming import query_log
 
 
@@ -61,6 +61,15 @@ class Tables:
     mentions: DataFrame
     chunks: DataFrame
     summaries: DataFrame | None = None
+    #: Index of the chunks' texts; without it, searches read the texts.
+    index: postings.SearchIndex | None = None
+
+    @staticmethod
+    def of_store(store) -> Tables:
+        """The tables of a store, and its search index if that tells of the chunks as they are."""
+        index = postings.SearchIndex(store.spark, f"{store.path}/_chunk_terms")
+        fits = index.note() == str(store.version("chunk")[0])
+        return Tables(store.read("entity"), store.read("related"), store.read("mentions"), store.read("chunk"), store.read("summary"), index if fits else None)
 
 
 @dataclass
@@ -127,7 +136,11 @@ class GraphService:
         return self._timed("find_path", "path", {"start": start, "end": end}, lambda: self._result(clamp(max_depth, 1, S.MAX_DEPTH), paths=traverse.shortest_path(self.tables.relations, start, end, max_depth)))
 
     def search_chunks(self, text: str, limit: int = S.SEARCH_LIMIT) -> Result:
-        return self._timed("search_chunks", "chunks", {"query": text}, lambda: self._result(chunks=search.search_chunks(self.tables.chunks, text, limit)))
+        return self._timed("search_chunks", "chunks", {"query": text}, lambda: self._result(chunks=self._chunks(text, limit)))
+
+    def _chunks(self, text: str, limit: int) -> DataFrame:
+        t = self.tables
+        return postings.search_chunks(t.index, t.chunks, text, limit) if t.index else search.search_chunks(t.chunks, text, limit)
 
     def list_entities(self, after: str | None = None, size: int = S.PAGE_SIZE, kind: str | None = None) -> Result:
         def run() -> Result:
@@ -143,10 +156,21 @@ class GraphService:
 
     def search_rag(self, text: str, limit: int = S.SEARCH_LIMIT, include_relations: bool = True) -> Result:
         def run() -> Result:
-            t = self.tables
-            found = search.search_rag(t.chunks, t.entities, t.mentions, t.relations, text, limit, include_relations)
-            out = self._result(**{k: found[k] for k in ("chunks", "entities", "relations") if found[k] is not None})
-            out.errors = found["errors"]
+            """Each part is run once and collected; what fails is told in ``errors``, not raised."""
+            t, out = self.tables, Result()
+
+            def part(name: str, make: Callable[[], DataFrame]) -> None:
+                try:
+                    out.rows[name] = make().collect()
+                except Exception as e:  # noqa: BLE001  each source answers for itself
+                    out.errors.append(f"{name}: {type(e).__name__}")
+
+            part("chunks", lambda: self._chunks(text, limit))
+            part("entities", lambda: lookup.find_entity(t.entities, t.mentions, text, limit=limit, search=search.search_entities))
+            if include_relations and out.rows.get("entities"):
+                first = min(out.rows["entities"], key=lambda r: (r.tier, -r.confidence, len(r.name), r.id))
+                part("relations", lambda: traverse.traverse(t.entities, t.relations, first.id, 1)[1])
+            out.total = sum(map(len, out.rows.values()))
             return out
 
         return self._timed("search_rag", "rag", {"query": text}, run)
@@ -175,10 +199,10 @@ class GraphService:
 
 
 def optimise_layout(tables: Tables, path: str) -> None:
-    """Layouts in place of indexes: entities sorted by id and by name, relations by source, and the inverted index by term."""
+    """Layouts in place of indexes: entities sorted by id and by name, relations by source, and the search indexes."""
     tables.entities.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/entity_by_id")
     tables.entities.repartitionByRange("name").sortWithinPartitions("name").write.mode("overwrite").parquet(f"{path}/entity_by_name")
     tables.relations.repartitionByRange("src", "type").sortWithinPartitions("src", "type").write.mode("overwrite").parquet(f"{path}/related_by_src")
-    index = search.inverted_index(tables.chunks, ["chunk_index", "book_id"], F.col("text"))
-    index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/chunk_terms")
-    search.inverted_index(tables.entities, ["id"], search.entity_text()).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/entity_terms")
+    chunks = postings.SearchIndex(tables.chunks.sparkSession, f"{path}/chunk_terms")
+    chunks.build(tables.chunks, F.col("text"))
+    postings.SearchIndex(tables.chunks.sparkSession, f"{path}/entity_terms", {"id": "string"}).build(tables.entities, search.entity_text())

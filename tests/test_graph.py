@@ -381,6 +381,23 @@ def test_summaries_pack_and_recurse():
     community.summarise_lines(["y" * 9000] * 3, call, tokens=1000)
 
 
+def test_summaries_in_spark_are_those_of_one_process(spark, monkeypatch):
+    draw, cases = random.Random(6), {}
+    cases |= {"short": ["short"], "long": ["x" * 2000] * 12, "stuck": ["y" * 9000] * 3, "mixed": ["z" * draw.randrange(3000) for _ in range(40)], "many": [f"line {k}" * 20 for k in range(600)]}
+    call = lambda text: f"{len(text)}:{text[:40]}"
+    rows = [(i, f"{k:05}", line) for i, own in cases.items() for k, line in enumerate(own)]
+    draw.shuffle(rows)
+    lines = spark.createDataFrame(rows, "id string, pos string, line string")
+    got = {r.id: r.summary for r in community.summarise(lines, call, 1000).collect()}
+    assert got == {i: community.summarise_lines(own, call, 1000) for i, own in cases.items()}
+    # blocks of lines go to tasks of their own, and no text is longer than a call may be
+    monkeypatch.setattr(community, "PACK_LINES", 100)
+    packs = community.packed(lines, 4000).collect()
+    assert all(len(p.text) <= 4000 or p.lines == 1 for p in packs) and sum(p.lines for p in packs) == len(rows)
+    many = sorted((p.n, p.text) for p in packs if p.id == "many")
+    assert [n for n, _ in many] == list(range(1, len(many) + 1)) and "\n".join(t for _, t in many).split("\n") == cases["many"]
+
+
 def test_bottom_up_summaries(spark):
     e = entities(spark, [("a", "A", "agent", []), ("b", "B", "agent", [])])
     members = spark.createDataFrame([(3, "L3", "a"), (3, "L3", "b"), (0, "L0", "a"), (0, "L0", "b")], "level int, id string, entity string")
