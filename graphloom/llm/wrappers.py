@@ -134,7 +134,7 @@ def parse(source: str) -> Node:
             if barrier and stack[k].tag in BARRIER and stack[k].tag != tag:
                 return
 
-    at, n, lower = 0, len(source), None
+    at, n = 0, len(source)
     while at < n:
         m = _TAG.search(source, at)
         end = m.start() if m else n
@@ -161,9 +161,9 @@ def parse(source: str) -> Node:
             continue
         attributes = m[3] or ""
         if tag in RAW:
-            lower = lower or source.lower()
-            stop = lower.find(f"</{tag}", at)
-            at = n if stop < 0 else stop
+            # found in ``source`` itself: in lower case other characters may be longer
+            stop = re.compile(f"</{tag}", re.ASCII | re.IGNORECASE).search(source, at)
+            at = stop.start() if stop else n
             continue
         if tag == "br":
             words.append(" ")

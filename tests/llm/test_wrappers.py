@@ -174,3 +174,10 @@ def test_wide_and_deep_pages_align_to_the_end():
     while page.children:
         page = page.children[-1]
     assert page.text == "x" and page.slot == 1
+
+
+def test_letters_that_are_longer_in_lower_case():
+    """Positions behind such letters stay right, so scripts end where they do."""
+    for n in (1, 4, 20):
+        page = f"<article><p>{'İ' * n} abc</p><script>x = '<p>no</p>'</SCRIPT><p>after</p><style>p {{}}</style><p>last</p></article>"
+        assert text_of(page) == "\n\n".join(["İ" * n + " abc", "after", "last"])
