@@ -36,18 +36,30 @@ SEED = 42
 SEGMENTS = 2
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Signed 64-bit SimHash of one text."""
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of a text's shingles in order."""
     own = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not own:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     shingles = map(b" ".join, zip(*(own[k:] for k in range(words)))) if len(own) > words else [b" ".join(own)]
     hash64 = xxhash.xxh64_intdigest
-    h = np.array([hash64(s, SEED) for s in shingles], dtype=">u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.fromiter((hash64(x, SEED) for x in shingles), dtype=np.uint64)
+
+
+def _majority(h: np.ndarray) -> int:
+    """Signed 64-bit SimHash: bits that more than half of the hashes have. Hashes are unpacked in slices, so long texts need no 64 bytes for each."""
+    big, ones = h.astype(">u8"), np.zeros(64, dtype=np.int64)
+    for k in range(0, len(big), 1 << 16):
+        ones += np.unpackbits(big[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """Signed 64-bit SimHash of one text."""
+    h = _hashes(text, words)
+    return _majority(h) if len(h) else 0
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (signed 64-bit) of every row."""
 
@@ -88,26 +100,27 @@ def simhash_groups(docs: DataFrame, words: int = 3, distance: int = 3, id_col: s
     return own.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Drawn holders of a key that its other texts meet in the first round, besides the least and the greatest.
+#: Drawn holders of a key that its other texts meet in the first round, besides the least and the greatest; they change no result.
 HOLDERS = 1
-#: Drawn holders of its largest group that others of a key meet in each further round, and rounds; they change no result.
-MORE_HOLDERS, MORE_ROUNDS = 8, 2
 #: Holders from which a shingle is common, and common shingles that are put last in every prefix; they change no result.
 COMMON, COMMON_KEPT = 16, 50_000
+#: Longs of a set's bitmap: each bit tells whether an odd number of its shingles fall there.
+BITMAP = 4
 
 
 def _profile(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
     """SimHash, number of distinct shingles, and their hashes (32 bits each), ascending."""
-    own = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not own:
+    h = _hashes(text, words)
+    if not len(h):
         return 0, 0, np.empty(0, dtype=np.int64)
-    hash64 = xxhash.xxh64_intdigest
-    shingles = map(b" ".join, zip(*(own[k:] for k in range(words)))) if len(own) > words else [b" ".join(own)]
-    h = np.array([hash64(s, SEED) for s in shingles], dtype=np.uint64)
-    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    fp = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
     least = np.unique(h >> np.uint64(32)).astype(np.int64)
-    return fp, len(least), least
+    return _majority(h), len(least), least
+
+
+def _bitmap(least: np.ndarray) -> np.ndarray:
+    """Two sets that differ in d shingles have bitmaps that differ in at most d bits."""
+    bit = ((least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64) % (64 * BITMAP)
+    return np.packbits(np.bincount(bit, minlength=64 * BITMAP).astype(np.uint8) & 1).view(np.int64)
 
 
 def _prefix(least: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
@@ -125,13 +138,19 @@ def _prefix(least: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity:
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, first) of each distinct row: h is a hash of its text, first says whether it is its group's first.
 
-    Candidates come from a prefix filter, which misses no pair: sets that
-    are similar enough share one of the first shingles of each.  First each
-    text meets a few holders of each of its keys, and who is left outside a
-    key's largest group some more of that.  Then, in keys whose holders are not
-    yet in one group, every two holders of different groups meet, so each pair
-    is verified or joined by others, and large groups of copies are not paired.  Each candidate is verified by the similarity of the whole
-    shingle sets, and verified links are joined to groups.
+    Candidates come from a prefix filter, which misses no pair: sets that are
+    similar enough share one of the first shingles of each.  Of what a pair
+    shares, the first such key in order comes before all the rest, so both
+    sets have enough shingles from there on; the smaller set has even twice
+    the share of its own, and only such rows of a key are looked up.  Sets
+    whose bitmaps differ in more bits than similar ones may are no candidates.
+    All three are conditions of the join, which leave few pairs to verify.
+
+    First each text meets a few holders of each of its keys.  Then, in keys
+    whose holders are not yet in one group, every two of different groups
+    meet, so each pair is verified or joined by others, and large groups of
+    copies are not paired.  Each candidate is verified by the similarity of the
+    whole shingle sets, and verified links are joined to groups.
 
     Null, empty and blank texts have no words and are left alone, each its own
     group; texts of fewer words have one shingle, the whole sequence; null ids
@@ -145,7 +164,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 fp, n, least = zip(*(_profile(t, words) for t in part.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array([x.astype(np.uint32).view(np.int32) for x in least], pa.list_(pa.int32()))], names=["doc_id", "h", "fp", "n", "least"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array([x.astype(np.uint32).view(np.int32) for x in least], pa.list_(pa.int32())), *map(pa.array, np.array([_bitmap(x) for x in least]).T.copy())], names=["doc_id", "h", "fp", "n", "least", *bits])
 
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
         values, ends = column.values.to_numpy().view(np.uint32), column.offsets.to_pylist()
@@ -159,13 +178,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 good.append(shared >= similarity * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    bits = [f"m{k}" for k in range(BITMAP)]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    whole = materialize(gathered(own, docs).mapInArrow(run, "doc_id long, h long, fp long, n int, least array<int>").withColumn("uid", F.xxhash64("doc_id", "h")).withColumn("same", F.xxhash64("fp", "n", "least")), "profiles")
-    profiles = materialize(whole.drop("least"), "profiles-only")
+    whole = materialize(gathered(own, docs).mapInArrow(run, f"doc_id long, h long, fp long, n int, least array<int>, {', '.join(f'{m} long' for m in bits)}").withColumn("uid", F.xxhash64("doc_id", "h")).withColumn("same", F.xxhash64("fp", "n", "least")), "profiles")
+    profiles = materialize(whole.drop("least", *bits), "profiles-only")
     # texts with one shingle set are one class; its first stands for it
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "uid")
     alike = profiles.where("n > 0").groupBy("same", "fp", "n").agg(F.min(order).alias("o"))
-    firsts = materialize(whole.where("n > 0").select("uid", "n", "least").join(alike.select(F.col("o.uid").alias("uid")), "uid").dropDuplicates(["uid"]), "first-profiles", source=docs)
+    firsts = materialize(whole.where("n > 0").select("uid", "n", "least", *bits).join(alike.select(F.col("o.uid").alias("uid")), "uid").dropDuplicates(["uid"]), "first-profiles", source=docs)
     drop_shared(docs.sparkSession, whole)
     release(docs.sparkSession)
     size, share = F.size("least"), F.lit(similarity)
@@ -174,75 +194,63 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     release(docs.sparkSession)
     often = sorted((r.key & 0xFFFFFFFF, -k) for k, r in enumerate(often))
     common, rank = np.array([x for x, _ in often], dtype=np.uint32), np.array([x for _, x in often], dtype=np.int64)
+    held = ["uid", "size", "pos", *bits]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uids, sizes, found = [], [], []
+            uids, sizes, places, found = [], [], [], []
             for uid, least in zip(b.column(0).to_pylist(), sets(b.column(1))):
                 found.append(_prefix(least, common, rank, similarity))
-                uids.append(np.full(len(found[-1]), uid, dtype=np.int64))
-                sizes.append(np.full(len(found[-1]), len(least), dtype=np.int32))
+                n = len(found[-1])
+                uids.append(np.full(n, uid, dtype=np.int64))
+                sizes.append(np.full(n, len(least), dtype=np.int32))
+                places.append(np.arange(n, dtype=np.int32))
             if uids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int32)), *(pa.array(np.concatenate(x)) for x in (uids, sizes))], names=["key", "uid", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int32)), *(pa.array(np.concatenate(x)) for x in (uids, sizes, places))], names=["key", *held[:3]])
 
-    keys = firsts.select("uid", "least").mapInArrow(prefixes, "key int, uid long, size int")
+    keys = firsts.select("uid", "least").mapInArrow(prefixes, "key int, uid long, size int, pos int")
     repeated = keys.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("key")
-    keys = materialize(keys.join(repeated, "key"), "shared-keys", source=docs)
+    shared_keys = materialize(keys.join(repeated, "key"), "shared-keys", source=docs)
+    release(docs.sparkSession)
+    # few keys are shared: bitmaps come to those only
+    keys = materialize(shared_keys.join(firsts.select("uid", *bits), "uid").select("key", *held), "held-keys", source=docs)
+    drop_shared(docs.sparkSession, shared_keys)
     release(docs.sparkSession)
+    total = F.col("size") + F.col("to_size")
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"to_{m}"))) for m in bits[1:]), F.bit_count(F.col(bits[0]).bitwiseXOR(F.col(f"to_{bits[0]}"))))
+    alike_enough = (
+        (F.least("size", "to_size") >= share * F.greatest("size", "to_size") - 1e-9)
+        & (F.least(F.col("size") - F.col("pos"), F.col("to_size") - F.col("to_pos")) >= similarity / (1 + similarity) * total - 1e-6)
+        & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-6)
+    )
+    pairs_of = lambda met: met.select(F.greatest("uid", "to_uid").alias("a"), F.least("uid", "to_uid").alias("b")).distinct()
+    side = lambda k: firsts.select(F.col("uid").alias(k), F.col("least").alias(f"least_{k}"))
 
-    def likely(met: DataFrame) -> DataFrame:
-        """Pairs that share enough keys: what two sets share besides is behind the prefix of one of them."""
-        met = met.where(F.least("size", "to_size") >= share * F.greatest("size", "to_size") - 1e-9)
-        pairs = met.groupBy(F.greatest("uid", "to").alias("a"), F.least("uid", "to").alias("b")).agg(F.count("*").alias("keys"), F.max(F.greatest("size", "to_size")).alias("larger"), F.max(F.col("size") + F.col("to_size")).alias("total"))
-        behind = F.ceil(share * F.col("larger") - 1e-9) - 1
-        return pairs.where(F.col("keys") + behind >= share / (1 + share) * F.col("total") - 1e-6).select("a", "b")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "least_a", "least_b").mapInArrow(verify, "a long, b long")
 
     # the same holders are drawn for all keys, so copies meet them in many
-    held = F.struct("uid", "size")
-    draws = [F.min_by(held, F.xxhash64("uid", F.lit(k))) for k in range(HOLDERS)]
-    holders = keys.groupBy("key").agg(F.array_distinct(F.array(F.min(held), F.max(held), *draws)).alias("to"))
+    one = F.struct(*held)
+    draws = [F.min_by(one, F.xxhash64("uid", F.lit(k))) for k in range(HOLDERS)]
+    holders = keys.groupBy("key").agg(F.array_distinct(F.array(F.min(one), F.max(one), *draws)).alias("to"))
     # two holders of a key meet once, not from each side
     both = F.array_contains(F.col("to.uid"), F.col("uid"))
-    met = keys.join(holders, "key").select("uid", "size", both.alias("both"), F.explode("to").alias("to")).where(~F.col("both") | (F.col("uid") > F.col("to.uid"))).select("uid", "size", F.col("to.uid").alias("to"), F.col("to.size").alias("to_size"))
-    side = lambda k: firsts.select(F.col("uid").alias(k), F.col("least").alias(f"least_{k}"), F.col("n").alias(f"n_{k}"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= share * F.greatest("n_a", "n_b") - 1e-9)
-        return both.select("a", "b", "least_a", "least_b").mapInArrow(verify, "a long, b long")
-
-    pairs = materialize(likely(met), "first-pairs")
+    met = keys.join(holders, "key").select(*held, both.alias("both"), F.explode("to").alias("to")).where(~F.col("both") | (F.col("uid") > F.col("to.uid"))).select(*held, *(F.col(f"to.{c}").alias(f"to_{c}") for c in held))
+    pairs = materialize(pairs_of(met.where(alike_enough)), "first-pairs")
     release(docs.sparkSession)
     links = materialize(verified(pairs), "first-links")
     release(docs.sparkSession)
     roots = components(links)
-
-    def opened(roots: DataFrame) -> DataFrame:
-        """(key, uid, size, root, largest) of the keys whose holders are in several groups."""
-        rooted = keys.join(roots, keys["uid"] == roots["node"], "left").select("key", "uid", "size", F.coalesce("root", "uid").alias("root"))
-        largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-        return materialize(rooted.join(largest.select("key", "largest"), "key"), "open-keys", source=docs)
-
-    # who is outside a key's largest group meets more of that group, so few are left for the pairs below
-    rooted = opened(roots)
-    for turn in range(MORE_ROUNDS):
-        drawn = [F.min_by(held, F.xxhash64("uid", F.lit(HOLDERS + turn * MORE_HOLDERS + k))) for k in range(MORE_HOLDERS)]
-        inside = rooted.where("root = largest").groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("to"))
-        met = rooted.where("root <> largest").join(inside, "key").select("uid", "size", F.explode("to").alias("to")).select("uid", "size", F.col("to.uid").alias("to"), F.col("to.size").alias("to_size"))
-        pairs = materialize(likely(met), "outside-pairs")
-        release(docs.sparkSession)
-        new = materialize(verified(pairs), "outside-links")
-        release(docs.sparkSession)
-        if new.isEmpty():
-            break
-        links = links.union(new)
-        roots = components(links)
-        drop_shared(docs.sparkSession, rooted)
-        rooted = opened(roots)
-    # then all pairs across groups; one of each two is outside the key's largest group
-    others = rooted.select("key", F.col("uid").alias("to"), F.col("size").alias("to_size"), F.col("root").alias("to_root"))
-    once = (F.col("to_root") == F.col("largest")) | (F.col("uid") < F.col("to"))
-    across = rooted.where("root <> largest").join(others, "key").where((F.col("root") != F.col("to_root")) & once)
-    pairs = materialize(likely(across), "more-pairs")
+    # then all pairs across groups: of each, one is outside the key's largest group, and the smaller has its key early
+    rooted = keys.join(roots, keys["uid"] == roots["node"], "left").select("key", *held, F.coalesce("root", "uid").alias("root"))
+    largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+    rooted = materialize(rooted.join(largest.select("key", "largest"), "key"), "open-keys", source=docs)
+    early = rooted.where(F.col("size") - F.col("pos") >= 2 * similarity / (1 + similarity) * F.col("size") - 1e-6)
+    names = [F.col(c).alias(f"to_{c}") for c in ["key", *held, "root"]]
+    smaller = (F.col("to_size") < F.col("size")) | ((F.col("to_size") == F.col("size")) & (F.col("to_uid") < F.col("uid")))
+    across = lambda left, right: pairs_of(left.join(right.select(*names), (F.col("key") == F.col("to_key")) & (F.col("root") != F.col("to_root")) & smaller & alike_enough))
+    outside = F.col("root") != F.col("largest")
+    pairs = materialize(across(rooted.where(outside), early).union(across(rooted.where(~outside), early.where(outside))).distinct(), "more-pairs")
     release(docs.sparkSession)
     more = materialize(verified(pairs), "more-links")
     release(docs.sparkSession)
@@ -259,11 +267,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` (with doc_id and text) that are first of their near-duplicate group, each once; rows without words stay, each once."""
-    stays = near_duplicates(docs, **options).where("first").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = hashed.join(stays, (F.col("__text_hash") == F.col("__h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__text_hash", "doc_id").orderBy("__text_hash"))
-    return gathered(kept.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns), docs)
+    stays = near_duplicates(docs.select("doc_id", "text"), **options).where("first").select(F.col("doc_id").alias("to_id"), F.col("h").alias("to_h"))
+    # other columns, whatever their names, are inside ``row``
+    hashed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("doc_id").cast("long").alias("id"))
+    kept = hashed.join(stays, (F.col("h") == F.col("to_h")) & F.col("id").eqNullSafe(F.col("to_id")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("h", "id").orderBy("h"))
+    return gathered(kept.withColumn("turn", turn).where("turn = 1").select("row.*"), docs)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
