@@ -46,7 +46,26 @@ def test_every_tool_answers_and_is_logged(spark, tables):
 
 def test_layout(spark, tables, tmp_path):
     V.optimise_layout(tables, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/entity_terms").where("term = 'mcp'").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/entity_terms/postings").where("term = 'mcp'").count() == 1
+
+
+def test_a_stores_searches_read_its_index(spark, tmp_path, monkeypatch):
+    from graphloom import schema
+    from graphloom.operators import extract, search
+
+    s = TableStore(spark, str(tmp_path / "s"), buckets=4)
+    chunks = lambda *rows: spark.createDataFrame([(k, "b", text, 1, 1) for k, text in rows], schema.CHUNK)
+    extract.upsert_chunks(s, chunks((1, "agent plan"), (2, "tool"), (3, "agent agent")))
+    extract.upsert_chunks(s, chunks((2, "agent tool"), (3, "nothing"), (4, "agent")))
+    monkeypatch.setattr(search, "bm25", lambda *_: (_ for _ in ()).throw(AssertionError("the texts are read")))
+    service = V.GraphService(V.Tables.of_store(s))
+    got = service.search_chunks("agent").rows["chunks"]
+    assert sorted(r.chunk_index for r in got) == [1, 2, 4] and got[0].chunk_index == 4 and got[0].text == "agent"
+    monkeypatch.undo()
+    s.upsert("chunk", chunks((5, "agent")))  # past the index: searches read the texts again, until it is built anew
+    assert V.Tables.of_store(s).index is None and len(V.GraphService(V.Tables.of_store(s)).search_chunks("agent").rows["chunks"]) == 4
+    extract.upsert_chunks(s, chunks((6, "agent")))
+    assert len(V.GraphService(V.Tables.of_store(s)).search_chunks("agent").rows["chunks"]) == 5
 
 
 def test_command_line(spark, tables, tmp_path, capsys):
@@ -86,7 +105,7 @@ def test_books_are_indexed_audited_and_summarised(spark, tmp_path, capsys, monke
     assert cli.main(["communities", "--store", where]) == 0
     first = {r.id: r.summary for r in store.read("summary").collect()}
     assert len(first) >= 2 and all(first.values())
-    monkeypatch.setenv("GRAPHLOOM_COMMUNITY_MAX_CALLS", "0")  # nothing is left to do
-    assert cli.main(["communities", "--store", where]) == 0
+    monkeypatch.setenv("GRAPHLOOM_COMMUNITY_MAX_CALLS", "0")  # all communities count, also those that have a summary
+    assert cli.main(["communities", "--store", where]) == 4
     monkeypatch.setenv("GRAPHLOOM_CHUNK_SIZE", "10")
     assert cli.main(["communities", "--store", where]) == 2
