@@ -294,10 +294,10 @@ def cliques(spark, n=4, size=6):
 
 def test_leiden_finds_cliques_and_repeats(spark):
     edges = cliques(spark)
-    got = {r.node: r.community for r in community.communities(edges, 1.0).collect()}
+    labels = community.communities(edges, 1.0)
+    got = {r.node: r.community for r in labels.collect()}
     assert len(got) == 24 and all(len({got[f"{g}{i}"] for i in range(6)}) == 1 for g in "pqrs") and len(set(got.values())) == 4
     assert got == {r.node: r.community for r in community.communities(edges, 1.0).collect()}
-    labels = community.communities(edges, 1.0)
     assert community.modularity(edges, labels) > 0.6
 
 
