@@ -122,7 +122,7 @@ def main(argv: list[str] | None = None) -> int:
     rows = [r.asDict() for r in audit.report(g, args.samples).collect()]
     state = audit.overall(rows)
     for r in rows:  # what leaves the engine holds no secrets
-        r["samples"] = [x["key"] for x in (redact({"key": k}) for k in (r["samples"] or "").split(";") if k) if "key" in x]
+        r["samples"] = [x["key"] for x in (redact({"key": k}) for k in r.pop("keys") if k) if "key" in x]
     runtime = {"engine": "spark", "version": spark.version, "nodes": {r.label: r.total for r in audit.node_inventory(g).collect()}, "edges": {r.rel_type: r.total for r in audit.edge_inventory(g).collect()}}
     print(canonical_json({"state": state, "findings": sorted(rows, key=lambda r: r["rule_id"]), "runtime": runtime}))
     return audit.EXIT_CODES[state]

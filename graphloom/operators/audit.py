@@ -1,8 +1,9 @@
 """Static integrity audit: 19 rules over node and edge tables.
 
-Every rule is a filter, anti-join or group that keeps keys.  They are written
-once, and its total and its ``limit`` least samples are read from there.  A
-report writes the edges once, as most rules read them.
+Every rule is a filter, anti-join or group that keeps keys.  The keys of all
+rules of a report are written once, in one job, and the totals and the
+``limit`` least samples of each are read from there.  A report writes the
+edges once too, as most rules read them.
 """
 
 from __future__ import annotations
@@ -164,26 +165,36 @@ def severity(rule: str) -> str:
     return {"provenance": "incomplete", "duplicates": "warning"}.get(category(rule), "blocking")
 
 
-def finding(g: Graph, rule: str, limit: int = 20) -> DataFrame:
-    """One row: rule_id, category, severity, total, the least ``limit`` sample keys, and whether there are more.
+def findings(g: Graph, rules: tuple[str, ...], limit: int = 20) -> DataFrame:
+    """A row per rule: rule_id, category, severity, total, the least ``limit`` sample keys, and whether there are more.
 
-    Samples are the top of a bounded order; the total is a plain count: no
-    array ever holds all findings.
+    The findings of all rules are stacked beside their rule's name and written
+    once.  Totals are counted where the rows are before they meet; samples are
+    the first rows of each rule by key, of which every task passes on no more
+    than ``limit``, so a rule that all rows break costs no more there than
+    another.  ``keys`` has the samples as they are, ``samples`` as one text.
     """
-    rows = checkpointed(RULES[rule](g))
-    spark = rows.sparkSession
-    base = spark.range(1).select(F.lit(rule).alias("rule_id"), F.lit(category(rule)).alias("category"), F.lit(severity(rule)).alias("severity"))
-    total = rows.agg(F.count("*").alias("total"))
-    samples = rows.orderBy("key").limit(limit).agg(F.array_join(F.array_sort(F.collect_list("key")), ";").alias("samples"))
-    one = lambda df: F.broadcast(df.withColumn("rule_id", F.lit(rule)))  # noqa: E731  one row each
-    return base.join(one(total), "rule_id").join(one(samples), "rule_id").withColumn("truncated", F.col("total") > limit)
+    stacked = None
+    for rule in rules:
+        one = RULES[rule](g).select(F.lit(rule).alias("rule_id"), "key")
+        stacked = one if stacked is None else stacked.unionByName(one)
+    rows = checkpointed(stacked)
+    known = rows.sparkSession.createDataFrame([(r, category(r), severity(r)) for r in rules], "rule_id string, category string, severity string")
+    totals = rows.groupBy("rule_id").agg(F.count("*").alias("n"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("rule_id").orderBy("key"))).where(F.col("place") <= limit)
+    keys = first.groupBy("rule_id").agg(F.array_sort(F.collect_list("key")).alias("found"))
+    one = lambda df: F.broadcast(df)  # noqa: E731  a row per rule
+    total, held = F.coalesce("n", F.lit(0)), F.coalesce("found", F.array().cast("array<string>"))
+    return known.join(one(totals), "rule_id", "left").join(one(keys), "rule_id", "left").select("rule_id", "category", "severity", total.alias("total"), F.array_join(held, ";").alias("samples"), (total > limit).alias("truncated"), held.alias("keys"))
+
+
+def finding(g: Graph, rule: str, limit: int = 20) -> DataFrame:
+    """The row of one rule."""
+    return findings(g, (rule,), limit)
 
 
 def report(g: Graph, limit: int = 20, rules: tuple[str, ...] | None = None) -> DataFrame:
-    g, out = replace(g, edges=checkpointed(g.edges)), None
-    for rule in sorted(rules or RULES):
-        out = finding(g, rule, limit) if out is None else out.unionByName(finding(g, rule, limit))
-    return out
+    return findings(replace(g, edges=checkpointed(g.edges)), tuple(sorted(rules or RULES)), limit)
 
 
 def inventory(rows: DataFrame, column: str, names: tuple[str, ...]) -> DataFrame:
