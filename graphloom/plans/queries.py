@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalar as S
-from ..operators import audit, community, evaluate, extract, lookup, migrate, postings, search, store, traverse
+from ..operators import audit, community, evaluate, extract, lookup, migrate, near_names, postings, search, store, traverse
 from ..sources import books, tables as T
 from ..streaming import query_log
 from . import graph, oracle as O
@@ -252,6 +252,7 @@ query("f3_filter_aliases", "SELECT p_partkey, array_to_string(list_filter([p_bra
     lambda s, d: T.read(s, d, "part").select("p_partkey", F.array_join(S.filter_aliases(F.array(F.col("p_brand"), F.upper("p_brand"), F.col("p_type"), F.col("p_brand")), ["Brand#13"]), ",").alias("aliases"))
 )
 query("f4_similarity")(lambda s, d: T.read(s, d, "part").select("p_partkey", F.round(S.similarity_ratio(F.col("p_name"), F.col("p_type")), 6).alias("ratio")))
+query("f4_near_names")(lambda s, d: near_names.near_names(T.read(s, d, "clients"), T.read(s, d, "clients")).withColumn("ratio", F.round("ratio", 6)))
 query("f5_community_id", "SELECT n_regionkey AS level, substr(sha1(n_regionkey || ':' || string_agg('nation-' || n_nationkey, ',' ORDER BY 'nation-' || n_nationkey)), 1, 16) AS id FROM nation GROUP BY n_regionkey")(
     lambda s, d: T.read(s, d, "nation").groupBy(F.col("n_regionkey").alias("level")).agg(F.collect_list(F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string"))).alias("ids")).select("level", S.community_id(F.col("level"), F.col("ids")).alias("id"))
 )
