@@ -33,6 +33,7 @@ from __future__ import annotations
 import html as _html
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,9 @@ DROP_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header head".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)[^<>]*(?:>|$)", re.S)
+#: A tag without angle brackets inside; what it does not match takes ``_Tags.broken``.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_PAST_NAME, _MARK, _BRACKET, _LETTER = re.compile(r"[\s/>]"), re.compile("[>\"']"), re.compile("[<>]"), re.compile("/?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -76,10 +79,10 @@ _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 class Node:
     """An element, or a text block (tag ``#``: text, link characters)."""
 
-    __slots__ = ("tag", "children", "text", "links", "drop", "root", "shape", "slot", "count")
+    __slots__ = ("tag", "children", "text", "links", "drop", "root", "inside", "shape", "slot", "count")
 
     def __init__(self, tag: str, drop: bool = False, root: bool = False):
-        self.tag, self.drop, self.root, self.children, self.text, self.links, self.shape, self.slot, self.count = tag, drop, root, [], "", 0, "", -1, 1
+        self.tag, self.drop, self.root, self.inside, self.children, self.text, self.links, self.shape, self.slot, self.count = tag, drop, root, root, [], "", 0, "", -1, 1
 
 
 def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
@@ -104,10 +107,82 @@ def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
     return drop, root and not drop, header
 
 
+class _Tags:
+    """Tags of a source one after another, in time that grows with its length however broken it is.
+
+    What was looked for in vain, and where the next mark of a kind is, is kept:
+    later places in the source ask for it again.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.quotes = {c: source.rfind(c) for c in "\"'"}
+        self.vain: set[int] = set()  # quotes from which no tag ends
+        self.ahead: dict[re.Pattern, tuple[int, int]] = {}
+
+    def find(self, pattern: re.Pattern, at: int) -> int:
+        """Place of the next match of a pattern of one character, or the end."""
+        low, high = self.ahead.get(pattern, (0, -1))
+        if not low <= at <= high:
+            m = pattern.search(self.source, at)
+            high = m.start() if m else len(self.source)
+            self.ahead[pattern] = (at, high)
+        return high
+
+    def end_of_tag(self, at: int) -> int:
+        """Place of the ``>`` that lies in no quotes, or -1; ``at`` lies in none."""
+        seen, at = [], self.find(_MARK, at)
+        while at < len(self.source) and self.source[at] != ">":
+            quote = self.source[at]
+            if at in self.vain or at >= self.quotes[quote]:
+                seen.append(at)
+                break
+            seen.append(at)
+            m = _MARK.search(self.source, self.source.index(quote, at + 1) + 1)
+            at = m.start() if m else len(self.source)
+        else:
+            if at < len(self.source):
+                return at
+        self.vain.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str]:
+        """(start, end, whether it is an end tag, name, attributes) of the next tag or comment (no name); at the end of the source there is none."""
+        source, n = self.source, len(self.source)
+        while (at := source.find("<", at)) >= 0:
+            if m := _TAG.match(source, at):
+                return at, m.end(), bool(m[1]), m[2], m[3]
+            if got := self.broken(at):
+                return at, *got
+            at += 1
+        return n, n, False, "", ""
+
+    def broken(self, at: int) -> tuple[int, bool, str, str] | None:
+        source, n = self.source, len(self.source)
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            return (n if end < 0 else end + 3), False, "", ""
+        if source.startswith(("<!", "<?"), at):
+            return (source.index(">", at) + 1, False, "", "") if at < self.last else None
+        if not _LETTER.match(source, at + 1):
+            return None
+        ending = source[at + 1] == "/"
+        name = at + 1 + ending
+        past = self.find(_PAST_NAME, name)
+        if at < self.last and (end := self.end_of_tag(past)) >= 0:
+            return end + 1, ending, source[name:past], source[past:end]
+        # never closed, or by a bracket inside quotes: up to the next one
+        end = self.find(_BRACKET, past)
+        if end < n and source[end] == "<":
+            return None
+        return min(end + 1, n), ending, source[name:past], ""
+
+
 def parse(source: str) -> Node:
     """Tree of block elements and text blocks."""
     top = Node("#root")
     stack: list[Node] = [top]
+    opened: Counter[str] = Counter()  # tags in the stack
     words: list[str] = []
     links = 0
     in_link = 0
@@ -123,43 +198,44 @@ def parse(source: str) -> Node:
                 stack[-1].children.append(block)
             words, links = [], 0
 
+    def cut(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     def close(tag: str, barrier: bool = True) -> None:
         nonlocal in_link
+        if not opened[tag]:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag == tag:
                 flush()
-                del stack[k:]
+                cut(k)
                 in_link = 0
                 return
             if barrier and stack[k].tag in BARRIER and stack[k].tag != tag:
                 return
 
-    at, n = 0, len(source)
+    at, n, tags = 0, len(source), _Tags(source)
     while at < n:
-        m = _TAG.search(source, at)
-        end = m.start() if m else n
+        end, after, ending, tag, attributes = tags.next(at)
         if end > at and not ignored:
             words.append(source[at:end])
             if in_link:
                 links += end - at
-        if not m:
-            break
-        at = m.end()
-        tag = m[2] or m[5]
+        at = after
         if not tag:
             continue
-        tag, ending = tag.lower(), bool(m[1] or m[4])
+        tag = tag.lower()
         if ending:
             if tag == ignored:
                 ignored = ""
             elif tag == "a":
                 in_link = 0
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
+            elif tag == "p" and not opened["p"]:
                 flush()
             elif tag not in INLINE:
                 close(tag, tag not in BARRIER)
             continue
-        attributes = m[3] or ""
         if tag in RAW:
             # found in ``source`` itself: in lower case other characters may be longer
             stop = re.compile(f"</{tag}", re.ASCII | re.IGNORECASE).search(source, at)
@@ -171,36 +247,38 @@ def parse(source: str) -> Node:
         if tag in INLINE:
             if tag == "a":
                 in_link = 1
-            if not ignored and tag not in VOID and attributes and _marks(tag, attributes, any(x.root for x in stack))[0]:
+            if not ignored and tag not in VOID and attributes and _marks(tag, attributes, stack[-1].inside)[0]:
                 ignored = tag
             continue
         ignored = ""
         flush()
         if tag in VOID:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in BARRIER:
                     break
-        for own in ENDS_OWN.get(tag, ()):
+        for own in (x for x in ENDS_OWN.get(tag, ()) if opened[x]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == own:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in BARRIER and stack[k].tag not in ("td", "th"):
                     break
-        inside = any(x.root for x in stack)
+        inside = stack[-1].inside
         drop, root, header = _marks(tag, attributes, inside)
         if header and not drop:
             # an article's own header has its title; a page's has none of its text
             drop = not inside
         node = Node(tag, drop, root)
+        node.inside |= inside
         if not attributes.rstrip().endswith("/") or tag in BARRIER:
             stack[-1].children.append(node)
             stack.append(node)
+            opened[tag] += 1
     flush()
     _shape(top)
     return top

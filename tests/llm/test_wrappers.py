@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,28 @@ def test_letters_that_are_longer_in_lower_case():
     for n in (1, 4, 20):
         page = f"<article><p>{'İ' * n} abc</p><script>x = '<p>no</p>'</SCRIPT><p>after</p><style>p {{}}</style><p>last</p></article>"
         assert text_of(page) == "\n\n".join(["İ" * n + " abc", "after", "last"])
+
+
+#: Tags as one pattern tells them (a name goes on to white space, / or >, as in browsers), in time that grows with the square of broken markup or worse.
+SLOW_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)[^<>]*(?:>|$)", re.S)
+
+
+def test_tags_of_broken_markup():
+    rng = random.Random(1)
+    bits = ["<p>", "</p>", "<div class=ad>", "<", ">", '"', "'", "<!-- x -->", "<!--", "<!x>", "<a href='q>r'>", '<b x="1<2">', "text ", "<br/>", "<td", "</td", "< p>", "/", "=", "<?pi", "x ", "\t"]
+    for _ in range(5000):
+        source, at, got = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))), 0, []
+        tags = w._Tags(source)
+        while at < len(source):
+            start, at, ending, name, attributes = tags.next(at)
+            if start < len(source):
+                got.append((start, at, ending, name, attributes))
+        assert got == [(m.start(), m.end(), bool(m[1] or m[4]), m[2] or m[5] or "", m[3] or "") for m in SLOW_TAG.finditer(source)]
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a \"'", "<p", "<p ", "<!", "<!--", "<x>", "<blockquote>", "<a b='\"<i c=\"'", "</y>", "<p><b>"])
+def test_time_grows_with_the_length_of_broken_markup(part):
+    for end in ("", ">", "'>"):
+        began = time.process_time()
+        w.parse(part * 20_000 + end)
+        assert time.process_time() - began < 5
