@@ -69,6 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "query":
         from .operators.store import TableStore
         from .plans.service import GraphService, Tables
+        from .streaming import query_log
 
         try:
             query = build_query(args.type, json.loads(args.params))
@@ -77,7 +78,8 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         try:
             store = TableStore(_session(), args.store)
-            out = GraphService(Tables.of_store(store)).execute(query)
+            log = query_log.to_folder(store.spark, f"{args.store}/_query_log", settings.log_retention_days)
+            out = GraphService(Tables.of_store(store), log, settings=settings).execute(query)
         except Exception as e:  # noqa: BLE001  told to the caller by the exit code
             print(f"{type(e).__name__}: {e}", file=sys.stderr)
             return 3

@@ -87,8 +87,8 @@ class Result:
 class GraphService:
     """All reads of a graph. ``log``: gets one log entry per call, errors too. Answers are bounded by limits, so they are collected."""
 
-    def __init__(self, tables: Tables, log: Callable[[dict], None] | None = None, clock: Callable[[], float] = time.perf_counter):
-        self.tables, self.log, self.clock = tables, log or (lambda _: None), clock
+    def __init__(self, tables: Tables, log: Callable[[dict], None] | None = None, clock: Callable[[], float] = time.perf_counter, settings: S.Settings | None = None):
+        self.tables, self.log, self.clock, self.settings = tables, log or (lambda _: None), clock, settings or S.Settings()
 
     def _timed(self, tool: str, kind: str, params: dict, run: Callable[[], Result]) -> Result:
         began = self.clock()
@@ -175,8 +175,9 @@ class GraphService:
 
         return self._timed("search_rag", "rag", {"query": text}, run)
 
-    def query_text(self, spark: SparkSession, question: str, generate: Callable[[str, str, str | None], str], timeout: float = 10.0) -> Result:
-        names = []
+    def query_text(self, spark: SparkSession, question: str, generate: Callable[[str, str, str | None], str], timeout: float | None = None) -> Result:
+        """Rows of a generated query, in ``timeout`` seconds or those of the settings."""
+        timeout, names = self.settings.text_query_timeout if timeout is None else timeout, []
         for name in ("entities", "relations", "mentions", "chunks"):
             getattr(self.tables, name).createOrReplaceTempView(f"graph_{name}")
             names.append(f"graph_{name}")

@@ -113,6 +113,7 @@ class Settings:
             "text_query_timeout must be in [1, 60]": 1 <= self.text_query_timeout <= 60,
             "summary_chunk_tokens must be in [1000, 60000]": 1000 <= self.summary_chunk_tokens <= 60_000,
             "batch_size must be positive": self.batch_size > 0,
+            "log_retention_days must be positive": self.log_retention_days > 0,
         }
         for message, good in checks.items():
             if not good:

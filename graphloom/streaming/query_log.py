@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..schema import QUERY_LOG
+from ..schema import QUERY_LOG, Settings
 
 
 def entry(tool: str, query_type: str, params: dict, result_count: int, duration_ms: float, error: str | None = None, now: datetime | None = None) -> dict:
@@ -37,6 +39,26 @@ def apply_retention(spark: SparkSession, path: str, today: date, retention: int
     return gone
 
 
+def to_folder(spark: SparkSession, path: str, retention: int = Settings.log_retention_days) -> Callable[[dict], None]:
+    """A service's log: each entry is a file of its own in its day's folder, so writers never meet; days beyond the retention go with the first entry of a day."""
+    swept: set[date] = set()
+
+    def log(row: dict) -> None:
+        jvm = spark.sparkContext._jvm  # noqa: SLF001
+        day = row["ts"].astimezone(timezone.utc).date()
+        file = jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}/{uuid.uuid4().hex}.json")
+        out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, False)  # noqa: SLF001
+        try:
+            out.write(bytearray(json.dumps(row | {"ts": row["ts"].astimezone(timezone.utc).isoformat(timespec="milliseconds")}).encode() + b"\n"))
+        finally:
+            out.close()
+        if day not in swept:
+            swept.add(day)
+            apply_retention(spark, path, day, retention)
+
+    return log
+
+
 def from_events(events: DataFrame) -> DataFrame:
     """The test events as log rows."""
     return events.select(F.col("ts"), F.col("event_type").alias("tool_name"), F.col("value").alias("duration_ms"), "user_id")
@@ -66,8 +88,8 @@ def stream_daily(spark: SparkSession, path: str, out: str, checkpoint: str, sche
     return daily(rows).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_upserts(spark: SparkSession, path: str, store, table: str, schema: str, checkpoint: str, files: int = 5):
-    """Micro-batches of rows into a versioned table; a batch that is replayed changes nothing."""
+def stream_upserts(spark: SparkSession, path: str, store, table: str, schema: str, checkpoint: str, files: int = Settings.batch_size):
+    """Micro-batches of ``files`` files of rows into a versioned table; a batch that is replayed changes nothing."""
 
     def flush(batch: DataFrame, _: int) -> None:
         store.upsert(table, batch)
