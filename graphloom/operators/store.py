@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..schema import KEYS, SCHEMAS, WAITING
+from .alike import pair_counts
 from .traverse import checkpointed
 
 
@@ -69,6 +70,16 @@ def split_orphans(relations: DataFrame, ids: DataFrame) -> tuple[DataFrame, Data
     return marked.where("missing_endpoint IS NULL").drop("missing_endpoint"), marked.where("missing_endpoint IS NOT NULL")
 
 
+def orphan_counts(relations: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
+    """(missing_endpoint, n) of relations and of those between all ``members`` of a group (see ``alike``), which are not made; none: both ends are there."""
+    valid, orphans = split_orphans(relations, ids)
+    plain = orphans.select("missing_endpoint").union(valid.select(F.lit("none"))).groupBy("missing_endpoint").agg(F.count("*").alias("n"))
+    known = ids.select(F.col("id").alias("node"), F.lit(True).alias("known")).distinct()
+    counts = pair_counts(members.join(known, "node", "left").withColumn("label", F.coalesce("known", F.lit(False))))
+    name = F.when(F.col("label") & F.col("other"), "none").when(F.col("other"), "source").when(F.col("label"), "target").otherwise("both")
+    return plain.unionByName(counts.select(name.alias("missing_endpoint"), "n")).groupBy("missing_endpoint").agg(F.sum("n").alias("n"))
+
+
 def missing_ids(relations: DataFrame, ids: DataFrame) -> DataFrame:
     """Distinct ends of relations that are no entity."""
     return relations.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(ids.select("id"), "id", "left_anti")
