@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import alike, community, store, traverse
+from graphloom.operators import alike, audit, community, store, traverse
 from graphloom.sources import tables as T
 
 
@@ -60,8 +60,8 @@ def test_no_query_makes_relations_that_it_only_counts(spark, monkeypatch):
 
     whole = lambda members, near=None: alike.pairs(members, near) if near is not None else alike.pairs(members).where(F.raise_error(F.lit("all pairs")).isNull())
     monkeypatch.setattr(T, "alike_pairs", whole)
-    names = ""
-    for name in names.split():
+    names = "g2_components"
+    for name in names.split() + [f"audit_{r.lower()}" for r in audit.RULES] + ["audit_summary"]:
         Q.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
 
 
