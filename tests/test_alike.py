@@ -60,7 +60,7 @@ def test_no_query_makes_relations_that_it_only_counts(spark, monkeypatch):
 
     whole = lambda members, near=None: alike.pairs(members, near) if near is not None else alike.pairs(members).where(F.raise_error(F.lit("all pairs")).isNull())
     monkeypatch.setattr(T, "alike_pairs", whole)
-    names = "g2_components j10_shortest_path q5_search_rag j11_isolated t9_isolated_sample a6_bounded_sample a7_collect_distinct a1_count_edges j1_pattern j3_orphan_split j8_traverse_d2 j8_traverse_entities w3_rel_upsert g1_simple_graph j14_induced_edges"
+    names = "a1_count_edges a4_inventory_edges a6_bounded_sample a7_collect_distinct j1_pattern j3_orphan_split j10_shortest_path j11_isolated j14_induced_edges j8_traverse_d2 j8_traverse_entities q5_search_rag t9_isolated_sample g1_simple_graph g2_components w3_rel_upsert x2_missing_ids p8_null_safe"
     for name in names.split() + [f"audit_{r.lower()}" for r in audit.RULES] + ["audit_summary"]:
         Q.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
 
