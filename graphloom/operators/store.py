@@ -88,9 +88,10 @@ def missing_ids(relations: DataFrame, ids: DataFrame) -> DataFrame:
 def merged_mentions(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Mentions by key; a page that is there stays, else the new one is taken."""
     key = KEYS["mentions"]
-    both = existing.select(*key, "source_page", F.lit(0).alias("o")).unionByName(new.select(*key, "source_page", F.lit(1).alias("o")))
-    page = F.min(F.when(F.col("source_page").isNotNull(), F.struct("o", "source_page")))["source_page"]
-    return both.groupBy(*key).agg(page.alias("source_page"))
+    none = F.lit(None).cast("int")
+    both = existing.select(*key, F.col("source_page").alias("old"), none.alias("new")).unionByName(new.select(*key, none.alias("old"), F.col("source_page").alias("new")))
+    # least numbers are combined by hash before the shuffle; least structs would have all rows sorted by key, twice
+    return both.groupBy(*key).agg(F.coalesce(F.min("old"), F.min("new")).alias("source_page"))
 
 
 class TableStore:

@@ -117,3 +117,14 @@ def test_all_missing_ends_are_told(spark, tmp_path):
         s.upsert_relations(rows, "fail_loud")
     assert [r.id for r in e.value.ids.collect()] == [*(f"x{k:03}" for k in range(150)), "y"]
     assert s.read("related").isEmpty() and s.read("orphan").isEmpty()
+
+
+def test_merged_mentions_are_hashed_and_not_sorted(spark):
+    from graphloom.operators import store as St
+
+    schema = "chunk_index long, book_id string, entity_id string, source_page int"
+    old = spark.createDataFrame([(1, "b", "x", 5), (1, "b", "x", 4), (1, None, "x", None), (2, "b", "y", None)], schema)
+    new = spark.createDataFrame([(1, "b", "x", 1), (1, None, "x", 7), (1, None, "x", 6), (3, "b", "z", None)], schema)
+    merged = St.merged_mentions(old, new)
+    assert sorted(map(tuple, merged.collect()), key=repr) == sorted([(1, "b", "x", 4), (1, None, "x", 6), (2, "b", "y", None), (3, "b", "z", None)], key=repr)
+    assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
