@@ -25,7 +25,7 @@ FRONT_MATTER = (
 #: Titles of numbered chapters: a number, a number with a dot and a title, a number and a word.
 CHAPTERS = (r"^\s*(\d+)\s*$", r"^\s*(\d+)\.\s+(.+)$", r"^\s*(\d+)\s+(\w.*)$")
 _BARE = re.compile(CHAPTERS[0])
-SCHEMA = "book_id string, chunk_index int, chapter_number int, chapter_title string, section string, level int, section_ancestors string, path array<string>, page_start int, page_end int, text string"
+SCHEMA = "book_id string, chunk_index int, chapter_number int, chapter_title string, section string, level int, section_ancestors string, page_start int, page_end int, path array<string>, text string"
 
 
 @dataclass
@@ -96,11 +96,11 @@ def cut_book(book_id: str, page_count: int, toc: list[tuple[int, str, int]], pag
         titles = [x.title for x in sections]
         own = (titles[-1], sections[-1].level) if sections else (None, None)
         for part in slices(text, size, overlap) if len(text) > size else [text] if text or keep_empty else []:
-            rows.append((book_id, len(rows), *chapter, *own, ">".join(titles[:-1]) or None, titles, first, last, part))
+            rows.append((book_id, len(rows), *chapter, *own, ">".join(titles[:-1]) or None, first, last, titles, part))
 
     if not toc:
         for part in slices("\n".join(pages), size, overlap):
-            rows.append((book_id, len(rows), None, None, None, None, None, [], 1, page_count, part))
+            rows.append((book_id, len(rows), None, None, None, None, None, 1, page_count, [], part))
         return rows
     toc = merge_split_titles(toc)
     entries = tree(toc, page_count)
