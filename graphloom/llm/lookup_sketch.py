@@ -135,6 +135,11 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return both.select("key", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), "n")
 
 
+def edited_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars and edited_sha256 alone."""
+    return with_edited(docs).select(F.nullif("key", F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256")
+
+
 def likeness(difference: Column, a: Column, b: Column) -> Column:
     return (F.size(a) + F.size(b) - difference) / (F.size(a) + F.size(b) + difference)
 

@@ -76,3 +76,13 @@ def test_peeling_recovers_the_digests(spark, n):
     df = spark.createDataFrame([(shared + only_a, shared + only_b)], "a array<long>, b array<long>")
     got = df.select(F.expr(L.peel(L.subtract(L.sketch("a"), L.sketch("b")))).alias("got")).first().got
     assert (sorted(got["first"]), sorted(got["second"])) == (sorted(only_a), sorted(only_b))
+
+
+def test_edited_texts_make_no_sketches(spark, monkeypatch):
+    from graphloom.llm import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "n_chars", "edited_sha256").collect()))
+    wanted = key(L.op6_lookup_sketch(spark, d))
+    monkeypatch.setattr(L, "sketch", None)
+    assert key(Q.edited_texts(spark, d)) == wanted
