@@ -454,6 +454,18 @@ def read_media(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, READ_SCHEMA)
 
 
+def read_payloads(media: DataFrame) -> DataFrame:
+    """The payload that is read back from stored media, without the pixels and their features: doc_id, n_bytes, payload_bytes, payload_sha256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read = [decode_payload(data.as_py())[:2] for data in b.column(1)]
+            numbers = [pa.array(c, pa.int64()) for c in ([n for _, n in read], [len(p) for p, _ in read])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array([hashlib.sha256(p).hexdigest() for p, _ in read], pa.string())], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256"])
+
+    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return read_media(materialize(encode_media(docs), "media"))

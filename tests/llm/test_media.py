@@ -192,3 +192,13 @@ def test_very_long_payloads_have_a_grid():
     for n in (1, 255, 256, 257, 8191 * 256, 8191 * 256 + 1, 10**7, 8191 * 8191):
         rows, wide = media.grid(n)
         assert rows * wide >= n and rows * wide - n < rows and rows * 8 <= 65535 and wide * 8 <= 65535
+
+
+def test_payloads_are_read_back_without_pixels(spark, monkeypatch):
+    from graphloom.llm import media as M, queries as Q
+
+    d = "/root/testdata/sf0.001"
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256").collect()))
+    wanted = key(M.op5_media(spark, d))
+    monkeypatch.setattr(M, "feature", None)
+    assert key(Q.media_payloads(spark, d)) == wanted
