@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators.near_names import adopt_canonical, near_names, plan
+from graphloom.operators.near_names import adopt_canonical, candidates, lowered, near_names, plan, segments
 from graphloom.plans.queries import QUERIES
 
 
@@ -46,6 +46,30 @@ def test_grams_get_shorter_where_names_may_lose_more():
         assert short * t / (2 - t) >= least  # a partner of a name that has no characters has grams
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.92, 1.0])
+def test_a_segment_is_whole_in_every_near_name(threshold):
+    rng = random.Random(4)
+    longest, cuts, pieces = segments(threshold)
+    met = 0
+    for _ in range(4000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, longest + 1)))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("abc")) if rng.random() < 0.5 else b and b.pop(rng.randrange(len(b)))
+        a, b = sorted((a, "".join(b)), key=len)
+        if a and len(b) <= longest and max(ratio(a, b), ratio(b, a)) >= threshold:
+            met += 1
+            of = lambda w, rows: {(k, w[at - 1 : at - 1 + size]) for x, y, k, at, size in rows if (x, y) == (len(a), len(b))}
+            assert of(a, cuts) & of(b, pieces), (a, b)
+    assert met > 500
+
+
+def test_few_pairs_are_compared(spark):
+    """Names of few syllables share most of their grams: of ten thousand, not one in a thousand pairs is compared."""
+    names = spark.read.parquet("/root/testdata/sf0.1/clients.parquet").where("name <> ''").select(lowered("name").alias("low")).distinct().withColumn("n", F.length("low"))
+    assert candidates(names, names, 0.92).count() < 5 * names.count()
+
+
 @pytest.mark.parametrize("bad", [0, -1, 1.1])
 def test_thresholds(spark, bad):
     df = spark.createDataFrame([("a",)], "name string")
