@@ -12,20 +12,21 @@ skeleton contains that of a sign are searched (one automaton finds all); this
 leaves out no sign, and a token of letters alone without repeats has one path,
 its own spelling.
 
-Learned from a bounded sample of labelled rows (``SAMPLE_TEXTS`` of each
-class, chosen by hash): the character model; words and word beginnings that
-toxic texts have far more often than clean ones (the lower confidence bound of
-their log odds); and a logistic regression on the total of a text's different
-signs and on its length, whose weight for signs is never negative: a worse
-word never lowers a score.  Counting runs in Spark; the driver gets at most
-``SIGNS`` signs and ``TRIGRAMS`` trigrams.
+Learned from all labelled rows: the character model; words and word beginnings
+that toxic texts have far more often than clean ones (the lower confidence
+bound of their log odds); and a logistic regression on the total of a text's
+different signs and on its length, whose weight for signs is never negative: a
+worse word never lowers a score.  Counting and the sums of each step of the
+regression run in Spark; the driver gets at most ``SIGNS`` signs and
+``TRIGRAMS`` trigrams.
 
 Nulls and edge cases: a null, empty or blank text has no signs and gets the
 score of such texts; rows without a label are not learned from; with no label
 of either class every score is 0; null ids count as not held out; rows or
-labels that share an id count as one in the sample (the greater label, the
-text of least hash); repeated rows are scored alike; an empty table gives an
-empty result; other columns are ignored.
+labels that share an id count as one where they are learned from (the greater
+label, the text of least hash), and so do rows with one text (the greater
+label); repeated rows are scored alike; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,18 +42,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_mod, documents
+from .common import crc_mod, documents, drop_shared, materialize
 
-#: Bounds of what is learned from and of the model.
-SAMPLE_TEXTS = 3000
+#: Bounds of the model.
 SIGNS = 20_000
 TRIGRAMS = 50_000
 #: Lower confidence bound (in natural log odds) from which a sign counts, and toxic texts that it needs.
 LEAST_ODDS, LEAST_TEXTS = 1.0, 3
 #: Beginnings of words that are signs too.
 STEMS = (4, 5)
-#: Readings that one worker keeps.
-CACHE = 1_000_000
+#: Readings that one worker keeps, and words and trigrams that it counts before it hands them on.
+CACHE, COUNTED = 1_000_000, 300_000
 #: What a character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = " .-_*~'/\\,:;^`"
@@ -218,53 +218,71 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Ridge-penalized logistic regression by Newton's method."""
-    w, penalty = np.zeros(x.shape[1]), np.array([1e-3, *[0.05] * (x.shape[1] - 1)])
+def _logistic(known: DataFrame) -> list[float]:
+    """Ridge-penalized logistic regression of toxic on x (three numbers, the first 1) by Newton's method; each step is one row of sums."""
+    w, penalty = np.zeros(3), np.array([1e-3, 0.05, 0.05])
+    x = [F.get("x", F.lit(k)) for k in range(3)]
+    upper = [(j, k) for j in range(3) for k in range(j, 3)]
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        g = x.T @ (p - y) + penalty * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        z = sum((x[k] * float(w[k]) for k in range(1, 3)), x[0] * float(w[0]))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
+        rows = known.select("x", (p - F.col("toxic")).alias("off"), (p * (1 - p)).alias("v"))
+        sums = list(rows.agg(*(F.sum(F.col("off") * x[k]).alias(f"g{k}") for k in range(3)), *(F.sum(F.col("v") * x[j] * x[k]).alias(f"h{j}{k}") for j, k in upper)).first())
+        g, h = np.array(sums[:3]) + penalty * w, np.diag(penalty)
+        for (j, k), value in zip(upper, sums[3:]):
+            h[j, k] += value
+            if j != k:
+                h[k, j] += value
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-6:
             break
-    return [float(v) for v in w]
+    return [round(float(v), 9) for v in w]  # sums differ in their last bits from run to run
 
 
-def sample(docs: DataFrame, labels: DataFrame, allowed) -> DataFrame:
-    """(doc_id, text, toxic) of at most about SAMPLE_TEXTS rows a class, among label rows that ``allowed`` admits."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, allowed) -> DataFrame:
+    """(text, toxic) of all label rows that ``allowed`` admits, each different text once; written."""
     own = labels.where(allowed & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    space = 1 << 24
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(space))
-    chosen = own.where(F.lit(False))
-    for y, n in sorted(counts.items()):
-        thin = own.where((F.col("toxic") == y) & (draw < math.ceil(2.0 * SAMPLE_TEXTS * space / n)))
-        chosen = chosen.union(thin.orderBy(draw, "doc_id").limit(SAMPLE_TEXTS))
-    # at most SAMPLE_TEXTS rows a class
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(own, "doc_id")
+    every = materialize(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "toxic", F.xxhash64("text").alias("h"), "text"), "labelled", source=docs)
+    # one text of an id, then one row of a text: texts themselves are moved once
+    least = every.groupBy("doc_id").agg(F.min(F.struct("h", "row", "toxic")).alias("o"))
+    chosen = least.groupBy("o.h").agg(F.min("o.row").alias("row"), F.max("o.toxic").alias("toxic"))
+    rows = materialize(every.select("row", "text").join(chosen, "row").select("text", "toxic"), "learned-from", source=docs)
+    drop_shared(docs.sparkSession, every)
+    return rows
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model | None:
-    rows = sample(docs, labels, F.lit(True) if allowed is None else allowed).where("text IS NOT NULL").dropDuplicates(["text"])
+    """Learn from all labelled rows that ``allowed`` (a condition on doc_id) admits."""
+    allowed = F.lit(True) if allowed is None else allowed
+    rows = labelled_texts(docs.where(allowed), labels, allowed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, good, grams = Counter(), Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            keys = [*bad, *(k for k in good if k not in bad), *("c" + g for g in grams)]
+            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad.get(k, 0) if k[0] != "c" else grams[k[1:]] for k in keys], pa.int64()), pa.array([good.get(k, 0) for k in keys], pa.int64())], names=["sign", "bad", "good"])
+            for c in (bad, good, grams):
+                c.clear()
+            return out
+
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = _WORD.findall(text.lower())
                 grams.update(trigrams(words))
                 (bad if toxic else good).update({s for w in set(words) for s in signs_of(w)})
-        keys = [*bad, *(k for k in good if k not in bad), *("c" + g for g in grams)]
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([bad.get(k, 0) if k[0] != "c" else grams[k[1:]] for k in keys], pa.int64()), pa.array([good.get(k, 0) for k in keys], pa.int64())], names=["sign", "bad", "good"])
+                if len(bad) + len(good) + len(grams) > COUNTED:
+                    yield counted()
+        yield counted()
 
     classes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not classes.get(0) or not classes.get(1):
+        drop_shared(docs.sparkSession, rows)
         return None
     counts = rows.select("text", "toxic").mapInArrow(count, "sign string, bad long, good long").groupBy("sign").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = materialize(counts, "sign-counts")
     a, b = F.col("bad") + 0.5, F.col("good") + 0.5
     odds = F.log(a / (classes[1] + 1)) - F.log(b / (classes[0] + 1)) - 2 * F.sqrt(1 / a + 1 / b)
     signs = counts.where("sign NOT LIKE 'c%'").where(F.col("bad") >= LEAST_TEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "sign").limit(SIGNS).collect()
@@ -275,9 +293,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model | None:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([model.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    # the sample is bounded, and so are its few numbers a row
-    known = rows.select("text", F.col("toxic").cast("long")).mapInArrow(featurize, "toxic long, x array<double>").collect()
-    model.weights = _logistic(np.array([r.x for r in known]), np.array([r.toxic for r in known], dtype=float))
+    known = materialize(rows.select("text", F.col("toxic").cast("long")).mapInArrow(featurize, "toxic long, x array<double>"), "features")
+    model.weights = _logistic(known)
+    for table in (rows, counts, known):
+        drop_shared(docs.sparkSession, table)
     if model.weights[1] < 0:  # signs speak for toxicity only
         model.weights = [math.log(classes[1] / classes[0]), 0.0, 0.0]
     return model

@@ -116,6 +116,16 @@ def test_skeletons_leave_out_no_sign(spark, model):
     assert [model.score(t) for t in texts] == [every.score(t) for t in texts]
 
 
+def test_all_labelled_rows_are_learned_from(spark):
+    """The rarest word of many rows is a sign, and each different text counts once, whatever the number of rows."""
+    rows = [(k, f"plain words of row number x{'abcdefghij'[k % 10]} {'qwertyuiop'[k // 10 % 10]}{'asdfghjkl'[k // 100 % 9]}{'zxcvbnm'[k // 900]}" + (" nasty" if k % 5 == 0 else "") + (" seldomword" if k in (2500, 4000, 5005, 5500, 6000, 15) else "")) for k in range(6300)]
+    docs = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    seen = toxicity.labelled_texts(docs, labels, toxicity.F.lit(True))
+    assert sorted(r.text for r in seen.collect()) == sorted({t for _, t in rows})
+    assert {"wnasty", "wseldomword"} <= set(toxicity.fit(docs, labels).signs)
+
+
 def test_edges_and_no_labels(spark, tmp_path):
     docs = edge_documents(spark)
     folder = save_documents(docs, tmp_path)
