@@ -3,17 +3,19 @@
 One pass over the texts finds the base spans (assignments, access keys,
 hexadecimal strings) and all candidates: stretches of credential characters of
 ``LEAST_CANDIDATE`` or more that touch no base span.  The values of the base
-spans are credentials with a label.  For each kind a bounded sample of them
-(``SAMPLE`` distinct values, drawn by hash) becomes a prefix tree, and states
-whose frequencies of next characters and ends differ no more than chance
-allows (the Hoeffding bound, recursively) are merged into a probabilistic
-automaton.  Half of a bounded sample of the candidates, and of those without
-letters (numbers are rare, and like hexadecimal digits), stands for everything
-else and gives an automaton of its own.  Every candidate is scored by its
-likelihood under the kinds' automata against that one; what a kind's automaton
-does not accept has none.  What exceeds the threshold, which the other half of
-the sample may raise, is added as a span of its likeliest kind.  Credentials
-among the sample are few: less than one in a hundred do not move the threshold.
+spans are credentials with a label.  Every different value of a kind is counted
+in Spark over the states of a first automaton: the prefixes that one in
+``FREQUENT`` values has, and behind them a grid of places and classes of the
+last character, so what reaches the driver is bounded by states, not by rows.
+States whose frequencies of next characters and ends differ no more than chance
+allows (the Hoeffding bound, ``TAILS`` characters deep) are merged into a
+probabilistic automaton.  Half of all candidates (by hash) stands for
+everything else: those with letters give an automaton, and so do those without,
+as numbers are rare and like hexadecimal digits.  Every candidate is scored by
+its likelihood under the kinds' automata against these; what a kind's automaton
+does not accept has none.  What exceeds the threshold, which the other half may
+raise, is added as a span of its likeliest kind.  Credentials among the
+candidates are few: less than one in a hundred do not move the threshold.
 
 Nulls and edge cases: a null or empty text has no spans (the digest of
 nothing, an empty list); texts are searched whole; rows are taken one by one,
@@ -26,13 +28,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, materialize
+from .common import documents, drop_shared, materialize
 
 #: The kinds in order, and their base patterns with the characters that they need.
 KINDS = ("assign", "access", "hex")
@@ -45,16 +48,22 @@ LEAST_VALUE = 6
 #: Characters that a candidate has at least; stretches of credential characters, ``=`` only at their end.
 LEAST_CANDIDATE = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{12,}={0,2}")
-#: Distinct values of a kind, and of plain candidates, that are learned from.
-SAMPLE = 2000
+#: A prefix of up to ``DEPTH`` characters is a state of its own if one in so many values has it; others share states by place, up to ``PLACES``.
+FREQUENT, DEPTH, PLACES = 200, 8, 64
+#: Characters ahead to which two states are compared.
+TAILS = 3
 #: Chance of keeping two states apart that are alike; strings that a state needs to be compared with others.
 ALPHA, LEAST_SEEN = 0.01, 4
 #: Different characters of candidates, and the weight of an even choice among them and the end in each state.
 CHARACTERS, SMOOTH = 67, 0.5
 #: Bits a character by which a candidate is likelier as a credential than as anything else, at least.
 LEAST_SCORE, MARGIN = 1.5, 0.1
-#: A candidate has so many times the length of its kind's shortest sampled value, or more.
+#: A candidate has so many times the length of its kind's shortest value, or more.
 SHORTEST = 0.6
+#: Groups that are counted besides the kinds: candidates with letters, and those without.
+PLAIN, NUMBERS = len(KINDS), len(KINDS) + 1
+#: Steps of a bit in which scores are counted for the threshold.
+STEPS = 1000
 
 FOUND = "doc_id long, base array<struct<kind: int, start: long, end: long>>, values array<struct<kind: int, value: string>>, candidates array<struct<start: long, value: string>>"
 
@@ -86,14 +95,36 @@ def spans_and_candidates(text: str) -> tuple[list[tuple[int, int, int, str]], li
     return base, found
 
 
+def after(state: str, c: str, known) -> str:
+    """The state behind a character: the longer prefix if it is ``known``, else the place and the class of the character."""
+    if state[0] == "p":
+        longer = state + c
+        if longer in known:
+            return longer
+        place = len(longer) - 1
+    else:
+        place = int(state[2:]) + 1
+    kind = "0" if c.isdigit() else "a" if "a" <= c <= "f" else "g" if "g" <= c <= "z" else "A" if "A" <= c <= "Z" else "-"
+    return f"g{kind}{min(place, PLACES)}"
+
+
+def states(value: str, known, steps: dict[tuple[str, str], str]) -> Iterator[tuple[str, str]]:
+    """(state, next character) along a value, and its last state with no character; ``steps`` keeps what was found before."""
+    s = "p"
+    for c in value:
+        key = s, c
+        yield key
+        s = steps.get(key)
+        if s is None:
+            s = steps[key] = after(*key, known)
+    yield s, ""
+
+
 class Automaton:
-    """Probabilistic automaton of a sample of strings: a prefix tree whose compatible states are merged."""
+    """Probabilistic automaton of strings: a prefix tree, or states that were counted elsewhere, of which compatible ones are merged."""
 
     def __init__(self, values: list[str], alpha: float = ALPHA):
-        self.step: list[dict[str, int]] = [{}]
-        self.passed: list[dict[str, int]] = [{}]
-        self.ended, self.seen = [0], [0]
-        self.width = math.sqrt(0.5 * math.log(2 / alpha))
+        self._empty(1, alpha)
         for value in values:
             s = 0
             self.seen[0] += 1
@@ -111,31 +142,68 @@ class Automaton:
             self.ended[s] += 1
         self._merge_states()
 
+    @classmethod
+    def counted(cls, counts: list[tuple[str, str, int]], alpha: float = ALPHA) -> Automaton:
+        """From how often strings went on from a state (see ``states``) with a character, or ended there (none)."""
+        self = cls.__new__(cls)
+        names = sorted({"p", *(s for s, _, _ in counts)}, key=lambda s: (s != "p", s))
+        number = {s: k for k, s in enumerate(names)}
+        self._empty(len(names), alpha)
+        for s, c, n in sorted(counts):
+            k = number[s]
+            self.seen[k] += n
+            if c:
+                self.passed[k][c] = n
+                self.step[k][c] = number[after(s, c, number)]
+            else:
+                self.ended[k] += n
+        self._merge_states()
+        return self
+
+    def _empty(self, n: int, alpha: float) -> None:
+        self.step: list[dict[str, int]] = [{} for _ in range(n)]
+        self.passed: list[dict[str, int]] = [{} for _ in range(n)]
+        self.ended, self.seen = [0] * n, [0] * n
+        self.width = math.sqrt(0.5 * math.log(2 / alpha))
+
+    def _now(self, s: int) -> int:
+        """The state that ``s`` was merged into."""
+        while self.into[s] != s:
+            self.into[s] = s = self.into[self.into[s]]
+        return s
+
     def _differs(self, a: int, na: int, b: int, nb: int) -> bool:
         return abs(a / na - b / nb) > self.width * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
 
     def _compatible(self, a: int, b: int) -> bool:
-        """Whether the frequencies of ``b``'s subtree could be those from ``a`` on."""
-        todo = [(a, b)]
+        """Whether what follows ``b`` could have the frequencies of what follows ``a``."""
+        todo, met = [(a, b, TAILS)], set()
         while todo:
-            a, b = todo.pop()
+            a, b, left = todo.pop()
+            a, b = self._now(a), self._now(b)
             na, nb = self.seen[a], self.seen[b]
-            if min(na, nb) < LEAST_SEEN or a == b:
+            if min(na, nb) < LEAST_SEEN or a == b or (a, b, left) in met:
                 continue
+            met.add((a, b, left))
             if self._differs(self.ended[a], na, self.ended[b], nb):
                 return False
             for c in self.passed[a].keys() | self.passed[b].keys():
                 if self._differs(self.passed[a].get(c, 0), na, self.passed[b].get(c, 0), nb):
                     return False
-                if c in self.step[a] and c in self.step[b]:
-                    todo.append((self.step[a][c], self.step[b][c]))
+                if left and c in self.step[a] and c in self.step[b]:
+                    todo.append((self.step[a][c], self.step[b][c], left - 1))
         return True
 
-    def _fold(self, a: int, b: int) -> None:
-        """Add the tree below ``b`` to the states from ``a`` on."""
+    def _fold(self, a: int, b: int, kept: set[int]) -> None:
+        """Merge ``b`` into ``a``, and what follows both by the same characters."""
         todo = [(a, b)]
         while todo:
-            a, b = todo.pop()
+            a, b = map(self._now, todo.pop())
+            if a == b:
+                continue
+            if b in kept and a not in kept:
+                a, b = b, a
+            self.into[b] = a
             self.seen[a] += self.seen[b]
             self.ended[a] += self.ended[b]
             for c, n in self.passed[b].items():
@@ -147,28 +215,30 @@ class Automaton:
                     self.step[a][c] = t
 
     def _merge_states(self) -> None:
+        self.into = list(range(len(self.step)))
         kept, order = [0], {0}
         while True:
             # the most frequent state that a kept one leads to is merged or kept next
-            border = [(-self.seen[t], s, c, t) for s in kept for c, t in self.step[s].items() if t not in order]
+            border = [(-self.seen[t], s, c, t) for s in kept for c, t in ((c, self._now(t)) for c, t in self.step[s].items()) if t not in order]
             if not border:
                 break
             _, s, c, t = min(border)
             for k in (s, *reversed(kept)):  # a loop first, then the latest
                 if self._compatible(k, t):
-                    self.step[s][c] = k
-                    self._fold(k, t)
+                    self._fold(k, t, order)
+                    kept = [x for x in kept if self._now(x) == x]
+                    order = set(kept)
                     break
             else:
                 kept.append(t)
                 order.add(t)
         number = {s: k for k, s in enumerate(kept)}
-        self.step = [{c: number[t] for c, t in self.step[s].items()} for s in kept]
+        self.step = [{c: number[self._now(t)] for c, t in self.step[s].items()} for s in kept]
         even = SMOOTH / CHARACTERS
         self.bits = [{c: math.log2((n + even) / (self.seen[s] + SMOOTH)) for c, n in self.passed[s].items()} for s in kept]
         self.unseen = [math.log2(even / (self.seen[s] + SMOOTH)) for s in kept]
         self.end_bits = [math.log2((self.ended[s] + even) / (self.seen[s] + SMOOTH)) for s in kept]
-        del self.passed, self.ended, self.seen
+        del self.passed, self.ended, self.seen, self.into
 
     def score(self, value: str, strict: bool = False) -> float:
         """log2 of the probability of ``value``; after a character that was never seen, each choice is even, or there is none (strict)."""
@@ -187,32 +257,27 @@ class Formats:
     """Automata of the kinds (number, automaton, least length) and of everything else, and the score from which a candidate is a secret."""
 
     kinds: list[tuple[int, Automaton, int]]
-    plain: Automaton
-    threshold: float
+    plain: list[Automaton]
+    threshold: float = LEAST_SCORE
 
     def best(self, value: str) -> tuple[float, int]:
         """Bits a character by which ``value`` is likelier as its likeliest kind than as anything else, and that kind."""
         scores = [(a.score(value, True), -k) for k, a, least in self.kinds if len(value) >= least]
-        if not scores:
+        if not scores or max(scores)[0] == -math.inf:
             return -math.inf, 0
         score, k = max(scores)
-        return (score - self.plain.score(value)) / len(value), -k
+        return (score - max(a.score(value) for a in self.plain)) / len(value), -k
 
     def kind_of(self, value: str) -> int | None:
         score, kind = self.best(value)
         return kind if score >= self.threshold else None
 
 
-def learn(values: list[tuple[int, str]], plain: list[str]) -> Formats:
-    """Automata from labelled values (kind, value) and plain candidates; every other plain one sets the threshold."""
-    kinds = []
-    for k in range(len(KINDS)):
-        if own := [v for kind, v in values if kind == k]:
-            kinds.append((k, Automaton(own), math.ceil(SHORTEST * min(map(len, own)))))
-    formats = Formats(kinds, Automaton(plain[::2]), LEAST_SCORE)
-    if rest := sorted(formats.best(v)[0] for v in plain[1::2]):
-        formats.threshold = max(LEAST_SCORE, rest[-1 - len(rest) // 100] + MARGIN)
-    return formats
+def learn(counts: list[tuple[int, str, str, int]], least: list[tuple[int, int]]) -> Formats:
+    """Automata from counts (group, state, character, number) and the least length of each kind's values (kind, length)."""
+    own = {g: [(s, c, n) for k, s, c, n in counts if k == g] for g in {k for k, *_ in counts}}
+    kinds = [(k, Automaton.counted(own[k]), math.ceil(SHORTEST * n)) for k, n in sorted(least) if k in own]
+    return Formats(kinds, [Automaton.counted(own[g]) for g in (PLAIN, NUMBERS) if g in own] or [Automaton([])])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,17 +307,50 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def fit(found: DataFrame) -> Formats:
-    """Learn from the scanned rows; at most ``SAMPLE`` values of a kind and three times that of plain candidates reach the driver."""
-    values = found.select(F.explode("values").alias("v")).select("v.kind", "v.value")
-    plain = found.select(F.explode("candidates").alias("v")).select("v.value")
-    draw = F.xxhash64("value", F.lit("formats"))
+    """Learn from all scanned rows, of equal values one; counts of states and scores reach the driver, whose number does not grow with the rows."""
+    values = found.select(F.explode("values").alias("v")).select(F.col("v.kind").alias("g"), "v.value")
+    plain = found.select(F.explode("candidates").alias("v")).select(F.when(F.col("v.value").rlike("[A-Za-z]"), PLAIN).otherwise(NUMBERS).alias("g"), "v.value")
+    every = materialize(values.union(plain).distinct(), "secret-values", source=found)
+    held = (F.col("g") >= PLAIN) & (F.pmod(F.xxhash64("value", F.lit("formats")), F.lit(2)) == 1)
+    own = every.where(~held)
+    groups = {r.g: r for r in own.groupBy("g").agg(F.count("*").alias("n"), F.min(F.length("value")).alias("least")).collect()}
+    if not any(k in groups for k in range(len(KINDS))):
+        drop_shared(found.sparkSession, every)
+        return learn([], [])
+    least_n = F.coalesce(*(F.when(F.col("g") == g, max(LEAST_SEEN, -(-r.n // FREQUENT))) for g, r in groups.items()))
+    prefixes = own.select("g", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("value"), F.lit(DEPTH))), lambda k: F.substring("value", F.lit(1), k))).alias("prefix"))
+    known: dict[int, set[str]] = {g: {"p"} for g in groups}
+    for r in prefixes.groupBy("g", "prefix").count().where(F.col("count") >= least_n).collect():
+        known[r.g].add("p" + r.prefix)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        steps: dict[int, dict] = {g: {} for g in known}
+        for b in batches:
+            for g, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n.update((g, s, c) for s, c in states(value, known[g], steps[g]))
+        columns = zip(*((*key, x) for key, x in n.items())) if n else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.int64()))], names=["g", "state", "c", "n"])
 
-    def sample(rows: DataFrame, most: int) -> list[str]:
-        """Of equal values one; few rows leave each task."""
-        return [r.value for r in rows.groupBy(draw.alias("draw"), "value").agg(F.count("*").alias("n")).orderBy("draw", "value").limit(most).collect()]
+    counts = own.mapInArrow(count, "g int, state string, c string, n long").groupBy("g", "state", "c").agg(F.sum("n")).collect()
+    formats = learn([tuple(r) for r in counts], [(g, r.least) for g, r in groups.items() if g < PLAIN])
+    low = LEAST_SCORE - MARGIN  # scores below do not move the threshold
 
-    known = [(k, v) for k in range(len(KINDS)) for v in sample(values.where(F.col("kind") == k), SAMPLE)]
-    return learn(known, sample(plain, 2 * SAMPLE) + sample(plain.where(~F.col("value").rlike("[A-Za-z]")), SAMPLE))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            n.update(math.ceil(STEPS * max(low, formats.best(v)[0])) for v in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names=["score", "n"])
+
+    scores = sorted(((r.score, r.n) for r in every.where(held).select("value").mapInArrow(score, "score long, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()), reverse=True)
+    above = sum(n for _, n in scores) // 100
+    for at, n in scores:
+        if above < n:
+            formats.threshold = max(LEAST_SCORE, at / STEPS + MARGIN)
+            break
+        above -= n
+    drop_shared(found.sparkSession, every)
+    return formats
 
 
 def find_secrets(docs: DataFrame, formats: Formats | None = None, **columns) -> DataFrame:

@@ -120,3 +120,23 @@ def test_empty_table_and_nothing_to_learn_from(spark):
     assert learn([], []).kind_of("0123456789abcdef") is None
     row = find_secrets(spark.createDataFrame([(1, "0123456789abcdef0", "x")], "doc_id long, text string, spans string")).first()
     assert (row.base, row.spans) == ([], [])
+
+
+def test_formats_come_from_all_values(spark):
+    """Counts of states are those of every different value, and a format that few of many values have is learned."""
+    draw = random.Random(6)
+    values = [credential(draw, 2) for _ in range(7000)] + ["zz" + "".join(draw.choice("ZYXW") for _ in range(20)) for _ in range(25)]
+    rows = [(k, f"{words(draw, 6)} token={v} {words(draw, 6)}") for k, v in enumerate(values)]
+    docs = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, text string")
+    found = secrets.materialize(secrets.scan(docs), "found")
+    counted = []
+    plain_learn = secrets.learn
+    try:
+        secrets.learn = lambda counts, least: counted.extend(counts) or plain_learn(counts, least)
+        formats = secrets.fit(found)
+    finally:
+        secrets.learn = plain_learn
+    assert sum(n for g, s, _, n in counted if g == 0 and s == "p") == len(set(values))
+    assert sum(n for g, _, c, n in counted if g == 0 and not c) == len(set(values))
+    assert dict((k, a) for k, a, _ in formats.kinds)[0].score("zz" + "ZYXW" * 5, True) > -math.inf
+    assert formats.kind_of("zz" + "WXYZ" * 5) == 0
