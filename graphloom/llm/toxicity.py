@@ -40,7 +40,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import crc_mod, documents, drop_shared, materialize
 
@@ -65,6 +65,8 @@ _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$€])(?:[ .\-_*~]{1,2}(?:[^\W_]|[@$
 _SKELETON = str.maketrans({c: None for c in SEPARATORS} | {"l": "i", "|": "i"} | {c: "i" if s == "il" else s for c, s in LEET.items()})
 _REPEATS = re.compile(r"(.)\1+", re.S)
 _LETTERS = re.compile(r"[^\W\d_]+\Z")
+#: Marks that stand for no letter: at a token's ends they change no reading.
+_EDGES = ".,;:?)'\"-_~`^"
 
 
 def skeleton(token: str) -> str:
@@ -173,6 +175,8 @@ class Model:
 
     def __post_init__(self):
         self.kept: dict[str, tuple] = {}
+        self.plain: set[str] = set()  # tokens that were found to have no sign
+        self.heads = {s[1 : 1 + STEMS[0]] for s in self.signs}  # of every word that has a sign
         self.automaton = None
 
     def may_hide(self, token: str) -> bool:
@@ -181,24 +185,43 @@ class Model:
             return False
         if not self.gate or "*" in token:
             return True
+        core = token.strip(_EDGES)
+        if core.isalpha() and not _REPEATS.search(core):  # every path is its own spelling
+            return False
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for s in self.signs:
-                self.automaton.add_word(skeleton(s[1:]), 1)
+                self.automaton.add_word(skeleton(s[1:]), len(skeleton(s[1:])))
             self.automaton.make_automaton()
-        return bool(len(self.automaton)) and next(self.automaton.iter(skeleton(token)), None) is not None
+        if not len(self.automaton):
+            return False
+        if core.isalpha():  # one word, which starts where the letters do
+            return any(end + 1 == n for end, n in self.automaton.iter(skeleton(core)))
+        return next(self.automaton.iter(skeleton(token)), None) is not None
 
     def _odds(self, words: list[str]) -> tuple:
-        found = ((w, max((self.signs.get(s, 0.0) for s in signs_of(w)), default=0.0)) for w in words)
-        return tuple((w, odds) for w, odds in found if odds)
+        get, out = self.signs.get, []
+        for w in words:
+            if w[: STEMS[0]] not in self.heads:
+                continue
+            odds = [x for s in signs_of(w) if (x := get(s))]
+            if odds:
+                out.append((w, max(odds)))
+        return tuple(out)
 
     def signs_in(self, token: str) -> tuple:
         """Words with a sign that a token has or reads as."""
         got = self.kept.get(token)
         if got is None:
-            if len(self.kept) > CACHE:
+            if len(self.kept) + len(self.plain) > CACHE:
                 self.kept.clear()
-            got = self.kept[token] = self._odds(_WORD.findall(token) + (decode(token, self.characters) if self.may_hide(token) else []))
+                self.plain.clear()
+            words = [token] if token.isalpha() else _WORD.findall(token)
+            got = self._odds(words + (decode(token, self.characters) if self.may_hide(token) else []))
+            if got:
+                self.kept[token] = got
+            else:
+                self.plain.add(token)
         return got
 
     def features(self, text: str | None) -> list[float]:
@@ -206,7 +229,7 @@ class Model:
         text = (text or "").lower()
         found: dict[str, float] = {}
         tokens = text.split()
-        for t in set(tokens):
+        for t in set(tokens).difference(self.plain):
             found.update(self.signs_in(t))
         for m in _SPACED.finditer(text):
             if self.may_hide(m.group()):
@@ -243,14 +266,13 @@ def _logistic(known: DataFrame) -> list[float]:
 def labelled_texts(docs: DataFrame, labels: DataFrame, allowed) -> DataFrame:
     """(text, toxic) of all label rows that ``allowed`` admits, each different text once; written."""
     own = labels.where(allowed & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(own, "doc_id")
-    every = materialize(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "toxic", F.xxhash64("text").alias("h"), "text"), "labelled", source=docs)
-    # one text of an id, then one row of a text: texts themselves are moved once
-    least = every.groupBy("doc_id").agg(F.min(F.struct("h", "row", "toxic")).alias("o"))
-    chosen = least.groupBy("o.h").agg(F.min("o.row").alias("row"), F.max("o.toxic").alias("toxic"))
-    rows = materialize(every.select("row", "text").join(chosen, "row").select("text", "toxic"), "learned-from", source=docs)
-    drop_shared(docs.sparkSession, every)
-    return rows
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    # one text of an id, then one row of a text, are told from ids and hashes: texts themselves are moved once, in the same way at every size
+    least = keyed.select("doc_id", "h").join(own, "doc_id").groupBy("doc_id").agg(F.min("h").alias("h"), F.max("toxic").alias("toxic"))
+    chosen = least.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h"))
+    rows = keyed.join(chosen.hint("merge"), ["doc_id", "h"]).withColumn("turn", turn).where("turn = 1")
+    return materialize(rows.select("text", "toxic"), "learned-from", source=docs)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model | None:
@@ -259,21 +281,30 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model | None:
     rows = labelled_texts(docs.where(allowed), labels, allowed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, good, grams = Counter(), Counter(), Counter()
+        words, bad, good, starts_bad, starts_good = every = [Counter() for _ in range(5)]
 
         def counted() -> pa.RecordBatch:
-            keys = [*bad, *(k for k in good if k not in bad), *("c" + g for g in grams)]
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad.get(k, 0) if k[0] != "c" else grams[k[1:]] for k in keys], pa.int64()), pa.array([good.get(k, 0) for k in keys], pa.int64())], names=["sign", "bad", "good"])
-            for c in (bad, good, grams):
+            grams: Counter = Counter()
+            for w, n in words.items():  # each different word once
+                w = f"##{w}#"
+                for k in range(len(w) - 2):
+                    grams[w[k : k + 3]] += n
+            texts = [(mark + k, x, y) for mark, bads, goods in (("w", bad, good), ("s", starts_bad, starts_good)) for k in bads.keys() | goods.keys() for x, y in [(bads[k], goods[k])]]
+            texts += [("c" + g, n, 0) for g, n in grams.items()]
+            for c in every:
                 c.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*texts) if texts else [[]] * 3, (pa.string(), pa.int64(), pa.int64()))], names=["sign", "bad", "good"])
 
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = _WORD.findall(text.lower())
-                grams.update(trigrams(words))
-                (bad if toxic else good).update({s for w in set(words) for s in signs_of(w)})
-                if len(bad) + len(good) + len(grams) > COUNTED:
+                own = _WORD.findall(text.lower())
+                words.update(own)
+                own = set(own)
+                (bad if toxic else good).update(own)
+                starts = starts_bad if toxic else starts_good
+                for n in STEMS:
+                    starts.update({w[:n] for w in own if len(w) > n})
+                if sum(map(len, every)) > COUNTED:
                     yield counted()
         yield counted()
 

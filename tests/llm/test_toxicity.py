@@ -142,3 +142,42 @@ def test_empty(spark, tmp_path):
     folder = save_documents(edge_documents(spark).limit(0), tmp_path)
     spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert toxicity.op10_toxicity(spark, folder).count() == 0
+
+
+def test_texts_are_moved_once_and_counted_as_stated(spark):
+    """Texts go through one exchange at every size; signs count texts, trigrams count words."""
+    draw = zlib.crc32
+    texts = [" ".join(WORDS[draw(f"{k}-{j}".encode()) % len(WORDS)] + ("," if j % 3 == 0 else "") for j in range(12)) for k in range(400)] + ["Stupid stupid garden", "Stupid stupid garden"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (6, texts[7])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int("idiot" in t or "moron" in t)) for k, t in enumerate(texts)], "doc_id long, toxic int")
+    plans, write = [], toxicity.materialize
+
+    def seen(df, name, **options):
+        if name == "learned-from":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        if name == "sign-counts":
+            counts.update({r.sign: (r.bad, r.good) for r in df.collect()})
+        return write(df, name, **options)
+
+    counts = {}
+    toxicity.materialize = seen
+    try:
+        model = toxicity.fit(docs, labels)
+        rows = [(r.text, r.toxic) for r in toxicity.labelled_texts(docs, labels, toxicity.F.lit(True)).collect()]
+    finally:
+        toxicity.materialize = write
+    assert len(rows) == len({t for t, _ in rows}) and model is not None
+    moved = [x for x in plans[0].split("\n") if "Exchange" in x]
+    assert "SortMergeJoin [doc_id" in plans[0] and len(moved) >= 2
+    want, grams = {}, toxicity.Counter()
+    for text, toxic in rows:
+        words = toxicity._WORD.findall(text.lower())
+        grams.update(toxicity.trigrams(words))
+        for s in {s for w in set(words) for s in toxicity.signs_of(w)}:
+            bad, good = want.get(s, (0, 0))
+            want[s] = (bad + toxic, good + 1 - toxic)
+    assert counts == want | {"c" + g: (n, 0) for g, n in grams.items()}
+    words = [s[1:] for s in model.signs if s[0] == "w"]
+    every = toxicity.Model(model.characters, model.signs, model.weights, gate=False)
+    tokens = [f"{a}{w}{b}" for w in [*words, "idiotic", "iddiot", "gooddog", "letter"] for a in ("", '"', "(", "'", "--") for b in ("", ",", ".", "?!", "...", ")", "'s", "-ish")]
+    assert words and [model.score(t) for t in tokens] == [every.score(t) for t in tokens]
