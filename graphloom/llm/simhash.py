@@ -106,6 +106,10 @@ HOLDERS = 1
 COMMON, COMMON_KEPT = 16, 50_000
 #: Longs of a set's bitmap: each bit tells whether an odd number of its shingles fall there.
 BITMAP = 4
+#: Bits of the widest bitmap of a set.
+WIDEST = 1 << 24
+#: Shared keys just before a key's place by which a pair is known to have met already; they change no result.
+BEFORE = 4
 
 
 def _profile(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
@@ -118,9 +122,17 @@ def _profile(text: str | None, words: int) -> tuple[int, int, np.ndarray]:
 
 
 def _bitmap(least: np.ndarray) -> np.ndarray:
-    """Two sets that differ in d shingles have bitmaps that differ in at most d bits."""
-    bit = ((least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64) % (64 * BITMAP)
-    return np.packbits(np.bincount(bit, minlength=64 * BITMAP).astype(np.uint8) & 1).view(np.int64)
+    """About a bit for each shingle: two sets that differ in d shingles have bitmaps that differ in at most d bits, also when folded."""
+    wide = min(max(64 * BITMAP, 1 << max(len(least) - 1, 1).bit_length()), WIDEST)
+    bit = ((least.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (wide - 1)
+    return np.packbits(np.bincount(bit, minlength=wide).astype(np.uint8) & 1)
+
+
+def _folded(bitmap: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of the same set in ``size`` bytes."""
+    while len(bitmap) > size:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
 
 
 def _prefix(least: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
@@ -138,19 +150,23 @@ def _prefix(least: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity:
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, h, first) of each distinct row: h is a hash of its text, first says whether it is its group's first.
 
-    Candidates come from a prefix filter, which misses no pair: sets that are
-    similar enough share one of the first shingles of each.  Of what a pair
-    shares, the first such key in order comes before all the rest, so both
+    Multi-index hashing of the texts' SimHashes, as in ``linked``, finds near
+    texts first.  What it may miss comes from a prefix filter over the keys
+    whose holders are not in one group by then, which misses no pair: sets
+    that are similar enough share one of the first shingles of each.  Of what a
+    pair shares, the first such key in order comes before all the rest, so both
     sets have enough shingles from there on; the smaller set has even twice
     the share of its own, and only such rows of a key are looked up.  Sets
-    whose bitmaps differ in more bits than similar ones may are no candidates.
-    All three are conditions of the join, which leave few pairs to verify.
+    whose bitmaps differ in more bits than similar ones may are no candidates,
+    and a pair that shares one of the last keys before has met there.  All
+    four are conditions of the join, which leave few pairs to verify.
 
-    First each text meets a few holders of each of its keys.  Then, in keys
-    whose holders are not yet in one group, every two of different groups
+    There each text meets a few holders of each of its keys.  Then, in keys
+    whose holders are still not in one group, every two of different groups
     meet, so each pair is verified or joined by others, and large groups of
-    copies are not paired.  Each candidate is verified by the similarity of the
-    whole shingle sets, and verified links are joined to groups.
+    copies are not paired.  Each candidate is verified by wider bitmaps and
+    then by the similarity of the whole shingle sets, and verified links are
+    joined to groups.
 
     Null, empty and blank texts have no words and are left alone, each its own
     group; texts of fewer words have one shingle, the whole sequence; null ids
@@ -164,12 +180,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 fp, n, least = zip(*(_profile(t, words) for t in part.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array([x.astype(np.uint32).view(np.int32) for x in least], pa.list_(pa.int32())), *map(pa.array, np.array([_bitmap(x) for x in least]).T.copy())], names=["doc_id", "h", "fp", "n", "least", *bits])
+                wide = [_bitmap(x) for x in least]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array([x.astype(np.uint32).view(np.int32) for x in least], pa.list_(pa.int32())), pa.array([x.tobytes() for x in wide], pa.binary()), *map(pa.array, np.array([_folded(x, 8 * BITMAP).view(np.int64) for x in wide]).T.copy())], names=["doc_id", "h", "fp", "n", "least", "wide", *bits])
 
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
         values, ends = column.values.to_numpy().view(np.uint32), column.offsets.to_pylist()
         return (values[x:y] for x, y in zip(ends, ends[1:]))
 
+    def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Leaves out pairs whose wide bitmaps differ in more bits than similar sets' may."""
+        for b in batches:
+            good = []
+            for p, q, total in zip(b.column(2), b.column(3), b.column(4).to_pylist()):
+                p, q = (np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in (p, q))
+                size = min(len(p), len(q))
+                good.append(int(np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum(dtype=np.int64)) <= (1 - similarity) / (1 + similarity) * total + 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
@@ -178,23 +205,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
                 good.append(shared >= similarity * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Those ``pairs`` that are near: first by bitmaps, then by the sets of what is left."""
+        side = lambda table, k, *of: table.select(F.col("uid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in of))
+        both = pairs.join(side(firsts, "a", "wide", "n"), "a").join(side(firsts, "b", "wide", "n"), "b")
+        left = materialize(both.select("a", "b", "wide_a", "wide_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(unlike, "a long, b long"), f"{name}-like")
+        release(docs.sparkSession)
+        ends = left.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        own = materialize(firsts.select("uid", "least").join(ends, "uid"), f"{name}-sets", source=docs)
+        release(docs.sparkSession)
+        links = materialize(left.join(side(own, "a", "least"), "a").join(side(own, "b", "least"), "b").select("a", "b", "least_a", "least_b").mapInArrow(verify, "a long, b long"), f"{name}-links")
+        drop_shared(docs.sparkSession, own)
+        release(docs.sparkSession)
+        return links
+
     bits = [f"m{k}" for k in range(BITMAP)]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    whole = materialize(gathered(own, docs).mapInArrow(run, f"doc_id long, h long, fp long, n int, least array<int>, {', '.join(f'{m} long' for m in bits)}").withColumn("uid", F.xxhash64("doc_id", "h")).withColumn("same", F.xxhash64("fp", "n", "least")), "profiles")
-    profiles = materialize(whole.drop("least", *bits), "profiles-only")
+    whole = materialize(gathered(own, docs).mapInArrow(run, f"doc_id long, h long, fp long, n int, least array<int>, wide binary, {', '.join(f'{m} long' for m in bits)}").withColumn("uid", F.xxhash64("doc_id", "h")).withColumn("same", F.xxhash64("fp", "n", "least")), "profiles")
+    profiles = materialize(whole.drop("least", "wide", *bits), "profiles-only")
     # texts with one shingle set are one class; its first stands for it
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "uid")
     alike = profiles.where("n > 0").groupBy("same", "fp", "n").agg(F.min(order).alias("o"))
-    firsts = materialize(whole.where("n > 0").select("uid", "n", "least", *bits).join(alike.select(F.col("o.uid").alias("uid")), "uid").dropDuplicates(["uid"]), "first-profiles", source=docs)
+    firsts = materialize(whole.where("n > 0").select("uid", "fp", "n", "least", "wide", *bits).join(alike.select(F.col("o.uid").alias("uid")), "uid").dropDuplicates(["uid"]), "first-profiles", source=docs)
     drop_shared(docs.sparkSession, whole)
     release(docs.sparkSession)
+    # near texts by multi-index hashing; of texts with one SimHash the first stands for it
+    hashed = firsts.groupBy("fp").agg(F.min("uid").alias("to_uid"))
+    stands = lambda k: hashed.select(F.col("fp").alias(k), F.col("to_uid").alias(f"uid_{k}"))
+    across = linked(hashed).join(stands("a"), "a").join(stands("b"), "b").select(F.greatest("uid_a", "uid_b").alias("a"), F.least("uid_a", "uid_b").alias("b"))
+    pairs = materialize(across.union(firsts.join(hashed, "fp").where("uid <> to_uid").select(F.col("uid").alias("a"), F.col("to_uid").alias("b"))), "simhash-pairs")
+    release(docs.sparkSession)
+    links = verified(pairs, "simhash")
+    roots = components(links)
+    # the rest by a prefix filter
     size, share = F.size("least"), F.lit(similarity)
     counts = firsts.select(F.explode(F.slice("least", F.lit(1), (size - F.ceil(share * size - 1e-9) + 1).cast("int"))).alias("key")).groupBy("key").count()
     often = counts.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(COMMON_KEPT).collect()
     release(docs.sparkSession)
     often = sorted((r.key & 0xFFFFFFFF, -k) for k, r in enumerate(often))
     common, rank = np.array([x for x, _ in often], dtype=np.uint32), np.array([x for _, x in often], dtype=np.int64)
-    held = ["uid", "size", "pos", *bits]
+    held = ["uid", "size", "pos", *bits]  # what a holder tells those that meet it; between groups also the keys before
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,8 +262,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     repeated = keys.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low < high").select("key")
     shared_keys = materialize(keys.join(repeated, "key"), "shared-keys", source=docs)
     release(docs.sparkSession)
-    # few keys are shared: bitmaps come to those only
-    keys = materialize(shared_keys.join(firsts.select("uid", *bits), "uid").select("key", *held), "held-keys", source=docs)
+    # few keys are shared: bitmaps and the shared keys before come to those only
+    turn = Window.partitionBy("uid").orderBy("pos")
+    before = F.array_compact(F.array(*(F.lag("key", k + 1).over(turn) for k in range(BEFORE))))
+    keys = materialize(shared_keys.join(firsts.select("uid", *bits), "uid").select("key", *held, before.alias("before")), "held-keys", source=docs)
     drop_shared(docs.sparkSession, shared_keys)
     release(docs.sparkSession)
     total = F.col("size") + F.col("to_size")
@@ -224,39 +276,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         & (differ <= (1 - similarity) / (1 + similarity) * total + 1e-6)
     )
     pairs_of = lambda met: met.select(F.greatest("uid", "to_uid").alias("a"), F.least("uid", "to_uid").alias("b")).distinct()
-    side = lambda k: firsts.select(F.col("uid").alias(k), F.col("least").alias(f"least_{k}"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "least_a", "least_b").mapInArrow(verify, "a long, b long")
+    def opened(keys: DataFrame, name: str) -> DataFrame:
+        """Rows of keys whose holders are not in one group, with their own group's root and that of the key's largest."""
+        rooted = keys.join(roots, keys["uid"] == roots["node"], "left").select("key", *held, "before", F.coalesce("root", "uid").alias("root"))
+        largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+        rooted = materialize(rooted.join(largest.select("key", "largest"), "key"), name, source=docs)
+        drop_shared(docs.sparkSession, keys)
+        release(docs.sparkSession)
+        return rooted
 
     # the same holders are drawn for all keys, so copies meet them in many
-    one = F.struct(*held)
+    keys = opened(keys, "open-keys")
+    one = F.struct(*held, "root")
     draws = [F.min_by(one, F.xxhash64("uid", F.lit(k))) for k in range(HOLDERS)]
     holders = keys.groupBy("key").agg(F.array_distinct(F.array(F.min(one), F.max(one), *draws)).alias("to"))
     # two holders of a key meet once, not from each side
     both = F.array_contains(F.col("to.uid"), F.col("uid"))
-    met = keys.join(holders, "key").select(*held, both.alias("both"), F.explode("to").alias("to")).where(~F.col("both") | (F.col("uid") > F.col("to.uid"))).select(*held, *(F.col(f"to.{c}").alias(f"to_{c}") for c in held))
+    other = F.filter("to", lambda x: (x["root"] != F.col("root")) & (~F.col("both") | (F.col("uid") > x["uid"])))
+    met = keys.join(holders, "key").withColumn("both", both).select(*held, F.explode(other).alias("to")).select(*held, *(F.col(f"to.{c}").alias(f"to_{c}") for c in held))
     pairs = materialize(pairs_of(met.where(alike_enough)), "first-pairs")
     release(docs.sparkSession)
-    links = materialize(verified(pairs), "first-links")
-    release(docs.sparkSession)
+    links = links.union(verified(pairs, "first"))
     roots = components(links)
     # then all pairs across groups: of each, one is outside the key's largest group, and the smaller has its key early
-    rooted = keys.join(roots, keys["uid"] == roots["node"], "left").select("key", *held, F.coalesce("root", "uid").alias("root"))
-    largest = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-    rooted = materialize(rooted.join(largest.select("key", "largest"), "key"), "open-keys", source=docs)
+    rooted = opened(keys.drop("root", "largest"), "more-open-keys")
     early = rooted.where(F.col("size") - F.col("pos") >= 2 * similarity / (1 + similarity) * F.col("size") - 1e-6)
-    names = [F.col(c).alias(f"to_{c}") for c in ["key", *held, "root"]]
+    names = [F.col(c).alias(f"to_{c}") for c in ["key", *held, "before", "root"]]
     smaller = (F.col("to_size") < F.col("size")) | ((F.col("to_size") == F.col("size")) & (F.col("to_uid") < F.col("uid")))
-    across = lambda left, right: pairs_of(left.join(right.select(*names), (F.col("key") == F.col("to_key")) & (F.col("root") != F.col("to_root")) & smaller & alike_enough))
+    new = ~F.arrays_overlap("before", "to_before")
+    across = lambda left, right: pairs_of(left.join(right.select(*names), (F.col("key") == F.col("to_key")) & (F.col("root") != F.col("to_root")) & smaller & alike_enough & new))
     outside = F.col("root") != F.col("largest")
     pairs = materialize(across(rooted.where(outside), early).union(across(rooted.where(~outside), early.where(outside))).distinct(), "more-pairs")
     release(docs.sparkSession)
-    more = materialize(verified(pairs), "more-links")
-    release(docs.sparkSession)
+    more = verified(pairs, "more")
     if not more.isEmpty():
         roots = components(links.union(more))
-    for table in (firsts, keys, rooted, pairs):
+    for table in (firsts, rooted, pairs):
         drop_shared(docs.sparkSession, table)
     # the group of every row, by way of its class
     of = alike.select("same", "fp", "n", F.col("o.uid").alias("class")).join(roots, F.col("class") == F.col("node"), "left").select("same", "fp", "n", F.coalesce("root", "class").alias("root"))
