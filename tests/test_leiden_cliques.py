@@ -1,0 +1,44 @@
+"""Communities where links between all members of a group are not made."""
+
+from __future__ import annotations
+
+import random
+
+from graphloom.operators import alike, community
+
+from .test_graph import properties
+
+
+def test_cliques_count_as_their_links(spark):
+    rng = random.Random(3)
+    node = lambda: f"n{rng.randrange(90):02}"
+    held = [(f"n{k:02}", f"g{k % 7}") for k in range(60)] + [("n00", "g8"), ("n01", "g8"), ("n07", "g8"), ("n80", "alone")]
+    members = spark.createDataFrame(held, "node string, group string").coalesce(2)
+    entities = spark.createDataFrame([(f"n{k:02}",) for k in range(90)], "id string")
+    related = spark.createDataFrame([(a, b) for a, b in ((node(), node()) for _ in range(160)) if a != b], "src string, dst string")
+    whole = community.simple_graph(entities, related, members).coalesce(2).cache()
+    edges, cliques = community.clique_graph(entities, related, members)
+    own = {frozenset((a.node, b.node)) for a in cliques.collect() for b in cliques.collect() if a.group == b.group and a.node != b.node}
+    rest = [frozenset((r.a, r.b)) for r in edges.collect()]
+    assert not own & set(rest) and len(rest) == len(set(rest)) and own | set(rest) == {frozenset((r.a, r.b)) for r in whole.collect()}
+    resolutions = {1: 0.5, 2: 1.5}
+    labels = community.leiden.partitions(edges, resolutions, cliques=cliques).coalesce(2).cache()
+    for level, resolution in resolutions.items():
+        properties(whole, {r.node: r.community for r in labels.where(f"level = {level}").collect()}, resolution)
+    told = [tuple(r) for r in community.properties(edges, labels, resolutions, cliques).orderBy("level").collect()]
+    n = len({x for e in whole.collect() for x in e})
+    assert told == [(1, n, n, 0, 0), (2, n, n, 0, 0)]
+
+
+def test_a_community_that_came_apart_or_would_gain_is_told(spark):
+    edges = spark.createDataFrame([("a", "b"), ("c", "d"), ("c", "e"), ("d", "e")], "a string, b string")
+    found = spark.createDataFrame([(0, x, "a" if x in "abcd" else "e") for x in "abcde"], "level int, node string, community string")
+    told = community.properties(edges, found, {0: 1.0}).first()
+    assert (told.nodes, told.named, told.apart) == (5, 5, 1) and told.gaining > 0
+
+
+def test_least_groups_and_the_pairs_beside_them(spark):
+    members = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", "z")], "node string, group string")
+    cliques, rest = alike.clustered(members)
+    assert sorted((r.node, r.group) for r in cliques.collect()) == [("a", "x"), ("b", "x")]
+    assert [tuple(r) for r in rest.collect()] == [("b", "c")]
