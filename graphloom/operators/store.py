@@ -62,8 +62,8 @@ def upserted(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def split_orphans(relations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, orphans with ``missing_endpoint`` source, target or both). ``ids``: id, distinct."""
-    known = ids.select("id").distinct()
+    """(valid, orphans with ``missing_endpoint`` source, target or both). ``ids``: id, distinct; they may be many, so they are not sent to the driver."""
+    known = ids.select("id").distinct().hint("merge")
     joined = relations.join(known.select(F.col("id").alias("__s")), F.col("src") == F.col("__s"), "left").join(known.select(F.col("id").alias("__d")), F.col("dst") == F.col("__d"), "left")
     missing = F.when(F.col("__s").isNull() & F.col("__d").isNull(), "both").when(F.col("__s").isNull(), "source").when(F.col("__d").isNull(), "target")
     marked = joined.withColumn("missing_endpoint", missing).drop("__s", "__d")
