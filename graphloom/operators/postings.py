@@ -18,17 +18,25 @@ the second fails.  ``build`` makes a segment that replaces all before it.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .search import B, K1, query_terms, tokens
-from .traverse import checkpointed
+from .traverse import checkpointed, shared_folder
 
 #: Folders of terms; blocks of each length class (one a doubling of the length), and classes.
 BUCKETS, SPREAD, CLASSES = 64, 16, 20
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Postings as a compressed table in the folder that all executors share: a checkpoint keeps every row's key and term as they are."""
+    path = f"{shared_folder(df.sparkSession)}/posted-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass
 class Block:
     """The highest score that a row of a block can have, and rows that it has at least."""
@@ -143,8 +151,8 @@ class SearchIndex:
 
     def _segment(self, new: DataFrame, old: DataFrame | None, text: Column, base: bool, note: str) -> int:
         number = self._begin()
-        posted = checkpointed(self._posted(new, text))
-        gone = checkpointed(self._posted(old, text)) if old is not None else None
+        posted = written(self._posted(new, text))
+        gone = written(self._posted(old, text)) if old is not None else None
         per_row = lambda p: p.groupBy(*self.key).agg(F.first("length").alias("length"))
         totals = per_row(posted).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
         blocks = self._summed(posted.where("term IS NOT NULL"), 1)
